@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnpath.llm import exact_dedup, simhash
+from cairnpath.llm import byte_bpe, exact_dedup, hd_language, mixing, simhash
 from cairnpath.llm.common import table
 
 
@@ -16,9 +17,24 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_language.languages(table(spark, sf_dir, "documents"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
