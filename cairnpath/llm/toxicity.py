@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import whole
+from cairnpath.llm.common import durable, forget, whole
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled rows that the weights are fitted on, features that get a weight, and the least association that they need.
@@ -162,7 +162,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are repeated; an empty table gives no rows; further columns are ignored.
     """
     known = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id")) != HELD)
-    training = docs.select("doc_id", whole("text").alias("text")).join(known, "doc_id")
+    # The same join at every size: texts that may be learnt from are shuffled once, and those with a label kept for the passes.
+    texts = docs.filter(fold(F.col("doc_id")) != HELD).select("doc_id", whole("text").alias("text"))
+    training = durable(texts.hint("merge").join(known, "doc_id"), "labelled")
     weights, bias = fit(training)
+    forget(training)
     scored = score(docs, weights, bias)
     return scored.select("doc_id", (fold(F.col("doc_id")) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
