@@ -74,10 +74,10 @@ def choose(training: DataFrame, most: int = FEATURES) -> list[str]:
     """The features most associated with the label, over all rows of training (toxic, text), and the terms for groups."""
     counted = training.select("toxic", "text").mapInArrow(_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counted.filter("feature = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))
-    p = (F.col("n0") + F.col("n1")) / (F.col("all0") + F.col("all1"))
-    spread = F.sqrt(p * (1 - p) * (1 / F.col("all0") + 1 / F.col("all1")))
+    p = F.try_divide(F.col("n0") + F.col("n1"), F.col("all0") + F.col("all1"))
+    spread = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), "all0") + F.try_divide(F.lit(1), "all1")))
     scored = counted.filter("feature <> '' AND n0 + n1 >= 3").crossJoin(F.broadcast(total)).filter("all0 > 0 AND all1 > 0")  # one row
-    scored = scored.withColumn("z", F.abs(F.col("n1") / F.col("all1") - F.col("n0") / F.col("all0")) / spread)
+    scored = scored.withColumn("z", F.try_divide(F.abs(F.try_divide("n1", "all1") - F.try_divide("n0", "all0")), spread))
     best = scored.filter(F.col("z") >= ASSOCIATION).orderBy(F.desc("z"), "feature").limit(most).select("feature").collect()
     return sorted({r[0] for r in best} | SWAP.keys())
 
