@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from cairnpath.plans.registry import query
 from cairnpath.sources.fixtures import load, sql
 
-LINE = Window.partitionBy("line_id").orderBy("pos")
+
+def line():
+    return Window.partitionBy("line_id").orderBy("pos")
+
+
 FILL = """b AS (SELECT *, last_value(CASE WHEN z_m IS NOT NULL THEN along_m END IGNORE NULLS) OVER w AS a0, last_value(z_m IGNORE NULLS) OVER w AS z0, first_value(CASE WHEN z_m IS NOT NULL THEN along_m END IGNORE NULLS) OVER v AS a1, first_value(z_m IGNORE NULLS) OVER v AS z1 FROM profile
         WINDOW w AS (PARTITION BY line_id ORDER BY pos ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY line_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     filled AS (SELECT line_id, pos, along_m, CASE WHEN z_m IS NOT NULL THEN z_m WHEN z0 IS NULL THEN z1 WHEN z1 IS NULL THEN z0 ELSE z0 + (z1 - z0) * (along_m - a0) / (a1 - a0) END AS z FROM b),
@@ -18,14 +22,14 @@ FILL = """b AS (SELECT *, last_value(CASE WHEN z_m IS NOT NULL THEN along_m END
 def filled(profile: DataFrame) -> DataFrame:
     """Gaps closed linearly, ends carried on; a line without any value keeps its nulls."""
     known = F.when(F.col("z_m").isNotNull(), F.col("along_m"))
-    back, on = LINE.rowsBetween(Window.unboundedPreceding, 0), LINE.rowsBetween(0, Window.unboundedFollowing)
+    back, on = line().rowsBetween(Window.unboundedPreceding, 0), line().rowsBetween(0, Window.unboundedFollowing)
     a0, z0, a1, z1 = F.last(known, True).over(back), F.last("z_m", True).over(back), F.first(known, True).over(on), F.first("z_m", True).over(on)
     z = F.when(F.col("z_m").isNotNull(), F.col("z_m")).when(z0.isNull(), z1).when(z1.isNull(), z0).otherwise(z0 + (z1 - z0) * (F.col("along_m") - a0) / (a1 - a0))
     return profile.withColumn("z", z).select("line_id", "pos", "along_m", "z")
 
 
 def smoothed(profile: DataFrame, half: int = 2) -> DataFrame:
-    return filled(profile).withColumn("s", F.avg("z").over(LINE.rowsBetween(-half, half)))
+    return filled(profile).withColumn("s", F.avg("z").over(line().rowsBetween(-half, half)))
 
 
 @query("profile_smoothed", sql(FILL + " SELECT line_id, pos, round(z, 6) AS z, round(s, 6) AS s FROM smooth", "profile"))
@@ -35,7 +39,7 @@ def profile_smoothed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("profile_stats", sql(FILL + ", st AS (SELECT *, s - lag(s) OVER (PARTITION BY line_id ORDER BY pos) AS dz FROM smooth) SELECT line_id, count(*) AS samples, round(max(s), 4) AS high_m, round(arg_max(along_m, struct_pack(a := round(s, 9), b := -pos)), 2) AS high_at_m, round(min(s), 4) AS low_m, round(arg_min(along_m, struct_pack(a := round(s, 9), b := pos)), 2) AS low_at_m, round(arg_min(s, pos), 4) AS start_m, round(arg_max(s, pos), 4) AS end_m, round(coalesce(sum(CASE WHEN dz > 0 THEN dz END), 0), 3) AS naive_gain_m, round(coalesce(sum(CASE WHEN dz < 0 THEN -dz END), 0), 3) AS naive_loss_m FROM st GROUP BY line_id", "profile"))
 def profile_stats(spark: SparkSession, d: str) -> DataFrame:
-    steps = smoothed(load(spark, d, "profile")).withColumn("dz", F.col("s") - F.lag("s").over(LINE))
+    steps = smoothed(load(spark, d, "profile")).withColumn("dz", F.col("s") - F.lag("s").over(line()))
     rank = lambda sign: F.struct(F.round("s", 9), sign * F.col("pos"))
     some = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 3)
     return steps.groupBy("line_id").agg(
@@ -126,7 +130,7 @@ def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
 @query("day_stats", sql(FILL + ", st AS (SELECT *, CAST(floor(along_m / 500) AS BIGINT) AS day, s - lag(s) OVER (PARTITION BY line_id ORDER BY pos) AS dz FROM smooth) SELECT line_id, day, round(max(along_m) - min(along_m), 2) AS metres, round(max(s), 4) AS high_m, round(min(s), 4) AS low_m, round(coalesce(sum(greatest(dz, 0)), 0), 3) AS rise_m FROM st GROUP BY ALL", "profile"))
 def day_stats(spark: SparkSession, d: str) -> DataFrame:
     """Lengths and climbs between cuts 500 m apart, of a profile smoothed once."""
-    steps = smoothed(load(spark, d, "profile")).withColumn("dz", F.col("s") - F.lag("s").over(LINE)).withColumn("day", F.floor(F.col("along_m") / 500))
+    steps = smoothed(load(spark, d, "profile")).withColumn("dz", F.col("s") - F.lag("s").over(line())).withColumn("day", F.floor(F.col("along_m") / 500))
     rise = F.when(F.col("dz").isNotNull(), F.greatest("dz", F.lit(0.0)))
     return steps.groupBy("line_id", "day").agg(F.round(F.max("along_m") - F.min("along_m"), 2).alias("metres"), F.round(F.max("s"), 4).alias("high_m"), F.round(F.min("s"), 4).alias("low_m"), F.round(F.coalesce(F.sum(rise), F.lit(0.0)), 3).alias("rise_m"))
 
