@@ -44,6 +44,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(aggregated: DataFrame) -> DataFrame:
+    """An aggregate dealt out anew: a join with it then shuffles both sides, and Spark can split a key with very many rows."""
+    return aggregated.repartition(parts(aggregated.sparkSession))
+
+
 def whole(column: str) -> Column:
     """A text column whose null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -116,7 +116,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ends = reduce(DataFrame.union, done).withColumnsRenamed({"doc_id": "end_id", "sha": "end_sha"})
         long = rows.filter("n_blocks > 1")
         named = short.union(long.join(ends, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("sha") == F.col("end_sha"))).select("doc_id", "sha", "depth", "last_name"))
-    groups = named.groupBy("depth", "last_name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # As a table of its own, so that the join deals out both sides and a group with very many rows can be split.
+    groups = durable(named.groupBy("depth", "last_name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = named.join(groups, ["depth", "last_name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

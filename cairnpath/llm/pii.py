@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, whole
+from cairnpath.llm.common import durable, spread, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words of a pattern; known strings that it needs, and the share of all its strings; rounds of scoring.
@@ -129,7 +129,7 @@ def discover(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         support = scores.groupBy("pattern", "kind").agg(F.sum("score").alias("support")).filter(F.col("support") >= SUPPORT)
         good = support.join(sizes, "pattern").withColumn("confidence", F.col("support") / F.col("size")).filter(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
-        claims = fresh.join(good, "pattern").groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
+        claims = fresh.join(spread(good), "pattern").groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
         found = durable(claims.groupBy("text").agg(F.max(F.struct("score", F.col("kind"))).alias("best")).select("text", "best.kind", "best.score"), "claims")
         scores = known.unionByName(fresh.join(found, "text").select("pattern", "text", "kind", "score"))
     return found

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, parts, whole
+from cairnpath.llm.common import durable, parts, spread, whole
 
 #: Content words of a chain, and of a run without common words after which each word starts a chain (lists, other languages).
 CHAIN, BARE = 2, 6
@@ -166,7 +166,7 @@ def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
     sets = durable(docs.select(whole("text").alias("text")).mapInArrow(run, "fingerprint string").filter("fingerprint <> ''").distinct(), "spots")
     split = F.expr("transform(sequence(1, length(fingerprint), 8), i -> substring(fingerprint, i, 8))")
     items = sets.select("fingerprint", F.explode(split).alias("item"))
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     ranked = items.join(counts, "item").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("rare"))  # of one text
     prefix = F.size("rare") - F.ceil(F.lit(least) * F.size("rare")) + 1
     index = ranked.withColumn("size", F.size("rare")).select("fingerprint", "size", F.explode(F.slice("rare", 1, prefix)).alias("r")).select("fingerprint", "size", "r.item")
