@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnpath.llm.common import durable, parts
@@ -66,9 +66,13 @@ def phases(share: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
+def _name(docs: DataFrame) -> Column:
+    return F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source")
+
+
 def _ranked(docs: DataFrame) -> DataFrame:
     """doc_id, source and rank, a source's rows numbered from 0 without ever meeting in one task."""
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64(F.col("doc_id").cast("long")).alias("dealt"))
+    keyed = docs.select(F.col("doc_id").cast("long"), _name(docs), F.xxhash64(F.col("doc_id").cast("long")).alias("dealt"))
     ordered = keyed.repartitionByRange(parts(docs.sparkSession), "source", "dealt", "doc_id").sortWithinPartitions("source", "dealt", "doc_id")
     rows = durable(ordered.select("doc_id", "source", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("row")), "ranks")
     runs = rows.groupBy("source", "task").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("from"))
@@ -92,10 +96,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     many phases as sources: over most_sources an error is raised, since target weights are then set for groups of them.
     """
     spark = docs.sparkSession
-    ranked = _ranked(docs)
-    sizes = {s: n for s, n in ranked.groupBy("source").agg((F.max("rank") + 1).alias("n")).limit(most_sources + 1).collect()}
+    # Only source is read for it; what _ranked() broadcasts is bounded once the sources are counted.
+    sizes = dict(docs.groupBy(_name(docs)).agg(F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect())
     if len(sizes) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
+    ranked = _ranked(docs)
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     wanted = {s: float(n) ** exponent for s, n in sizes.items()} if weights is None else {s: w for s, w in weights.items() if s in sizes and w > 0}
     others = {s: float(n) for s, n in sizes.items() if s not in wanted}
