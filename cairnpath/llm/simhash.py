@@ -51,6 +51,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["doc_id", "row_key", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     return docs.select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -94,6 +100,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the row of its smallest doc_id (one row if that id is repeated)."""
-    stay = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that stay: one of each component, that of its smallest doc_id.
+
+    Rows are told apart by doc_id and text together: where ids are null or repeated, each component still keeps a row of
+    its own. A row without an id stays only if its whole component has none, then that of the smallest hash of id and text.
+    """
+    # Ids are digits, so the first bar ends them.
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("|"), whole("text")), 256))
+    keyed = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"), key.alias("row_key"))
+    rows = durable(keyed.mapInArrow(_keyed_fingerprints, "doc_id long, row_key binary, fp long"), "fingerprints")
+    fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("low"))
+    roots = components(links(fps.select("fp")), "near").withColumnRenamed("node", "fp")
+    lows = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    stay = lows.select(F.col("low.row_key").alias("near_row_key"))
+    return docs.withColumn("near_row_key", key).join(stay, "near_row_key", "left_semi").dropDuplicates(["near_row_key"]).select(*docs.columns)

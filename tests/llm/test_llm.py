@@ -192,6 +192,18 @@ def test_near_groups(documents, odd):
     assert simhash.near_groups(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    # Unlike texts without an id and with one id; a copy without an id of a text that has one; copies without any.
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[2]), (9, texts[4]), (7, texts[4]), (None, texts[5]), (None, texts[5]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")
+    got = simhash.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (None, texts[5]), (None, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("crowd", [1, 3, 32])
 def test_links_of_crowded_keys_lose_nothing(spark, crowd):
     rng = random.Random(7)
