@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -326,6 +328,39 @@ def test_every_prefix_of_a_cycle_is_near_its_weights(share):
     assert all(r <= t < e for found in slots.values() for r, e, t in found)
 
 
+@given(st.lists(st.one_of(st.integers(1, 40), st.sampled_from([Fraction(1, 3), 0.00001, 7.3, 1e-3])), min_size=1, max_size=9), st.integers(1, 300))
+@settings(max_examples=150, deadline=None)
+def test_every_prefix_is_near_its_exact_weights_across_spans(weights, least):
+    whole = list(mixing.whole_weights(dict(enumerate(weights))).values())
+    total = sum(whole)
+    span = max(least, total // min(whole) + 3)
+    if span > 3000:
+        span = None
+    found = [x for k in range(5 if span else 1) for x in islice(mixing.span_slots(whole, k * (span or 0), span), 3000)]
+    had = [0] * len(whole)
+    for k, (slot, i, j, release, deadline) in enumerate(found):
+        assert (slot, j) == (k, had[i]) and release <= slot < deadline
+        had[i] += 1
+        assert all(abs(n * total - (k + 1) * w) < total for n, w in zip(had, whole, strict=True))
+
+
+def test_mix_keeps_exact_weights_over_many_slots(spark):
+    # Thirds as 333 and 667 of a cycle of 1000 are a block off after 3,000 slots.
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
+    slots = {r.slot: r.source for r in mixing.mix(docs, {"a": Fraction(1, 3), "b": Fraction(2, 3)}, block_docs=1).collect()}
+    had = 0
+    for k in range(9000):
+        had += slots[k] == "a"
+        assert abs(3 * had - (k + 1)) < 3
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
+    got = mixing.mix(docs, block_docs=2).collect()
+    assert len(got) == len({r.position for r in got}) == 1200
+    assert sorted({r.slot for r in got}) == list(range(600)) and all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_mix_gives_each_row_one_place(spark, documents, odd):
     for df, weights in ((documents, None), (odd, None), (odd, {"a": 3.0, "zz": 1.0}), (documents, {"src0": 5.0, "src1": 1.0})):
         got = mixing.mix(df, weights, block_docs=2).collect()
