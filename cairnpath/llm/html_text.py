@@ -1,13 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element gives a line. A line weighs as much as the text in it that is neither linked
-nor in a part of the page that its tags or class names mark as something else than the article. Weights are summed over
-a sliding window of lines; the text starts where the sums surge and ends where they dive to nothing.
+Markup is stripped so that each block element gives a line. A line weighs as much as the text in it that isn't linked: more
+in an article element, nothing in a part of the page that its tags or class names mark as something else. Weights are
+summed over a sliding window of lines; text is kept from where the sums surge to where they dive to nothing, and may surge
+again. A mark from class names doesn't count on an element that holds most of the page's text and its article or headline:
+that is a wrapper, whatever it is called.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from cairnpath.llm.common import whole
 
-#: Lines a window; the sum that a surge needs, or this share of the page's largest sum if that is less.
-WINDOW, SURGE, SURGE_SHARE = 3, 80, 0.3
+#: Lines a window; the sum that a surge needs, or this share of the page's largest sum if that is less; what an article element adds to a line.
+WINDOW, SURGE, SURGE_SHARE, IN_ARTICLE = 3, 80, 0.3, 40
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
@@ -38,11 +41,13 @@ ASIDE = {"aside", "button", "canvas", "dialog", "footer", "head", "iframe", "lab
 MARKED = {
     "ad", "ads", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "footer", "form", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
-ARTICLE, PLAIN, FORM, OUT = 1, 0, 2, 3
+#: Elements that a following one of the same name ends.
+ITEMS = {"li", "dd", "dt", "td", "th", "tr", "option"}
+ARTICLE, PLAIN, FORM, OUT, MARK = 1, 0, 2, 3, 4
 
 
 def _kind(name: str, rest: str, inside: bool) -> int:
-    """What a start tag says of its element: the article, something else, a form, or nothing."""
+    """What a start tag says of its element: the article, something else by its name (OUT) or by its class (MARK), a form, or nothing."""
     if name in ASIDE:
         return OUT
     words: set[str] = set()
@@ -54,7 +59,7 @@ def _kind(name: str, rest: str, inside: bool) -> int:
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or key == "hidden" or key == "aria-hidden" and value == "true":
                 return OUT
     if words & MARKED and name not in ("html", "body") and not (name in ("article", "main") and not words & {"comment", "comments", "reply", "teaser", "related", "promo", "ad", "sponsored"}):
-        return OUT
+        return MARK
     if name == "header" or "header" in words and name not in HEADINGS and name not in ("article", "main", "html", "body"):
         return PLAIN if inside else OUT
     if name == "form":
@@ -62,18 +67,22 @@ def _kind(name: str, rest: str, inside: bool) -> int:
     return ARTICLE if name in ("article", "main") or "main" in words and name in ("div", "section") else PLAIN
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page: text, length without links, whether in an article, whether in a form. Parts marked as something else are left out."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """The lines of a page: text, length without links, whether in an article, in a form, in a part marked as something else."""
+    out: list[tuple[str, int, bool, bool, int]] = []
     stack: list[tuple[str, int]] = []
+    blocks: list[int] = []  # where in the stack block elements are
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = 0
-    counts = {ARTICLE: 0, FORM: 0, OUT: 0, PLAIN: 0}
-    links = at = 0
+    linked = links = at = 0
+    counts = [0] * 5
+    #: Marked parts: the one around it, whether by class, whether the article or a headline is in it, and its unlinked text.
+    around, by_class, core, held = [0], [True], [True], [0]
+    marks = [0]
 
     def put(s: str) -> None:
         nonlocal linked
-        if s and not counts[OUT]:
+        if s:
             text.append(s)
             if links:
                 linked += len(s)
@@ -83,17 +92,22 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if text:
             raw = "".join(text)
             if clean := " ".join(unescape(raw).split()):
-                share = max(0, len(raw) - linked) / len(raw)
-                out.append((clean, round(share * len(clean)), counts[ARTICLE] > 0, counts[FORM] > 0))
+                n = round(max(0, len(raw) - linked) / len(raw) * len(clean))
+                out.append((clean, n, counts[ARTICLE] > 0, counts[FORM] > 0, marks[-1]))
+                held[marks[-1]] += n
             text.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
+    def pop() -> None:
         nonlocal links
-        for name, kind in stack[k:]:
-            counts[kind] -= 1
-            links -= name == "a"
-        del stack[k:]
+        name, kind = stack.pop()
+        opened[name] -= 1
+        counts[kind] -= 1
+        links -= name == "a"
+        if kind >= OUT:
+            marks.pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
 
     while m := _TOKEN.search(html, at):
         put(html[at : m.start()])
@@ -104,9 +118,10 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if name in BLOCK:
             flush()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
+            while opened[name]:  # an end tag without a start tag ends nothing
+                last = stack[-1][0]
+                pop()
+                if last == name:
                     break
             continue
         if name == "br":
@@ -117,45 +132,70 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
-        if name in BLOCK:
+        if name in BLOCK and blocks:
             # A new block ends an open paragraph, and an item the item before it.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            last = stack[blocks[-1]][0]
+            if last == "p" or last == name and name in ITEMS:
+                for _ in range(len(stack) - blocks[-1]):
+                    pop()
         if not m["rest"].endswith("/") or name in BLOCK:
             kind = _kind(name, m["rest"], counts[ARTICLE] > 0)
+            if name == "h1" or kind == ARTICLE:
+                core[marks[-1]] = True
+            if kind >= OUT:
+                around.append(marks[-1])
+                by_class.append(kind == MARK)
+                core.append(False)
+                held.append(0)
+                marks.append(len(around) - 1)
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append((name, kind))
+            opened[name] += 1
             counts[kind] += 1
             links += name == "a"
     put(html[at:])
     flush()
-    return out
+    for k in range(len(around) - 1, 0, -1):
+        held[around[k]] += held[k]
+        core[around[k]] |= core[k]
+    aside = [False]
+    for k in range(1, len(around)):
+        aside.append(aside[around[k]] or not (by_class[k] and core[k] and 2 * held[k] >= held[0]))
+    return [(clean, n, article, form, aside[mark]) for clean, n, article, form, mark in out]
+
 
+def main_text(html: str, window: int = WINDOW, surge: float = SURGE, surge_share: float = SURGE_SHARE, in_article: int = IN_ARTICLE) -> str:
+    """The article's blocks, one a line; empty if there is none.
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE, surge_share: float = SURGE_SHARE) -> str:
-    """The article's blocks, one a line; empty if there is none."""
+    Lines of an article element weigh more, and those outside of it nothing, if it has half the text that isn't marked as
+    something else. Forms weigh nothing unless all is in forms.
+    """
     found = lines(html)
-    if any(not form for *_, form in found):
-        found = [x for x in found if not x[3]]
-    inside = sum(n for _, n, article, _ in found if article)
-    article = inside > 0 and 2 * inside >= sum(n for _, n, _, _ in found)
-    if article:
-        found = [x for x in found if x[2]]
-    weights = [max(1, n) if article else n for _, n, _, _ in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    formless = any(not form and not aside for _, _, _, form, aside in found)
+    own = [n if not aside and not (form and formless) else 0 for _, n, _, form, aside in found]
+    inside = sum(n for n, line in zip(own, found, strict=True) if line[2])
+    if inside > 0 and 2 * inside >= sum(own):
+        own = [n and n + in_article if line[2] else 0 for n, line in zip(own, found, strict=True)]
+    sums, total = [0] * len(own), 0
+    for i in range(len(own) - 1, -1, -1):
+        total += own[i] - (own[i + window] if i + window < len(own) else 0)
+        sums[i] = total
     need = min(surge, surge_share * max(sums, default=0))
-    kept, on = [], article
-    for i, (text, *_) in enumerate(found):
-        if not on and weights[i] and sums[i] >= need:
+    kept, on, end = [], False, 0
+    for i in range(len(found)):
+        if not on and own[i] and sums[i] >= need:
+            # Short lines right before a surge, as headlines are, belong to it.
+            start = i
+            while start > max(end, i - window + 1) and own[start - 1]:
+                start -= 1
+            kept += range(start, i)
             on = True
         elif on and not sums[i]:
-            on = False
-        if on and weights[i]:
-            kept.append(text)
-    return "\n".join(kept)
+            on, end = False, i
+        if on and own[i]:
+            kept.append(i)
+    return "\n".join(found[i][0] for i in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
