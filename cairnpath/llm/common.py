@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Durable tables made within each scratch() that is open.
+_MADE: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is named and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,9 +36,22 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cairn_path = path
+    for made in _MADE:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the durable tables made inside, for forget() once nothing reads them any more."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+
+
 def forget(df: DataFrame) -> None:
     """Removes what durable() wrote, once nothing reads it any more."""
     jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
@@ -54,5 +73,13 @@ def whole(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind it as make it a column that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,8 +2,9 @@
 
 A text is cut into blocks of a fixed number of bytes. All blocks of all texts are sorted and each distinct one gets an
 integer name; then adjacent names are paired and the pairs sorted and named again, until one name is left of each text.
-Two texts have the same last name of the same level only if all their bytes are the same: no step trusts a hash. (The
-hash of a block only decides where it is sorted to; blocks are told apart by their bytes.)
+Two texts have the same last name of the same level only if all their bytes are the same: equality never rests on a hash.
+(The hash of a block only decides where it is sorted to; blocks are told apart by their bytes. Rows are found again by
+doc_id and SHA-256, so rows that repeat an id are told apart by the latter.)
 
 Sorting deals rows out by (hash, salt), so that a block which a third of all texts share is spread over many tasks. A
 block that lies on both sides of a boundary between tasks gets its first task's name; the list of such blocks has at
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import SPACE, durable, parts, whole
+from cairnpath.llm.common import SPACE, durable, parts, unused, whole
 
 BLOCK_BYTES = 4096
 #: Names are task << TASK_SHIFT | rank in the task.
@@ -123,8 +124,13 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose texts exact_groups() keeps, one of each group, all columns as they are."""
-    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    keyed = docs.withColumn("cairn_sha", F.sha2(F.encode(F.regexp_replace(whole("text"), SPACE, " "), "UTF-8"), 256))
-    kept = keyed.join(groups, F.col("cairn_sha").eqNullSafe(F.col("kept_sha")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["cairn_sha", "doc_id"]).drop("cairn_sha")
+    """The rows of docs whose texts exact_groups() keeps, one of each group, all columns as they are.
+
+    Null is the empty text. Of equal texts the one with the smallest id stays, one without an id only if none has any; of
+    rows that repeat an id and its text any one stays. An empty table gives no rows; columns may have any names.
+    """
+    sha, kept_id, kept_sha = unused(docs, "text_sha"), unused(docs, "kept_id"), unused(docs, "kept_sha")
+    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    keyed = docs.withColumn(sha, F.sha2(F.encode(F.regexp_replace(whole("text"), SPACE, " "), "UTF-8"), 256))
+    kept = keyed.join(groups, F.col(sha).eqNullSafe(F.col(kept_sha)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return kept.dropDuplicates([sha, "doc_id"]).drop(sha)

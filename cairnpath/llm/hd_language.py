@@ -18,8 +18,12 @@ from pyspark.sql import types as T
 from cairnpath.llm.common import whole
 
 DIMENSIONS, SEED, FOLDS = 1024, 20_011, 5
-#: Trigram vectors that a worker keeps; texts that are compared with the languages at a time.
-KEEP, AT_ONCE = 1 << 15, 64
+#: Trigram vectors that a worker keeps, and that it works with at a time; texts that are compared with the languages at a time.
+KEEP, TOGETHER, AT_ONCE = 1 << 15, 1 << 13, 64
+#: Languages that profiles are learnt of; more distinct values of lang than there are languages are none.
+MOST_LANGUAGES = 8192
+#: The likeness that a document of the corpus needs: three times what unrelated vectors of 1024 dimensions come to by chance.
+LEAST = 3 / DIMENSIONS**0.5
 UNKNOWN = "und"
 _LETTERS: np.ndarray | None = None
 
@@ -55,33 +59,43 @@ class Space:
     def letter(self, code: int) -> np.ndarray:
         v = self._letter.get(code)
         if v is None:
+            if len(self._letter) >= KEEP:
+                self._letter.clear()
             v = self._letter[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dimensions, np.int8) * 2 - 1
         return v
 
-    def _new(self, gram: int) -> np.ndarray:
-        a, b, c = gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
+    def _new(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of some trigrams: products of their letters', the first permuted twice and the second once."""
+        out = np.ones((len(grams), self.dimensions), np.int8)
+        for shift, turns in ((42, 2), (21, 1), (0, 0)):
+            codes, at = np.unique(grams >> shift & 0x1FFFFF, return_inverse=True)
+            out *= np.array([np.roll(self.letter(c), turns) for c in codes.tolist()])[at]
+        return out
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        if len(grams) > KEEP:
-            return np.concatenate([self.vectors(grams[i : i + KEEP]) for i in range(0, len(grams), KEEP)])
-        listed = grams.tolist()
-        if len(self._row) + sum(g not in self._row for g in listed) > KEEP:
+        """A row for each of TOGETHER trigrams at most."""
+        fresh = [g for g in grams.tolist() if g not in self._row]
+        if len(self._row) + len(fresh) > KEEP:
             self._row.clear()
-            self._letter.clear()
-        for g in listed:
-            if g not in self._row:
-                self._rows[len(self._row)] = self._new(g)
-                self._row[g] = len(self._row)
-        return self._rows[[self._row[g] for g in listed]].astype(np.float32)
+            fresh = grams.tolist()
+        if fresh:
+            start = len(self._row)
+            self._rows[start : start + len(fresh)] = self._new(np.array(fresh))
+            self._row.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        return self._rows[[self._row[g] for g in grams.tolist()]].astype(np.float32)
 
     def bundle(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The sums of several texts, a row for each."""
+        """The sums of several texts, a row for each; their trigrams are worked through TOGETHER at a time."""
+        out = np.zeros((len(counted), self.dimensions), np.float32)
         grams = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.empty(0, np.int64)
-        weight = np.zeros((len(counted), len(grams)), np.float32)
-        for i, (g, n) in enumerate(counted):
-            weight[i, np.searchsorted(grams, g)] = n
-        return weight @ self.vectors(grams)
+        for at in range(0, len(grams), TOGETHER):
+            some = grams[at : at + TOGETHER]
+            weight = np.zeros((len(counted), len(some)), np.float32)
+            for i, (g, n) in enumerate(counted):
+                low, high = np.searchsorted(g, some[0]), np.searchsorted(g, some[-1], "right")
+                weight[i, np.searchsorted(some, g[low:high])] = n[low:high]
+            out += weight @ self.vectors(some)
+        return out
 
 
 _SPACES: dict[tuple[int, int], Space] = {}
@@ -98,7 +112,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The vector of each language, from all rows of docs with a text and a lang.
 
-    Tasks add up their own rows, Spark adds up the tasks; what reaches the driver is one vector a language.
+    Tasks add up their own rows, Spark adds up the tasks; what reaches the driver is one vector a language, of
+    MOST_LANGUAGES at most: a lang column with more distinct values is refused.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +124,18 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED)
                 rows = space.bundle([trigrams(t.as_py()) for t in texts[at : at + AT_ONCE]])
                 for lang, row in zip(langs[at : at + AT_ONCE], rows, strict=True):
                     total[lang] = total.get(lang, 0) + row.astype(np.float64)
+            if len(total) > MOST_LANGUAGES:
+                raise ValueError(f"more than {MOST_LANGUAGES} distinct values of lang")
         for lang, row in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(row)], names=["lang", "dim", "value"])
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text")
     summed = known.mapInArrow(sums, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    out: dict[str, np.ndarray] = {}
-    for lang, dim, value in summed.collect():
-        out.setdefault(lang, np.zeros(dimensions))[dim] = value
+    vectors = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value"))  # of one language
+    found = vectors.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct values of lang")
+    out = {lang: np.array(v) for lang, v in found}
     return {lang: v for lang, v in sorted(out.items()) if np.any(v)}
 
 
@@ -165,7 +184,13 @@ def languages(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     return identify(used.select("doc_id", "text"), profiles).select("row.doc_id", (fold(F.col("row.doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """The rows of docs in which a language is found, all columns as they are."""
+def keep_identified(docs: DataFrame, folds: int = FOLDS, wanted: set[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of docs in a wanted language (all that are learnt, if none are named), all columns as they are.
+
+    A row goes if its text is no more like any learnt language than chance makes it (a score under least), is null or
+    without letters, or if the language that it is most like isn't wanted. Ties go to the first language by name. Repeated
+    rows are decided alike; an empty table gives no rows; columns may have any names.
+    """
     profiles = prototypes(docs.filter(fold(F.col("doc_id"), folds) != 0))
-    return identify(docs, profiles).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    named = identify(docs, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return (named if wanted is None else named.filter(F.col("lang_pred").isin(sorted(wanted)))).select("row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, parts
+from cairnpath.llm.common import durable, parts, unused
 
 #: Slots a span, at least; sources up to which what numbers the rows is broadcast.
 BLOCK_DOCS, EXPONENT, SPAN, FEW = 16, 0.7, 1024, 1000
@@ -202,8 +202,10 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, blo
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """All rows of docs, all columns as they are, dealt out and sorted in the order of the mix.
 
-    Rows that repeat a doc_id go where the first of them goes.
+    Rows that repeat a doc_id, or have none, go where the first of them goes; a null source is one with the empty name. An
+    empty table gives no rows; columns may have any names.
     """
-    order = mix(docs, weights).groupBy("doc_id").agg(F.min("position").alias("mix_position")).withColumnRenamed("doc_id", "mix_id")
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
-    return placed.repartitionByRange(parts(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position").drop("mix_position")
+    place, key = unused(docs, "mix_position"), unused(docs, "mix_id")
+    order = mix(docs, weights).groupBy("doc_id").agg(F.min("position").alias(place)).withColumnRenamed("doc_id", key)
+    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    return placed.repartitionByRange(parts(docs.sparkSession), place).sortWithinPartitions(place).drop(place)

@@ -229,6 +229,7 @@ def discover(edges: DataFrame) -> DataFrame:
             break
         mark = now
         scores = known.unionByName(fresh.join(claims, "text").select("pattern", "text", "kind", "score", F.lit(0).alias("seed")))
+    forget(graph)
     best = claims.groupBy("text").agg(F.max_by(F.struct("kind", "score"), F.struct("score", F.col("kind") != "digest", "kind")).alias("best"))
     return best.select("text", "best.kind", "best.score").filter("kind <> 'digest'")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, whole
+from cairnpath.llm.common import durable, forget, parts, scratch, unused, whole
 from cairnpath.llm.components import components
 
 SHINGLE_WORDS, SEED, CROWD = 3, 42, 32
@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints fp -> pairs a, b whose components are those of all pairs within two bits."""
-    slots = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
+    # Fingerprints are a small table that Spark reads in few tasks; each makes 64 rows, so they are dealt out first.
+    slots = fps.select("fp").repartition(parts(fps.sparkSession)).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
     segment = F.when(F.col("slot") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wild = F.expr("shiftleft(1L, slot & 31)")
     keyed = slots.select("fp", F.expr("shiftleft(cast(slot as long), 32)").bitwiseOR(segment.bitwiseAND(F.bitwise_not(wild))).alias("key"))
@@ -83,6 +84,15 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars)
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """fp and root, the smallest fingerprint that links lead to, of those with links; only its last table is left."""
+    with scratch() as made:
+        roots = components(links(fps), "near").withColumnRenamed("node", "fp")
+    for table in made[:-1]:
+        forget(table)
+    return roots
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -92,7 +102,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     rows = durable(fingerprints(docs), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(fps.select("fp")), "near").withColumnRenamed("node", "fp")
+    roots = _roots(fps.select("fp"))
     rooted = durable(fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
@@ -110,7 +120,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"), key.alias("row_key"))
     rows = durable(keyed.mapInArrow(_keyed_fingerprints, "doc_id long, row_key binary, fp long"), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("low"))
-    roots = components(links(fps.select("fp")), "near").withColumnRenamed("node", "fp")
+    roots = _roots(fps.select("fp"))
     lows = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
-    stay = lows.select(F.col("low.row_key").alias("near_row_key"))
-    return docs.withColumn("near_row_key", key).join(stay, "near_row_key", "left_semi").dropDuplicates(["near_row_key"]).select(*docs.columns)
+    name = unused(docs, "near_row_key")
+    stay = lows.select(F.col("low.row_key").alias(name))
+    return docs.withColumn(name, key).join(stay, name, "left_semi").dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
