@@ -3,7 +3,11 @@
 Features are the words of a text and the beginnings of its longer words. Which of them say something about the label is
 counted over all training rows; the weights are fitted on a bounded sample of them. For each sampled text that mentions a
 group of people, a second one is made in which the terms are swapped for others of the same kind; the fit is penalised by
-the squared difference of their scores, so that a mention of a group carries no weight of its own.
+the squared difference of the two scores, so that a mention of a group carries no weight of its own.
+
+A feature gets a weight if its correlation with the label is EFFECT or more, whatever the number of rows, and is no
+accident of few rows (SIGNIFICANCE). A feature that correlates so much is in a certain share of the texts of its label, so
+there can be no more of them than such shares have room for: their number goes with the words of a text, not with rows.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from pyspark.sql import functions as F
 from cairnpath.llm.common import durable, forget, whole
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-#: Labelled rows that the weights are fitted on, features that get a weight, and the least association that they need.
-SAMPLE, FEATURES, ASSOCIATION = 20_000, 1024, 6.0
+#: Labelled rows that the weights are fitted on, about; the least correlation of a feature, and in how many standard deviations.
+SAMPLE, EFFECT, SIGNIFICANCE = 20_000, 0.03, 5.0
 PREFIXES = (4, 5, 6)
-RIDGE, COUNTERFACTUAL, STEPS = 1.0, 20.0, 30
+#: Penalties of the squared weights, and of the squared differences of scores; steps of the fit, and those it looks back on.
+RIDGE, COUNTERFACTUAL, STEPS, MEMORY = 1.0, 20.0, 300, 12
 #: Features a task counts before it hands the counts on.
 FLUSH = 400_000
 #: Terms for groups of people; each is swapped for the next in its list.
@@ -70,16 +75,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def choose(training: DataFrame, most: int = FEATURES) -> list[str]:
-    """The features most associated with the label, over all rows of training (toxic, text), and the terms for groups."""
+def choose(training: DataFrame, effect: float = EFFECT, significance: float = SIGNIFICANCE) -> list[str]:
+    """The features that correlate with the label, over all rows of training (toxic, text), and the terms for groups."""
     counted = training.select("toxic", "text").mapInArrow(_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counted.filter("feature = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))
-    p = F.try_divide(F.col("n0") + F.col("n1"), F.col("all0") + F.col("all1"))
-    spread = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), "all0") + F.try_divide(F.lit(1), "all1")))
     scored = counted.filter("feature <> '' AND n0 + n1 >= 3").crossJoin(F.broadcast(total)).filter("all0 > 0 AND all1 > 0")  # one row
-    scored = scored.withColumn("z", F.try_divide(F.abs(F.try_divide("n1", "all1") - F.try_divide("n0", "all0")), spread))
-    best = scored.filter(F.col("z") >= ASSOCIATION).orderBy(F.desc("z"), "feature").limit(most).select("feature").collect()
-    return sorted({r[0] for r in best} | SWAP.keys())
+    n, p, q = (F.col("all0") + F.col("all1")).cast("double"), (F.col("n0") + F.col("n1")).cast("double"), F.col("all1").cast("double")
+    phi = F.try_divide(F.abs(F.col("n1") * n - p * q), F.sqrt(p * (n - p) * q * (n - q)))
+    return sorted({r[0] for r in scored.filter((phi >= effect) & (phi * F.sqrt(n) >= significance)).select("feature").collect()} | SWAP.keys())
 
 
 def _vectors(names: dict[str, int]):
@@ -97,43 +100,90 @@ def _vectors(names: dict[str, int]):
     return run
 
 
+class Objective:
+    """What a fit makes small: the logistic loss, RIDGE and COUNTERFACTUAL penalties; the last weight is the bias."""
+
+    def __init__(self, y: np.ndarray, own: list[np.ndarray], swapped: list[np.ndarray | None], features: int):
+        self.y, self.k = y, features
+        self.rows, self.at = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+        self.pairs = np.array([i for i, x in enumerate(swapped) if x is not None], np.int64)
+        other = [swapped[i] for i in self.pairs]
+        self.other_rows, self.other_at = np.repeat(np.arange(len(other)), [len(x) for x in other]), np.concatenate([*other, np.empty(0, np.int64)])
+        self.fixed = float(np.log(y.mean() / (1 - y.mean())))
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value and the gradient."""
+        sums = np.bincount(self.rows, w[self.at], len(self.y)) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(sums, -60, 60)))
+        value = float(np.logaddexp(0, sums).sum() - (self.y * sums).sum() + RIDGE / 2 * (w[:-1] @ w[:-1]) + 1e-3 / 2 * (w[-1] - self.fixed) ** 2)
+        slope = p - self.y
+        grad = np.append(RIDGE * w[:-1], slope.sum() + 1e-3 * (w[-1] - self.fixed))
+        if len(self.pairs):
+            other = 1 / (1 + np.exp(-np.clip(np.bincount(self.other_rows, w[self.other_at], len(self.pairs)) + w[-1], -60, 60)))
+            gap = p[self.pairs] - other
+            value += COUNTERFACTUAL / 2 * float(gap @ gap)
+            mine, theirs = COUNTERFACTUAL * gap * p[self.pairs] * (1 - p[self.pairs]), COUNTERFACTUAL * gap * other * (1 - other)
+            np.add.at(slope, self.pairs, mine)
+            grad[:-1] -= np.bincount(self.other_at, theirs[self.other_rows], self.k)
+            grad[-1] += mine.sum() - theirs.sum()
+        grad[:-1] += np.bincount(self.at, slope[self.rows], self.k)
+        return value, grad
+
+
+def minimise(objective: Objective, w: np.ndarray) -> np.ndarray:
+    """A limited-memory quasi-Newton descent with halved steps."""
+    value, grad = objective(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(grad).max() < 1e-3:
+            break
+        way, used = grad.copy(), []
+        for s, g in reversed(moves):
+            a = (s @ way) / (s @ g)
+            way -= a * g
+            used.append(a)
+        if moves:
+            s, g = moves[-1]
+            way *= (s @ g) / (g @ g)
+        for (s, g), a in zip(moves, reversed(used), strict=True):
+            way += s * (a - (g @ way) / (s @ g))
+        step = 1.0 if moves else 1.0 / max(1.0, float(np.abs(way).max()))
+        while True:
+            to = w - step * way
+            after, slope = objective(to)
+            if after <= value - 1e-4 * step * (way @ grad) or step < 1e-10:
+                break
+            step /= 2
+        if (to - w) @ (slope - grad) > 1e-12:
+            moves = [*moves, (to - w, slope - grad)][-MEMORY:]
+        else:
+            moves = []
+        if step < 1e-10:
+            break
+        w, value, grad = to, after, slope
+    return w
+
+
 def fit(training: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Weights of features and the bias, from rows with toxic (0 or 1) and text. Without both labels there, all are 0."""
+    """Weights of features and the bias, from rows with toxic (0 or 1) and text. Without both labels there, all are 0.
+
+    The sample is drawn row by row, so that rows that repeat an id or a text don't come all together.
+    """
     names = {f: i for i, f in enumerate(choose(training))}
     n = training.count()
-    part = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < sample).select("toxic", "text")
-    rows = part.mapInArrow(_vectors(names), "toxic int, own array<int>, swapped array<int>").collect()
-    y = np.array([r[0] for r in rows], np.float32)
+    part = training.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(n, 1))) < sample).select("toxic", "text")
+    rows = part.mapInArrow(_vectors(names), "toxic int, own array<int>, swapped array<int>").toArrow()
+    y = rows.column("toxic").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         return {}, 0.0
-    x = np.zeros((len(rows), len(names)), np.float32)
-    pairs = [r for r in rows if r[2] is not None]
-    apart = np.zeros((len(pairs), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r[1]] = 1
-    for i, r in enumerate(pairs):
-        apart[i, r[1]] += 1
-        apart[i, r[2]] -= 1
-    w, bias = np.zeros(len(names), np.float32), float(np.log(y.mean() / (1 - y.mean())))
-    # Newton's method; the bias is a last column without a ridge.
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.append(w, np.float32(bias))
-    fixed = np.diag(np.append(np.full(len(names), RIDGE, np.float32), np.float32(1e-3)))
-    if len(pairs):
-        fixed[:-1, :-1] += COUNTERFACTUAL * apart.T @ apart
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + fixed @ w - np.append(np.zeros(len(names), np.float32), np.float32(1e-3 * bias))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + fixed, slope)
-        w = w - step.astype(np.float32)
-        if np.abs(step).max() < 1e-3:
-            break
-    w, bias = w[:-1], float(w[-1])
-    return {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-6}, bias
+    lists = [[None if x is None else np.array(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("own", "swapped")]
+    objective = Objective(y, *lists, len(names))
+    w = minimise(objective, np.append(np.zeros(len(names)), objective.fixed))
+    return {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-6}, float(w[-1])
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """doc_id and score of each row; weights has FEATURES entries and the group terms at most."""
+    """doc_id and score of each row: the logistic function of the bias and the weights of the features that its text has."""
     plain = {f: w for f, w in weights.items() if not f.endswith("*")}
     starts = {n: {f[:-1]: w for f, w in weights.items() if f.endswith("*") and len(f) == n + 1} for n in PREFIXES}
 
