@@ -26,12 +26,14 @@ def slug(c: Column) -> Column:
 
 
 def elevation_m(c: Column) -> Column:
-    """Metres of texts such as "1,629 m", "5344 ft" or "1629"; null if out of range or anything else."""
-    clean = F.lower(F.regexp_replace(c, "[, ]", ""))
-    value = F.regexp_extract(clean, r"^(-?[0-9]+(?:\.[0-9]+)?)(m|metres|meters|ft|feet|')?$", 1)
-    unit = F.regexp_extract(clean, r"^(-?[0-9]+(?:\.[0-9]+)?)(m|metres|meters|ft|feet|')?$", 2)
-    metres = F.when(value != "", value.try_cast("double")) * F.when(unit.isin("ft", "feet", "'"), 0.3048).otherwise(1.0)
-    return F.when(metres.between(-430, 8900), metres)
+    """Metres, to a tenth, of texts such as "1629", "1629.5 m" or "5344 ft"; null if out of range or anything else.
+
+    A comma may part thousands or decimals, so a text with one says nothing.
+    """
+    shape = r"(?i)^(-?[0-9]+(?:\.[0-9]+)?)\s*(m|meters?|metres?|ft|feet|')?$"
+    value, unit = (F.regexp_extract(F.trim(c), shape, k) for k in (1, 2))
+    metres = F.when(value != "", value.try_cast("double")) * F.when(F.lower(unit).isin("ft", "feet", "'"), 0.3048).otherwise(1.0)
+    return F.when(metres.between(-430, 8900), F.round(metres, 1))
 
 
 #: Number words of a request.

@@ -9,22 +9,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back; a folder of its own where that is unset, in one process only."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share; one of its own where spark.checkpoint.dir is unset, in one process only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairnpath-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = f"{shared(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes what settled() wrote, once nothing reads it any more."""
+    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df._cairn_path)
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def both_ways(edges: DataFrame, cost: Column, back: Column) -> DataFrame:
@@ -41,7 +54,8 @@ def pieces(edges: DataFrame) -> DataFrame:
         least = pairs.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("piece").alias("near"))
         lower = labels.join(least, "node", "left").select("node", F.least("piece", F.coalesce("near", "piece")).alias("piece"))
         root = lower.select(F.col("node").alias("piece"), F.col("piece").alias("root"))
-        labels = settled(lower.join(root, "piece", "left").select("node", F.least("piece", F.coalesce("root", "piece")).alias("piece")))
+        old, labels = labels, settled(lower.join(root, "piece", "left").select("node", F.least("piece", F.coalesce("root", "piece")).alias("piece")))
+        forget(old)
         now = labels.agg(F.sum("piece")).first()[0]
         if now == mark:
             return labels
@@ -55,15 +69,15 @@ def reach(directed: DataFrame, sources: DataFrame, most: float | None = None) ->
     """
     best = settled(sources.groupBy("node").agg(F.min("source").alias("source")).withColumn("cost", F.lit(0.0)).select("node", "cost", "source"))
     fresh = best
-    while fresh.limit(1).count():
+    while not fresh.isEmpty():
         steps = fresh.withColumnsRenamed({"node": "src", "cost": "so_far"}).join(directed, "src").select(F.col("dst").alias("node"), F.round(F.col("so_far") + F.col("cost"), 6).alias("cost"), "source")
         if most is not None:
             steps = steps.filter(F.col("cost") <= most)
-        found = best.union(steps).groupBy("node").agg(F.min(F.struct("cost", "source")).alias("b")).select("node", "b.cost", "b.source")
-        after = settled(found)
-        fresh = after.join(best.withColumnsRenamed({"cost": "c0", "source": "s0"}), "node", "left").filter("c0 IS NULL OR cost < c0 OR cost = c0 AND source < s0").select("node", "cost", "source")
-        best = after
-    return best
+        found = best.select("node", "cost", "source").union(steps).groupBy("node").agg(F.min(F.struct("cost", "source")).alias("b")).select("node", "b.cost", "b.source")
+        old, best = best, settled(found.join(best.withColumnsRenamed({"cost": "c0", "source": "s0"}), "node", "left").select("node", "cost", "source", F.expr("c0 IS NULL OR cost < c0 OR cost = c0 AND source < s0").alias("better")))
+        fresh = best.filter("better").drop("better")
+        forget(old)
+    return best.drop("better")
 
 
 def cut_ways(vertices: DataFrame) -> DataFrame:

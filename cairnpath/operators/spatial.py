@@ -7,9 +7,13 @@ join keys, which adaptive execution splits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnpath.operators.graph import settled
+
 FAR = 8
 
 
@@ -32,24 +36,46 @@ def within(points: DataFrame, features: DataFrame, metres: float) -> DataFrame:
     return met.filter(F.col("distance_m") <= metres).drop("cell_x", "cell_y")
 
 
-def nearest_k(points: DataFrame, features: DataFrame, key: str, feature_key: str, k: int, metres: float, by: list[str] | None = None) -> DataFrame:
-    """The k nearest features of each point up to a distance, for each value of by; ties by feature_key. rank is from 1.
+def _first_radius(points: DataFrame, features: DataFrame, k: int) -> tuple[float, float]:
+    """A radius in which about 2 k features are expected, and one that reaches from any point to any feature."""
+    box = lambda df: df.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("x_m", "y_m")), F.count(F.lit(1)).alias("n")).first()
+    p, q = box(points), box(features)
+    if not p["n"] or not q["n"]:
+        return 1.0, 1.0
+    across = [max(p[f"hi_{c}"], q[f"hi_{c}"]) - min(p[f"lo_{c}"], q[f"lo_{c}"]) for c in ("x_m", "y_m")]
+    area = max(1.0, (q["hi_x_m"] - q["lo_x_m"]) * (q["hi_y_m"] - q["lo_y_m"]))
+    reach = max(1.0, 1.001 * (across[0] ** 2 + across[1] ** 2) ** 0.5)
+    return min(reach, (2 * k * area / (3.1416 * q["n"])) ** 0.5), reach
+
 
-    A small radius is tried first; only points that it doesn't satisfy are joined with the whole radius.
+def nearest_k(points: DataFrame, features: DataFrame, key: str, feature_key: str, k: int, metres: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """The k nearest features of each point, up to a distance if one is given, for each value of by; ties by feature_key. rank is from 1.
+
+    Rings grow fourfold: a point with k features of each kind within a radius is done, the others go on to the next one, up
+    to the distance or, without one, as far as any feature is. Each ring is one join and one ranking, and a table.
     """
     by = by or []
-    rank = F.row_number().over(Window.partitionBy(key, *by).orderBy("distance_m", feature_key))
-    groups = features.select(*by).distinct() if by else None
-    close = within(points, features, metres / FAR)
-    if by:
-        full = close.groupBy(key, *by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        n_groups = groups.agg(F.count(F.lit(1)).alias("groups"))  # one row
-        done = full.groupBy(key).agg(F.count(F.lit(1)).alias("full")).crossJoin(F.broadcast(n_groups)).filter("full >= groups").select(key)
+    own = Window.partitionBy(key, *by)
+    rank = F.row_number().over(own.orderBy("distance_m", feature_key))
+    kinds = features.select(*by).distinct().count() if by else 1
+    if metres is None:
+        radius, last = _first_radius(points, features, k)
     else:
-        done = close.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(key)
-    near = close.join(done, key, "left_semi")
-    far = within(points.join(done, key, "left_anti"), features, metres)
-    return near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
+        radius, last = metres / FAR, metres
+    left, done = points, []
+    while True:
+        ranked = within(left, features, radius).withColumn("rank", rank).filter(F.col("rank") <= k)
+        if radius >= last:
+            done.append(ranked)
+            break
+        ranked = settled(ranked)
+        full = ranked.groupBy(key).agg(F.count_if(F.col("rank") == k).alias("full")).filter(F.col("full") >= kinds).select(key)
+        done.append(ranked.join(full, key, "left_semi"))
+        left = settled(left.join(full, key, "left_anti"))
+        if left.isEmpty():
+            break
+        radius = min(last, 4 * radius) if metres is None else last
+    return reduce(DataFrame.unionByName, done)
 
 
 def projection(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
@@ -62,12 +88,31 @@ def projection(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
 
 
 def near_segments(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
-    """Points with the segments (ax, ay, bx, by) within a distance: t along the segment and distance_m."""
+    """Points with the segments (ax, ay, bx, by) within a distance: t along the segment and distance_m.
+
+    Cells are twice the distance wide; of those about a segment only the ones that it comes near enough to are kept.
+    """
+    size, c = 2.0 * metres, F.col
     low, high = lambda a, b: F.least(a, b) - metres, lambda a, b: F.greatest(a, b) + metres
-    spread = segments.withColumn("cell_x", around(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")), metres)).withColumn("cell_y", around(low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")), metres))
-    placed = points.withColumn("cell_x", cell("x_m", metres)).withColumn("cell_y", cell("y_m", metres))
-    t, d = projection(*(F.col(c) for c in ("x_m", "y_m", "ax", "ay", "bx", "by")))
-    return placed.join(spread, ["cell_x", "cell_y"]).withColumn("t", t).withColumn("distance_m", d).filter(F.col("distance_m") <= metres).drop("cell_x", "cell_y")
+    spread = segments.withColumn("cell_x", around(low(c("ax"), c("bx")), high(c("ax"), c("bx")), size)).withColumn("cell_y", around(low(c("ay"), c("by")), high(c("ay"), c("by")), size))
+    middle = lambda k: (c(k) + 0.5) * size
+    _, off = projection(middle("cell_x"), middle("cell_y"), *(c(k) for k in ("ax", "ay", "bx", "by")))
+    spread = spread.filter(off <= metres + 0.7072 * size)
+    placed = points.withColumn("cell_x", cell("x_m", size)).withColumn("cell_y", cell("y_m", size))
+    t, d = projection(*(c(k) for k in ("x_m", "y_m", "ax", "ay", "bx", "by")))
+    return placed.join(spread, ["cell_x", "cell_y"]).withColumn("t", t).withColumn("distance_m", d).filter(c("distance_m") <= metres).drop("cell_x", "cell_y")
+
+
+def segment_distance(points: DataFrame, segments: DataFrame, key: str, rings: list[float]) -> DataFrame:
+    """key and nearest_m: how far each point's nearest segment is, up to the last ring; only points without one go on to the next ring."""
+    left, done = points, []
+    for metres in rings:
+        found = near_segments(left, segments, metres).groupBy(key).agg(F.min("distance_m").alias("nearest_m"))
+        if metres != rings[-1]:
+            found = settled(found)
+            left = left.join(found, key, "left_anti")
+        done.append(found)
+    return reduce(DataFrame.unionByName, done)
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
@@ -94,12 +139,13 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def segments(vertices: DataFrame) -> DataFrame:
-    """Ways as rows of vertices (way_id, pos) -> their segments with the length before each."""
+    """Ways as rows of vertices (way_id, pos) -> their segments with the length before each and of the whole way."""
     order = Window.partitionBy("way_id").orderBy("pos")
     step = F.sqrt((F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay")))
     out = vertices.select("way_id", "pos", F.col("x_m").alias("ax"), F.col("y_m").alias("ay"), F.lead("x_m").over(order).alias("bx"), F.lead("y_m").over(order).alias("by")).filter("bx IS NOT NULL")
     out = out.withColumn("length_m", step)
-    return out.withColumn("before_m", F.coalesce(F.sum("length_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    out = out.withColumn("before_m", F.coalesce(F.sum("length_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return out.withColumn("way_m", F.sum("length_m").over(Window.partitionBy("way_id")))
 
 
 def clip_to_box(ax: Column, ay: Column, bx: Column, by: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> tuple[Column, Column]:

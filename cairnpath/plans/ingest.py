@@ -47,12 +47,24 @@ def area_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tiles.select("area", "i", "j", F.format_string("%d/tile-%d-%d", "area", "i", "j").alias("tile_id"), F.round(at(F.col("i")), 6).alias("west"), F.round(F.when(F.col("i") == F.col("nx") - 1, F.col("e")).otherwise(at(F.col("i") + 1)), 6).alias("east"))
 
 
-@query("flow_codes", "SELECT p_partkey AS id, code, CASE code WHEN 46006 THEN TRUE WHEN 46007 THEN FALSE WHEN 46003 THEN FALSE END AS perennial, CASE code WHEN 46000 THEN 'stream' WHEN 46003 THEN 'stream' WHEN 46006 THEN 'stream' WHEN 46007 THEN 'stream' ELSE 'other' END AS feature_type FROM (SELECT p_partkey, 46000 + [0, 3, 6, 7, 9][p_size % 5 + 1] AS code FROM part)")
+@query("flow_codes", "SELECT p_partkey AS id, code, CASE code WHEN 46006 THEN TRUE WHEN 46007 THEN FALSE WHEN 46003 THEN FALSE END AS perennial, 'stream' AS feature_type FROM (SELECT p_partkey, 46000 + [0, 3, 6, 7][p_size % 4 + 1] AS code FROM part)")
 def flow_codes(spark: SparkSession, d: str) -> DataFrame:
-    """A broadcast code table; codes that it lacks keep a null."""
+    """A broadcast code table; a code that it lacks stops the load."""
     codes = spark.createDataFrame([(46000, None), (46003, False), (46006, True), (46007, False)], "code int, perennial boolean").withColumn("feature_type", F.lit("stream"))  # four rows
-    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (46000 + F.element_at(F.array(*(F.lit(x) for x in (0, 3, 6, 7, 9))), F.col("p_size") % 5 + 1)).alias("code"))
-    return part.join(F.broadcast(codes), "code", "left").select("id", "code", "perennial", F.coalesce("feature_type", F.lit("other")).alias("feature_type"))
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (46000 + F.element_at(F.array(*(F.lit(x) for x in (0, 3, 6, 7))), F.col("p_size") % 4 + 1)).alias("code"))
+    known = F.coalesce(F.col("feature_type"), F.raise_error(F.format_string("unknown flow code %d", "code")).cast("string"))
+    return part.join(F.broadcast(codes), "code", "left").select("id", "code", "perennial", known.alias("feature_type"))
+
+
+@query("waterbody_codes", "SELECT p_partkey AS id, ftype, fcode, CASE ftype WHEN 390 THEN 'lake' WHEN 436 THEN 'lake' WHEN 466 THEN 'wetland' ELSE 'other' END AS feature_type, CASE fcode WHEN 39004 THEN TRUE WHEN 39001 THEN FALSE WHEN 46602 THEN TRUE WHEN 46601 THEN FALSE END AS perennial FROM (SELECT p_partkey, [390, 436, 466, 361, 378][p_size % 5 + 1] AS ftype, [39004, 39001, 46602, 46601, 43600, 39010][p_partkey % 6 + 1] AS fcode FROM part)")
+def waterbody_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Waterbodies: an unknown type stops the load, an unknown code says nothing of whether there is water all year."""
+    kinds = spark.createDataFrame([(390, "lake"), (436, "lake"), (466, "wetland"), (361, "other"), (378, "other")], "ftype int, feature_type string")  # five rows
+    codes = spark.createDataFrame([(39004, True), (39001, False), (46602, True), (46601, False)], "fcode int, perennial boolean")  # four rows
+    at = lambda values, n: F.element_at(F.array(*(F.lit(x) for x in values)), (n + 1).cast("int"))
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("id"), at((390, 436, 466, 361, 378), F.col("p_size") % 5).alias("ftype"), at((39004, 39001, 46602, 46601, 43600, 39010), F.col("p_partkey") % 6).alias("fcode"))
+    known = F.coalesce(F.col("feature_type"), F.raise_error(F.format_string("unknown waterbody type %d", "ftype")).cast("string"))
+    return part.join(F.broadcast(kinds), "ftype", "left").join(F.broadcast(codes), "fcode", "left").select("id", "ftype", "fcode", known.alias("feature_type"), "perennial")
 
 
 @query("synthetic_ids", "SELECT n_nationkey AS id, sha256(concat_ws('|', n_name, 'designation', CAST(n_regionkey AS VARCHAR), format('{:.4f}', n_nationkey / 3e0))) AS source_id FROM nation")
@@ -60,17 +72,36 @@ def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.sha2(F.concat_ws("|", "n_name", F.lit("designation"), F.col("n_regionkey").cast("string"), F.format_string("%.4f", F.col("n_nationkey") / 3.0)), 256).alias("source_id"))
 
 
-TAGS = "CASE p_size % 5 WHEN 0 THEN 'sidewalk' WHEN 1 THEN 'crossing' WHEN 2 THEN NULL WHEN 3 THEN 'link' ELSE 'path' END"
-
-
-@query("hiking_ways", f"SELECT p_partkey AS id, coalesce(footway NOT IN ('sidewalk', 'crossing', 'traffic_island', 'access_aisle'), TRUE) AND NOT golf AS hiking, footway IN ('sidewalk', 'crossing', 'link') AND NOT golf AS connector FROM (SELECT p_partkey, {TAGS} AS footway, p_partkey % 13 = 0 AS golf FROM part)")
+#: Tag values of ways that may be walked between trails, or not.
+ROADS = ("secondary", "tertiary", "unclassified", "residential", "living_street", "service")
+PAVED, CLOSED, DRIVES = ("sidewalk", "crossing"), ("private", "no"), ("parking_aisle", "drive-through")
+#: Example tags of ways, as expressions over part.
+WAY_TAGS = {
+    "highway": "CASE p_size % 8 WHEN 0 THEN 'footway' WHEN 1 THEN 'service' WHEN 2 THEN 'residential' WHEN 3 THEN 'path' WHEN 4 THEN 'footway' WHEN 5 THEN 'motorway' WHEN 6 THEN ' tertiary ' ELSE 'track' END",
+    "footway": "CASE p_partkey % 6 WHEN 0 THEN 'sidewalk' WHEN 1 THEN 'crossing' WHEN 2 THEN 'link' WHEN 3 THEN 'access_aisle' END",
+    "access": "CASE p_partkey % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'no' WHEN 2 THEN 'permissive' END",
+    "foot": "CASE p_partkey % 11 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END",
+    "service": "CASE p_partkey % 5 WHEN 0 THEN 'parking_aisle' WHEN 1 THEN 'driveway' END",
+    "golf": "CASE WHEN p_partkey % 13 = 0 THEN 'hole' END",
+}
+_IN = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+@query(
+    "hiking_ways",
+    f"""SELECT id, coalesce(footway NOT IN ('sidewalk', 'crossing', 'traffic_island', 'access_aisle'), TRUE) AND golf IS NULL AS hiking,
+        CASE WHEN hw = 'footway' THEN coalesce(footway IN {_IN(PAVED)}, FALSE) ELSE hw IN {_IN(ROADS)} END AND coalesce(access NOT IN {_IN(CLOSED)}, TRUE) AND coalesce(foot <> 'no', TRUE) AND NOT (hw = 'service' AND coalesce(service IN {_IN(DRIVES)}, FALSE)) AS connector
+        FROM (SELECT p_partkey AS id, trim({WAY_TAGS['highway']}) AS hw, """ + ", ".join(f"{e} AS {k}" for k, e in WAY_TAGS.items() if k != "highway") + " FROM part)",
+)
 def hiking_ways(spark: SparkSession, d: str) -> DataFrame:
-    """Ways of which the tags say that they are trails, or that they join trails."""
-    part = load(spark, d, "part").withColumn("footway", F.expr(TAGS))
-    tags = F.map_filter(F.map_from_arrays(F.array(F.lit("footway"), F.lit("golf")), F.array(F.col("footway"), F.when(F.col("p_partkey") % 13 == 0, "hole"))), lambda _, v: v.isNotNull())
-    tagged = part.withColumn("tags", tags)
-    foot, golf = F.col("tags")["footway"], F.map_contains_key("tags", F.lit("golf"))
-    return tagged.select(F.col("p_partkey").alias("id"), (F.coalesce(~foot.isin("sidewalk", "crossing", "traffic_island", "access_aisle"), F.lit(True)) & ~golf).alias("hiking"), (foot.isin("sidewalk", "crossing", "link") & ~golf).alias("connector"))
+    """Ways of which the tags say that they are trails, or roads and pavements that join trails."""
+    tags = F.map_filter(F.create_map(*(x for k, e in WAY_TAGS.items() for x in (F.lit(k), F.expr(e)))), lambda _, v: v.isNotNull())
+    tagged = load(spark, d, "part").withColumn("tags", tags)
+    at = lambda k: F.trim(F.coalesce(F.col("tags")[k], F.lit("")))
+    hiking = ~at("footway").isin("sidewalk", "crossing", "traffic_island", "access_aisle") & ~F.map_contains_key("tags", F.lit("golf"))
+    way = F.when(at("highway") == "footway", at("footway").isin(*PAVED)).otherwise(at("highway").isin(*ROADS))
+    connector = way & ~at("access").isin(*CLOSED) & (at("foot") != "no") & ~((at("highway") == "service") & at("service").isin(*DRIVES))
+    return tagged.select(F.col("p_partkey").alias("id"), hiking.alias("hiking"), connector.alias("connector"))
 
 
 @query("site_types", "SELECT p_partkey AS id, CASE WHEN p_type LIKE '%STEEL' THEN 'lean_to' WHEN p_type LIKE 'ECONOMY%' THEN 'backcountry' WHEN p_size > 30 THEN 'campground' ELSE 'unknown' END AS site_type, CASE WHEN p_brand LIKE '%1' THEN TRUE WHEN p_brand LIKE '%2' THEN FALSE END AS reservable, TRY_CAST(CASE WHEN p_size % 4 = 0 THEN 'many' ELSE CAST(p_size AS VARCHAR) END AS INT) AS capacity FROM part")

@@ -79,14 +79,19 @@ def alerts_by_severity(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("event_id", "event_type", F.col("rank").cast("long").alias("rank"))
 
 
-@query("thinned_candidates", sql("b AS (SELECT site_id, CAST(floor(x_m / 2000) AS BIGINT) AS station, elevation_m FROM sites), best AS (SELECT station, arg_min(site_id, struct_pack(a := coalesce(elevation_m, 9e9), b := site_id)) AS site_id FROM b GROUP BY station), n AS (SELECT *, row_number() OVER (ORDER BY station) - 1 AS k, count(*) OVER () AS n FROM best) SELECT station, site_id FROM n WHERE n <= 20 OR CAST(floor(k * 20e0 / n) AS BIGINT) <> CAST(floor((k - 1) * 20e0 / n) AS BIGINT)", "sites"))
+#: Candidates of a line that are scored.
+SCORED = 20
+
+
+@query("thinned_candidates", sql("b AS (SELECT site_id, CAST(floor(y_m / 5000) AS BIGINT) AS line_id, CAST(floor(x_m / 2000) AS BIGINT) AS station, elevation_m FROM sites), best AS (SELECT line_id, station, arg_min(site_id, struct_pack(a := coalesce(elevation_m, 9e9), b := site_id)) AS site_id FROM b GROUP BY line_id, station), n AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY station) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM best) SELECT line_id, station, site_id FROM n WHERE n <= 20 OR k IN (SELECT CAST(floor(j * (n / 20e0)) AS BIGINT) FROM range(20) r(j))", "sites"))
 def thinned_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate of each station, then an even pick of twenty stations; stations of a line are few."""
-    station = F.floor(F.col("x_m") / 2000)
-    best = load(spark, d, "sites").groupBy(station.alias("station")).agg(F.min_by("site_id", F.struct(F.coalesce("elevation_m", F.lit(9e9)), "site_id")).alias("site_id"))
-    numbered = best.groupBy().agg(F.array_sort(F.collect_list(F.struct("station", "site_id"))).alias("all")).select(F.size("all").alias("n"), F.posexplode("all").alias("k", "s"))
-    pick = (F.col("n") <= 20) | (F.floor(F.col("k") * 20.0 / F.col("n")) != F.floor((F.col("k") - 1) * 20.0 / F.col("n")))
-    return numbered.filter(pick).select("s.station", "s.site_id")
+    """The best candidate of each station of a line, then twenty of them evenly: every int(j * n / 20)-th. A line has fifty stations."""
+    c = F.col
+    best = load(spark, d, "sites").groupBy(F.floor(c("y_m") / 5000).alias("line_id"), F.floor(c("x_m") / 2000).alias("station")).agg(F.min_by("site_id", F.struct(F.coalesce("elevation_m", F.lit(9e9)), "site_id")).alias("site_id"))
+    line = Window.partitionBy("line_id")
+    numbered = best.withColumn("k", F.row_number().over(line.orderBy("station")) - 1).withColumn("n", F.count(F.lit(1)).over(line))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(SCORED - 1)), lambda j: F.floor(j * (c("n") / float(SCORED))))
+    return numbered.filter((c("n") <= SCORED) | F.array_contains(picks, c("k").cast("long"))).select("line_id", "station", "site_id")
 
 
 NAMES = "concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), CASE p_partkey % 3 WHEN 0 THEN ' Été' WHEN 1 THEN ' Pond' ELSE ' Ñandú' END)"
@@ -99,13 +104,13 @@ def name_search(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name")).filter(text.has_all_words(F.col("name"), ["e", "ete"])).withColumn("slug", text.slug(F.col("name")))
 
 
-ELE = "CASE p_partkey % 6 WHEN 0 THEN CAST(p_size * 37 AS VARCHAR) || ' m' WHEN 1 THEN CAST(p_size * 90 AS VARCHAR) || ' ft' WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN 'about ' || CAST(p_size AS VARCHAR) WHEN 4 THEN '9' || CAST(p_size + 100000 AS VARCHAR) ELSE NULL END"
+ELE = "CASE p_partkey % 8 WHEN 0 THEN CAST(p_size * 37 AS VARCHAR) || ' m' WHEN 1 THEN CAST(p_size * 90 AS VARCHAR) || ' ft' WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN 'about ' || CAST(p_size AS VARCHAR) WHEN 4 THEN '9' || CAST(p_size + 100000 AS VARCHAR) WHEN 5 THEN '1,' || CAST(p_size + 100 AS VARCHAR) || ' m' WHEN 6 THEN CAST(p_size AS VARCHAR) || '.25 Metres' ELSE NULL END"
 
 
-@query("elevation_texts", f"SELECT p_partkey AS id, round(CASE p_partkey % 6 WHEN 0 THEN p_size * 37e0 WHEN 1 THEN p_size * 90 * 0.3048e0 WHEN 2 THEN p_size * 1e0 END, 4) AS elevation_m FROM (SELECT *, {ELE} AS t FROM part)")
+@query("elevation_texts", "SELECT p_partkey AS id, round(CASE p_partkey % 8 WHEN 0 THEN p_size * 37e0 WHEN 1 THEN p_size * 90 * 0.3048e0 WHEN 2 THEN p_size * 1e0 WHEN 6 THEN p_size + 0.25e0 END, 1) AS elevation_m FROM part")
 def elevation_texts(spark: SparkSession, d: str) -> DataFrame:
     free = F.expr(ELE.replace("VARCHAR", "STRING"))
-    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(text.elevation_m(free), 4).alias("elevation_m"))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.elevation_m(free).alias("elevation_m"))
 
 
 PHRASES = ["easy loop under 5 miles near a lake", "two nights, 10 to 12 mile hike", "hard 8 mile day hike", "3 days over ten miles", "weekend at a pond", "quiet spot"]
@@ -126,10 +131,12 @@ def route_ids(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.format_string("%.6f,%.6f", F.col("o_orderkey") / 1000.0, F.col("o_custkey") / 7.0).alias("candidate_id"), way.alias("way"))
 
 
-@query("durations", sql("SELECT route_id, CASE WHEN m < 60 THEN CAST(m AS VARCHAR) || ' min' ELSE CAST(m // 60 AS VARCHAR) || ' h ' || CAST(m % 60 AS VARCHAR) || ' min' END AS duration FROM (SELECT route_id, CAST(floor(length_m / 80) AS BIGINT) AS m FROM routes)", "routes"))
+@query("durations", sql("SELECT route_id, CASE WHEN m < 60 THEN format('{} min', m) WHEN m % 60 = 0 THEN format('{} h', m // 60) ELSE format('{} h {:02d} min', m // 60, m % 60) END AS duration FROM (SELECT route_id, greatest(1, CAST(round_even(length_m / 80, 0) AS BIGINT)) AS m FROM routes)", "routes"))
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    m = F.floor(F.col("length_m") / 80)
-    return load(spark, d, "routes").select("route_id", F.when(m < 60, F.format_string("%d min", m)).otherwise(F.format_string("%d h %d min", F.floor(m / 60).cast("long"), m % 60)).alias("duration"))
+    """Whole minutes, one at least, as text."""
+    m = F.greatest(F.lit(1).cast("long"), F.bround(F.col("length_m") / 80, 0).cast("long"))
+    hours = F.floor(m / 60).cast("long")
+    return load(spark, d, "routes").select("route_id", F.when(m < 60, F.format_string("%d min", m)).when(m % 60 == 0, F.format_string("%d h", hours)).otherwise(F.format_string("%d h %02d min", hours, m % 60)).alias("duration"))
 
 
 @query("event_tags", "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, strftime(date_trunc('hour', min(ts)), '%Y-%m-%dT%H:%M:%SZ') AS first_hour FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY ALL")
@@ -139,7 +146,10 @@ def event_tags(spark: SparkSession, d: str) -> DataFrame:
     return tagged.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.date_trunc("hour", F.min("ts")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first_hour"))
 
 
-@query("route_comparison", sql("SELECT route_id, label, value FROM (SELECT route_id, [struct_pack(label := 'length_km', value := CAST(round(length_m / 1000, 1) AS VARCHAR)), struct_pack(label := 'gain', value := CASE WHEN gain_m IS NULL THEN 'not measured' ELSE 'measured' END)] AS rows FROM routes WHERE route_id % 500 < 4), unnest(rows) t(r), (SELECT r.label AS label, r.value AS value)", "routes"))
+@query("route_comparison", sql("SELECT route_id, label, value FROM (SELECT route_id, 'Length' AS label, CAST(round(length_m / 1000, 1) AS VARCHAR) || ' km' AS value FROM routes UNION ALL SELECT route_id, 'Climb', CASE WHEN gain_m IS NULL THEN 'not measured' ELSE CAST(CAST(round(gain_m) AS BIGINT) AS VARCHAR) || ' m' END FROM routes UNION ALL SELECT route_id, 'Descent', CASE WHEN gain_m IS NULL THEN 'not measured' ELSE CAST(CAST(round(loss_m) AS BIGINT) AS VARCHAR) || ' m' END FROM routes UNION ALL SELECT route_id, 'Per km', CASE WHEN gain_m IS NULL THEN 'not measured' ELSE CAST(CAST(round(gain_m / (length_m / 1000)) AS BIGINT) AS VARCHAR) || ' m' END FROM routes)", "routes"))
 def route_comparison(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array(F.struct(F.lit("length_km").alias("label"), F.round(F.col("length_m") / 1000, 1).cast("string").alias("value")), F.struct(F.lit("gain").alias("label"), F.when(F.col("gain_m").isNull(), "not measured").otherwise("measured").alias("value")))
-    return load(spark, d, "routes").filter("route_id % 500 < 4").select("route_id", F.inline(rows))
+    """A route as rows of a comparison; what isn't known says so."""
+    metres = lambda v: F.when(F.col("gain_m").isNull(), "not measured").otherwise(F.concat(F.round(v).cast("long").cast("string"), F.lit(" m")))
+    row = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    rows = F.array(row("Length", F.concat(F.round(F.col("length_m") / 1000, 1).cast("string"), F.lit(" km"))), row("Climb", metres(F.col("gain_m"))), row("Descent", metres(F.col("loss_m"))), row("Per km", metres(F.col("gain_m") / (F.col("length_m") / 1000))))
+    return load(spark, d, "routes").select("route_id", F.inline(rows))

@@ -78,13 +78,15 @@ def threshold_gain_loss(spark: SparkSession, d: str) -> DataFrame:
     return ordered(events, "line_id", "value").select("line_id", climb.alias("c")).select("line_id", F.round("c.gain", 3).alias("gain_m"), F.round("c.loss", 3).alias("loss_m"))
 
 
-@query("max_grade", sql(FILL + " SELECT line_id, round(max(abs(b.s - a.s) / (b.along_m - a.along_m)), 6) AS max_grade FROM smooth a JOIN smooth b USING (line_id) WHERE b.pos = a.pos + 4 GROUP BY line_id", "profile"))
+@query("max_grade", sql(FILL + ", g AS (SELECT a.line_id, a.along_m, round(100 * abs(b.s - a.s) / (b.along_m - a.along_m), 9) AS grade FROM smooth a JOIN smooth b USING (line_id) WHERE b.pos = a.pos + 4) SELECT line_id, round(max(grade), 4) AS max_grade_pct, round(arg_max(along_m, struct_pack(a := grade, b := -along_m)), 1) AS at_m FROM g GROUP BY line_id", "profile"))
 def max_grade(spark: SparkSession, d: str) -> DataFrame:
-    """The steepest window of 100 m: of each sample the first one as far on, found by a range frame."""
+    """The steepest window of 100 m in percent, and where it begins: of each sample the first one as far on, found by a range frame."""
     from_here = Window.partitionBy("line_id").orderBy("along_m").rangeBetween(100, Window.unboundedFollowing)
     ahead = F.first(F.struct("along_m", "s")).over(from_here)
     steps = smoothed(load(spark, d, "profile")).withColumn("to", ahead).filter("to IS NOT NULL")
-    return steps.groupBy("line_id").agg(F.round(F.max(F.abs(F.col("to.s") - F.col("s")) / (F.col("to.along_m") - F.col("along_m"))), 6).alias("max_grade"))
+    grade = F.round(100 * F.abs(F.col("to.s") - F.col("s")) / (F.col("to.along_m") - F.col("along_m")), 9)
+    best = steps.groupBy("line_id").agg(F.max(F.struct(grade.alias("grade"), (-F.col("along_m")).alias("back"))).alias("b"))
+    return best.select("line_id", F.round("b.grade", 4).alias("max_grade_pct"), F.round(-F.col("b.back"), 1).alias("at_m"))
 
 
 @query("trailing_mean", sql(FILL + " SELECT line_id, pos, round(avg(z) OVER (PARTITION BY line_id ORDER BY along_m RANGE BETWEEN 75 PRECEDING AND CURRENT ROW), 6) AS mean_m FROM filled", "profile"))
@@ -93,10 +95,19 @@ def trailing_mean(spark: SparkSession, d: str) -> DataFrame:
     return filled(load(spark, d, "profile")).select("line_id", F.col("pos").cast("long").alias("pos"), F.round(F.avg("z").over(frame), 6).alias("mean_m"))
 
 
-@query("sparkline", sql(FILL + ", n AS (SELECT *, CAST(floor((pos - 1) * 8 / count(*) OVER (PARTITION BY line_id)) AS BIGINT) AS bucket FROM filled) SELECT line_id, bucket, round(avg(z), 6) AS mean_m FROM n GROUP BY ALL", "profile"))
+@query("sparkline", sql(FILL + ", n AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n FROM filled), e AS (SELECT line_id, k, n, z, pos, CAST(floor(k * (n / 32e0)) AS BIGINT) AS lo, CAST(floor((k + 1) * (n / 32e0)) AS BIGINT) AS hi FROM n, range(32) r(k)) SELECT line_id, k AS bucket, round(avg(z), 4) AS mean_m FROM e WHERE n > 32 AND pos - 1 >= lo AND pos - 1 < greatest(hi, lo + 1) GROUP BY ALL UNION ALL SELECT line_id, pos - 1, round(z, 4) FROM n WHERE n <= 32", "profile"))
 def sparkline(spark: SparkSession, d: str) -> DataFrame:
+    """32 means from int(k * n / 32) to int((k + 1) * n / 32); a series no longer than that as it is."""
     n = F.count(F.lit(1)).over(Window.partitionBy("line_id"))
-    return filled(load(spark, d, "profile")).withColumn("bucket", F.floor((F.col("pos") - 1) * 8 / n)).groupBy("line_id", "bucket").agg(F.round(F.avg("z"), 6).alias("mean_m"))
+    step = F.col("n") / 32.0
+    at = F.col("pos") - 1
+    edge = lambda k: F.floor(k * step)
+    # A sample is in the bucket by its quotient, or in one beside it.
+    near = F.floor(at / step)
+    buckets = F.filter(F.array(near - 1, near, near + 1), lambda k: (k >= 0) & (k < 32) & (at >= edge(k)) & (at < F.greatest(edge(k + 1), edge(k) + 1)))
+    series = filled(load(spark, d, "profile")).withColumn("n", n)
+    means = series.filter("n > 32").withColumn("bucket", F.explode(buckets)).groupBy("line_id", "bucket").agg(F.round(F.avg("z"), 4).alias("mean_m"))
+    return means.unionByName(series.filter("n <= 32").select("line_id", at.cast("long").alias("bucket"), F.round("z", 4).alias("mean_m")))
 
 
 @query("nearest_rank_percentiles", sql(FILL + ", r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY z, pos) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM filled) SELECT line_id, round(max(CASE WHEN k = CAST(round_even(0.5e0 * (n - 1), 0) AS BIGINT) THEN z END), 4) AS p50, round(max(CASE WHEN k = CAST(round_even(0.95e0 * (n - 1), 0) AS BIGINT) THEN z END), 4) AS p95 FROM r GROUP BY line_id", "profile"))
@@ -127,23 +138,47 @@ def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "vertices").withColumn("step", F.sqrt(dx * dx + dy * dy)).select("way_id", F.col("pos").cast("long").alias("pos"), F.round(F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)), 3).alias("along_m"))
 
 
-@query("day_stats", sql(FILL + ", st AS (SELECT *, CAST(floor(along_m / 500) AS BIGINT) AS day, s - lag(s) OVER (PARTITION BY line_id ORDER BY pos) AS dz FROM smooth) SELECT line_id, day, round(max(along_m) - min(along_m), 2) AS metres, round(max(s), 4) AS high_m, round(min(s), 4) AS low_m, round(coalesce(sum(greatest(dz, 0)), 0), 3) AS rise_m FROM st GROUP BY ALL", "profile"))
+#: Places where days end, as shares of a line's length; climbs count from 3 m on.
+CUTS, THRESHOLD = (0.0, 0.37, 0.71, 1.0), 3.0
+DAYS_SQL = """ends AS (SELECT line_id, max(along_m) AS len FROM smooth GROUP BY line_id), cuts AS (SELECT line_id, day, len * lo AS start_m, len * hi AS end_m FROM ends, (VALUES (0, 0e0, 0.37e0), (1, 0.37e0, 0.71e0), (2, 0.71e0, 1e0)) v(day, lo, hi)),
+    edge AS (SELECT c.line_id, day, cut_m, arg_max(p.s, p.along_m) + (coalesce(any_value(q.s), arg_max(p.s, p.along_m)) - arg_max(p.s, p.along_m)) * (any_value(cut_m) - max(p.along_m)) / 25 AS z FROM (SELECT line_id, day, start_m AS cut_m FROM cuts UNION ALL SELECT line_id, day, end_m FROM cuts) c JOIN smooth p ON p.line_id = c.line_id AND p.along_m <= cut_m AND p.along_m > cut_m - 25 LEFT JOIN smooth q ON q.line_id = c.line_id AND q.along_m > cut_m AND q.along_m <= cut_m + 25 GROUP BY c.line_id, day, cut_m),
+    series AS (SELECT line_id, day, cut_m AS m, z FROM edge UNION ALL SELECT c.line_id, day, along_m, s FROM cuts c JOIN smooth p ON p.line_id = c.line_id AND along_m > start_m AND along_m < end_m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY line_id, day ORDER BY m) AS k FROM series),
+    r AS (SELECT line_id, day, k, z AS ref, 0e0 AS gain, 0e0 AS loss FROM o WHERE k = 1 UNION ALL SELECT o.line_id, o.day, o.k, CASE WHEN abs(o.z - ref) >= 3 THEN o.z ELSE ref END, CASE WHEN o.z - ref >= 3 THEN gain + o.z - ref ELSE gain END, CASE WHEN ref - o.z >= 3 THEN loss + ref - o.z ELSE loss END FROM r JOIN o ON o.line_id = r.line_id AND o.day = r.day AND o.k = r.k + 1)
+    SELECT line_id, day, round(any_value(start_m), 1) AS start_m, round(any_value(end_m - start_m), 1) AS distance_m, round(max(gain), 1) AS gain_m, round(max(loss), 1) AS loss_m FROM r JOIN cuts USING (line_id, day) WHERE end_m > start_m GROUP BY line_id, day"""
+
+
+@query("day_stats", sql(FILL + ", " + DAYS_SQL, "profile").replace("WITH ", "WITH RECURSIVE ", 1))
 def day_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths and climbs between cuts 500 m apart, of a profile smoothed once."""
-    steps = smoothed(load(spark, d, "profile")).withColumn("dz", F.col("s") - F.lag("s").over(line())).withColumn("day", F.floor(F.col("along_m") / 500))
-    rise = F.when(F.col("dz").isNotNull(), F.greatest("dz", F.lit(0.0)))
-    return steps.groupBy("line_id", "day").agg(F.round(F.max("along_m") - F.min("along_m"), 2).alias("metres"), F.round(F.max("s"), 4).alias("high_m"), F.round(F.min("s"), 4).alias("low_m"), F.round(F.coalesce(F.sum(rise), F.lit(0.0)), 3).alias("rise_m"))
+    """Length, gain and loss of each day between cuts of a profile smoothed once; the profile is read between samples at the cuts."""
+    c = F.col
+    profile = smoothed(load(spark, d, "profile"))
+    lines = profile.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("along_m", "s"))).alias("v"))  # of one line
+    lines = lines.withColumn("len", F.element_at("v", -1)["along_m"]).filter("len > 0")
+    days = F.array(*(F.struct(F.lit(k).alias("day"), (c("len") * a).alias("start_m"), (c("len") * b).alias("end_m")) for k, (a, b) in enumerate(zip(CUTS, CUTS[1:], strict=False))))
+    days = lines.select("line_id", "v", F.explode(days).alias("d")).select("line_id", "v", "d.*")
+
+    def value(at: Column) -> Column:
+        low = F.element_at(F.filter(c("v"), lambda x: x["along_m"] <= at), -1)
+        high = F.try_element_at(F.filter(c("v"), lambda x: x["along_m"] > at), F.lit(1))
+        return F.when(high.isNull(), low["s"]).otherwise(low["s"] + (high["s"] - low["s"]) * (at - low["along_m"]) / (high["along_m"] - low["along_m"]))
+
+    inside = F.transform(F.filter(c("v"), lambda x: (x["along_m"] > c("start_m")) & (x["along_m"] < c("end_m"))), lambda x: x["s"])
+    series = F.concat(F.array(value(c("start_m"))), inside, F.array(value(c("end_m"))))
+    climbed = days.select("line_id", "day", "start_m", "end_m", threshold_climb(series, THRESHOLD).alias("climb"))
+    return climbed.select("line_id", "day", F.round("start_m", 1).alias("start_m"), F.round(c("end_m") - c("start_m"), 1).alias("distance_m"), F.round("climb.gain", 1).alias("gain_m"), F.round("climb.loss", 1).alias("loss_m"))
 
 
 def thinned(distances: Column, spacing: float) -> Column:
-    """Of ascending values those at least a spacing after the last one kept."""
-    return F.aggregate(distances, F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= spacing), F.concat(a, F.array(x))).otherwise(a))
+    """Of ascending values those at least a spacing after the last one kept: how many, and the last."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"))
+    return F.aggregate(distances, zero, lambda a, x: F.when((a["n"] == 0) | (x - a["last"] >= spacing), F.struct((a["n"] + 1).alias("n"), x.alias("last"))).otherwise(a))
 
 
 @query("greedy_places", "WITH RECURSIVE p AS (SELECT user_id AS line_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS pos, value AS v FROM events), r AS (SELECT line_id, pos, v AS kept, 1 AS n FROM p WHERE pos = 1 UNION ALL SELECT p.line_id, p.pos, CASE WHEN v - kept >= 50 THEN v ELSE kept END, CASE WHEN v - kept >= 50 THEN n + 1 ELSE n END FROM r JOIN p ON p.line_id = r.line_id AND p.pos = r.pos + 1) SELECT line_id, CAST(max(n) AS INT) AS places, round(max(kept), 4) AS last_m FROM r GROUP BY line_id")
 def greedy_places(spark: SparkSession, d: str) -> DataFrame:
     kept = load(spark, d, "events").groupBy(F.col("user_id").alias("line_id")).agg(thinned(F.array_sort(F.collect_list("value")), 50.0).alias("kept"))
-    return kept.select("line_id", F.size("kept").alias("places"), F.round(F.element_at("kept", -1), 4).alias("last_m"))
+    return kept.select("line_id", F.col("kept.n").alias("places"), F.round("kept.last", 4).alias("last_m"))
 
 
 def accepted(track: Column) -> Column:

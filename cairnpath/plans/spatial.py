@@ -42,16 +42,16 @@ def site_water_score(spark: SparkSession, d: str) -> DataFrame:
     return water_factor(load(spark, d, "sites"), load(spark, d, "water"))
 
 
-@query("nearest_water", sql(f"near AS (SELECT site_id, water_id, {DIST} AS d FROM sites s JOIN water f ON abs(s.x_m - f.x_m) <= 5000 AND abs(s.y_m - f.y_m) <= 5000), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY d, water_id) AS k FROM near WHERE d <= 5000) SELECT site_id, water_id, round(d, 4) AS distance_m FROM sites LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (site_id)", "sites", "water"))
+@query("nearest_water", sql(f"r AS (SELECT site_id, water_id, {DIST} AS d, row_number() OVER (PARTITION BY site_id ORDER BY {DIST}, water_id) AS k FROM sites s, water f) SELECT site_id, water_id, round(d, 4) AS distance_m FROM r WHERE k = 1", "sites", "water"))
 def nearest_water(spark: SparkSession, d: str) -> DataFrame:
-    sites = load(spark, d, "sites").select("site_id", "x_m", "y_m")
-    near = spatial.nearest_k(sites, load(spark, d, "water"), "site_id", "water_id", 1, 5000.0)
-    return sites.select("site_id").join(near.select("site_id", "water_id", F.round("distance_m", 4).alias("distance_m")), "site_id", "left")
+    """The nearest water of each site, however far it is."""
+    near = spatial.nearest_k(load(spark, d, "sites").select("site_id", "x_m", "y_m"), load(spark, d, "water"), "site_id", "water_id", 1)
+    return near.select("site_id", "water_id", F.round("distance_m", 4).alias("distance_m"))
 
 
-@query("nearest_k_perennial", sql(f"near AS (SELECT site_id, water_id, {DIST} AS d FROM sites s JOIN water f ON abs(s.x_m - f.x_m) <= 4000 AND abs(s.y_m - f.y_m) <= 4000 WHERE perennial), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY d, water_id) AS rank FROM near WHERE d <= 4000) SELECT site_id, water_id, rank, round(d, 4) AS distance_m FROM r WHERE rank <= 3", "sites", "water"))
+@query("nearest_k_perennial", sql(f"r AS (SELECT site_id, water_id, {DIST} AS d, row_number() OVER (PARTITION BY site_id ORDER BY {DIST}, water_id) AS rank FROM sites s, water f WHERE perennial) SELECT site_id, water_id, rank, round(d, 4) AS distance_m FROM r WHERE rank <= 3", "sites", "water"))
 def nearest_k_perennial(spark: SparkSession, d: str) -> DataFrame:
-    near = spatial.nearest_k(load(spark, d, "sites").select("site_id", "x_m", "y_m"), load(spark, d, "water").filter("perennial"), "site_id", "water_id", 3, 4000.0)
+    near = spatial.nearest_k(load(spark, d, "sites").select("site_id", "x_m", "y_m"), load(spark, d, "water").filter("perennial"), "site_id", "water_id", 3)
     return near.select("site_id", "water_id", F.col("rank").cast("long").alias("rank"), F.round("distance_m", 4).alias("distance_m"))
 
 
@@ -138,6 +138,10 @@ NEAR_SEG = """hits AS (SELECT *, sqrt((x_m - (ax + t * (bx - ax))) * (x_m - (ax
         FROM sites JOIN runs ON x_m BETWEEN least(ax, bx) - 1000 AND greatest(ax, bx) + 1000 AND y_m BETWEEN least(ay, b_y) - 1000 AND greatest(ay, b_y) + 1000))"""
 
 
+#: The same within 5 km of a way, which is as far as a trail counts.
+NEAR_TRAIL = NEAR_SEG.replace("1000", "5000")
+
+
 def site_segments(spark: SparkSession, d: str, metres: float = 1000.0) -> DataFrame:
     return spatial.near_segments(load(spark, d, "sites").select("site_id", "x_m", "y_m"), spatial.segments(load(spark, d, "vertices")), metres)
 
@@ -153,15 +157,14 @@ ALONG = f"{SEGMENTS}, {NEAR_SEG}, along AS (SELECT site_id, way_id, min(d) AS of
 
 def along_ways(spark: SparkSession, d: str) -> DataFrame:
     rank = F.struct(F.round("distance_m", 6), "pos")
-    return site_segments(spark, d, 500.0).groupBy("site_id", "way_id").agg(F.min("distance_m").alias("off_m"), F.min_by(F.col("before_m") + F.col("t") * F.col("length_m"), rank).alias("along_m"))
+    return site_segments(spark, d, 500.0).groupBy("site_id", "way_id").agg(F.first("way_m").alias("way_m"), F.min("distance_m").alias("off_m"), F.min_by(F.col("before_m") + F.col("t") * F.col("length_m"), rank).alias("along_m"))
 
 
 @query("sites_along_ways", sql(ALONG + " SELECT site_id, way_id, round(off_m, 4) AS off_m, round(along_m, 3) AS along_m, CASE WHEN off_m > 100 AND along_m <= 50 THEN 'near_start' WHEN off_m > 100 AND along_m >= way_m - 50 THEN 'near_end' ELSE 'along' END AS position FROM along JOIN len USING (way_id)", "sites", "vertices"))
 def sites_along_ways(spark: SparkSession, d: str) -> DataFrame:
-    length = spatial.segments(load(spark, d, "vertices")).groupBy("way_id").agg(F.sum("length_m").alias("way_m"))
     off, along = F.col("off_m"), F.col("along_m")
     where = F.when((off > 100) & (along <= 50), "near_start").when((off > 100) & (along >= F.col("way_m") - 50), "near_end").otherwise("along")
-    return along_ways(spark, d).join(length, "way_id").select("site_id", "way_id", F.round(off, 4).alias("off_m"), F.round(along, 3).alias("along_m"), where.alias("position"))
+    return along_ways(spark, d).select("site_id", "way_id", F.round(off, 4).alias("off_m"), F.round(along, 3).alias("along_m"), where.alias("position"))
 
 
 @query("site_counts_by_way", sql(ALONG + " SELECT way_id, count(site_id) AS sites, round(min(off_m), 4) AS nearest_m FROM len LEFT JOIN along USING (way_id) GROUP BY way_id", "sites", "vertices"))
@@ -186,13 +189,13 @@ CLIP = f"""{SEGMENTS}, cut AS (SELECT way_id, land_id, before_m, length_m,
 
 
 def stretches(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of ways in land, as running lengths."""
-    size = 10000.0
-    spread = lambda df, x0, x1, y0, y1: df.withColumn("cell_x", spatial.around(x0, x1, size)).withColumn("cell_y", spatial.around(y0, y1, size))
-    c = F.col
-    segments = spread(spatial.segments(load(spark, d, "vertices")), F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"))
-    land = spread(load(spark, d, "land"), c("min_x"), c("max_x"), c("min_y"), c("max_y"))
-    met = segments.join(land, ["cell_x", "cell_y"]).dropDuplicates(["way_id", "pos", "land_id"])
+    """The parts of ways in land, as running lengths; a segment and a parcel that share many cells count in the first of them."""
+    size, c = 10000.0, F.col
+    low = lambda x: F.floor(x / size)
+    put = lambda df, x0, x1, y0, y1, n: df.withColumn("cell_x", spatial.around(x0, x1, size)).withColumn("cell_y", spatial.around(y0, y1, size)).withColumn(f"{n}_x", low(x0)).withColumn(f"{n}_y", low(y0))
+    segments = put(spatial.segments(load(spark, d, "vertices")), F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"), "seg")
+    land = put(load(spark, d, "land"), c("min_x"), c("max_x"), c("min_y"), c("max_y"), "land")
+    met = segments.join(land, ["cell_x", "cell_y"]).filter((c("cell_x") == F.greatest("seg_x", "land_x")) & (c("cell_y") == F.greatest("seg_y", "land_y")))
     t0, t1 = spatial.clip_to_box(*(c(x) for x in ("ax", "ay", "bx", "by", "min_x", "max_x", "min_y", "max_y")))
     return met.withColumn("t0", t0).withColumn("t1", t1).filter("t0 < t1").select("way_id", "land_id", "access", (c("before_m") + c("t0") * c("length_m")).alias("from_m"), (c("before_m") + c("t1") * c("length_m")).alias("to_m"))
 
@@ -215,8 +218,7 @@ def way_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("way_access_totals", sql(f"{CLIP}, {MERGE}, kinds AS (SELECT DISTINCT access FROM land), len AS (SELECT way_id, sum(length_m) AS way_m FROM segs GROUP BY way_id), tot AS (SELECT way_id, access, sum(to_m - from_m) AS m FROM parts JOIN land USING (land_id) GROUP BY ALL) SELECT len.way_id, kinds.access, round(coalesce(m, 0), 1) AS metres, coalesce(round(100 * coalesce(m, 0) / nullif(way_m, 0), 2), 0) AS share_pct FROM len CROSS JOIN kinds LEFT JOIN tot ON tot.way_id = len.way_id AND tot.access = kinds.access", "vertices", "land"))
 def way_access_totals(spark: SparkSession, d: str) -> DataFrame:
-    land = load(spark, d, "land")
-    totals = merged(stretches(spark, d), ["way_id", "land_id"]).join(F.broadcast(land.select("land_id", "access")), "land_id").groupBy("way_id", "access").agg(F.sum(F.col("to_m") - F.col("from_m")).alias("m"))
+    totals = merged(stretches(spark, d), ["way_id", "land_id", "access"]).groupBy("way_id", "access").agg(F.sum(F.col("to_m") - F.col("from_m")).alias("m"))
     lengths = spatial.segments(load(spark, d, "vertices")).groupBy("way_id").agg(F.sum("length_m").alias("way_m"))
     kinds = F.array(*(F.lit(k) for k in ("open", "restricted", "unknown", "closed")))
     metres = F.coalesce("m", F.lit(0.0))
@@ -224,10 +226,10 @@ def way_access_totals(spark: SparkSession, d: str) -> DataFrame:
     return lengths.withColumn("access", F.explode(kinds)).join(totals, ["way_id", "access"], "left").select("way_id", "access", F.round(metres, 1).alias("metres"), share.alias("share_pct"))
 
 
-@query("way_connections", sql("n AS (SELECT DISTINCT way_id, node_id FROM vertices WHERE way_id % 10 = 0 OR way_id % 10 = 3), p AS (SELECT a.way_id, b.way_id AS other_id, count(*) AS shared_nodes, min(a.node_id) AS first_node FROM n a JOIN n b ON a.node_id = b.node_id AND a.way_id < b.way_id GROUP BY ALL) SELECT * FROM p", "vertices"))
+@query("way_connections", sql("n AS (SELECT DISTINCT way_id, node_id FROM vertices) SELECT a.way_id, b.way_id AS other_id, count(*) AS shared_nodes, min(a.node_id) AS first_node FROM n a JOIN n b ON a.node_id = b.node_id AND a.way_id < b.way_id GROUP BY ALL", "vertices"))
 def way_connections(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of ways of two classes that share a node; nodes of very many ways would be looked up by way instead."""
-    nodes = load(spark, d, "vertices").filter("way_id % 10 = 0 OR way_id % 10 = 3").select("way_id", "node_id").distinct()
+    """Pairs of ways that share a node, which are the result's own rows: a node has as many as its ways have pairs."""
+    nodes = load(spark, d, "vertices").select("way_id", "node_id").distinct()
     other = nodes.withColumnRenamed("way_id", "other_id")
     return nodes.join(other, "node_id").filter("way_id < other_id").groupBy("way_id", "other_id").agg(F.count(F.lit(1)).alias("shared_nodes"), F.min("node_id").alias("first_node"))
 

@@ -1,4 +1,4 @@
-"""Queries that run a table through Structured Streaming; the memory sink that they read holds small results only."""
+"""Queries that run a table through Structured Streaming and read what it wrote."""
 
 from __future__ import annotations
 

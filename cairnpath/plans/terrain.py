@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnpath.functions.curves import sector
@@ -62,51 +62,65 @@ def zone_cells(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy(F.when(F.col("z") < 20, "low").when(F.col("z") < 60, "medium").otherwise("high").alias("zone_class"), F.floor(F.col("ix") / 10).alias("tile_x"), F.floor(F.col("iy") / 10).alias("tile_y")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.count(F.lit(1)) * 900.0, 1).alias("area_m2"))
 
 
-@query("zone_parts", sql("c AS (SELECT ix * 1000 + iy AS id, ix, iy FROM grid WHERE z >= 60), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) <= 1), r AS (SELECT a AS node, a AS part FROM e UNION SELECT e.b, r.part FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(part) AS part FROM r GROUP BY node) SELECT part, count(*) AS cells FROM l GROUP BY part HAVING count(*) >= 3", "grid").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("zone_parts", sql("c AS (SELECT iy * 1000 + ix AS id, ix, iy FROM grid WHERE z >= 60), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) <= 1), r AS (SELECT a AS node, a AS part FROM e UNION SELECT e.b, r.part FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(part) AS part FROM r GROUP BY node) SELECT part, count(*) AS cells FROM l GROUP BY part HAVING count(*) >= 3", "grid").replace("WITH ", "WITH RECURSIVE ", 1))
 def zone_parts(spark: SparkSession, d: str) -> DataFrame:
     """Connected parts of a zone with three cells or more."""
-    cells = load(spark, d, "grid").filter("z >= 60").select("ix", "iy", (F.col("ix") * 1000 + F.col("iy")).alias("u"))
+    cells = load(spark, d, "grid").filter("z >= 60").select("ix", "iy", (F.col("iy") * 1000 + F.col("ix")).alias("u"))
     to = lambda x, y: cells.select((F.col("ix") - x).alias("ix"), (F.col("iy") - y).alias("iy"), F.col("u").alias("v"))
     pairs = cells.join(to(1, 0), ["ix", "iy"]).select("u", "v").union(cells.join(to(0, 1), ["ix", "iy"]).select("u", "v"))
     return graph.pieces(pairs).groupBy("piece").agg(F.count(F.lit(1)).alias("cells")).filter("cells >= 3").withColumnRenamed("piece", "part")
 
 
-@query("view_sectors", sql("v AS (SELECT ix, iy, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(((degrees(atan2(ix - 20e0, iy - 20e0)) + 360) % 360 + 22.5) / 45) AS INT) % 8 + 1] AS sector FROM grid WHERE z >= 40 AND (ix <> 20 OR iy <> 20)), n AS (SELECT sector, count(*) AS cells FROM v GROUP BY sector) SELECT sector, cells, round(cells * 900 / 1e6, 4) AS area_km2, cells = max(cells) OVER () AND cells >= 0.3 * sum(cells) OVER () AS dominant FROM n", "grid"))
+#: Cells that a view is worked out from, every 25th each way; how many cells away it ends.
+EYES, FAR = "ix % 25 = 12 AND iy % 25 = 2", 12
+SEEN = f"""g AS (SELECT * FROM grid WHERE z IS NOT NULL), eyes AS (SELECT ix AS ex, iy AS ey, z + 1.7e0 AS eye FROM g WHERE {EYES}),
+    t AS (SELECT ex, ey, eye, ix, iy, greatest(abs(ix - ex), abs(iy - ey)) AS n FROM eyes JOIN g ON abs(ix - ex) <= {FAR} AND abs(iy - ey) <= {FAR} WHERE ix <> ex OR iy <> ey),
+    ray AS (SELECT t.*, k, CAST(ex + round((ix - ex) * k / CAST(n AS DOUBLE)) AS BIGINT) AS cx, CAST(ey + round((iy - ey) * k / CAST(n AS DOUBLE)) AS BIGINT) AS cy FROM t, LATERAL (SELECT unnest(range(1, n + 1)) AS k)),
+    sl AS (SELECT ex, ey, ray.ix, ray.iy, n, k, (g.z - eye) / k AS slope FROM ray JOIN g ON g.ix = cx AND g.iy = cy),
+    seen AS (SELECT ex, ey, ix, iy, max(CASE WHEN k = n THEN slope END) >= coalesce(max(CASE WHEN k < n THEN slope END), -1e9) AS visible FROM sl GROUP BY ex, ey, ix, iy)"""
+
+
+def visible_cells(grid: DataFrame) -> DataFrame:
+    """ex, ey, ix, iy, visible: whether no cell on the way from an eye rises over the line of sight; a target meets the cells on its line."""
+    c, cells = F.col, grid.filter("z IS NOT NULL")
+    eyes = cells.filter(EYES).select(c("ix").alias("ex"), c("iy").alias("ey"), (c("z") + 1.7).alias("eye"))
+    steps = F.sequence(F.lit(-FAR), F.lit(FAR))
+    targets = eyes.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).filter("dx <> 0 OR dy <> 0").withColumn("ix", c("ex") + c("dx")).withColumn("iy", c("ey") + c("dy"))
+    targets = targets.join(cells.select("ix", "iy"), ["ix", "iy"]).withColumn("n", F.greatest(F.abs("dx"), F.abs("dy")))
+    ray = targets.withColumn("k", F.explode(F.sequence(F.lit(1), c("n"))))
+    at = lambda o, e: (c(e) + F.round(c(o) * c("k") / c("n").cast("double"))).cast("long")
+    ray = ray.select("ex", "ey", "eye", "ix", "iy", "n", "k", at("dx", "ex").alias("cx"), at("dy", "ey").alias("cy")).join(cells.select(c("ix").alias("cx"), c("iy").alias("cy"), "z"), ["cx", "cy"])
+    slope = (c("z") - c("eye")) / c("k")
+    return ray.groupBy("ex", "ey", "ix", "iy").agg((F.max(F.when(c("k") == c("n"), slope)) >= F.coalesce(F.max(F.when(c("k") < c("n"), slope)), F.lit(-1e9))).alias("visible"))
+
+
+@query("viewshed", sql(f"{SEEN} SELECT * FROM seen", "grid"))
+def viewshed(spark: SparkSession, d: str) -> DataFrame:
+    return visible_cells(load(spark, d, "grid"))
+
+
+@query("view_sectors", sql(f"{SEEN}, v AS (SELECT ex, ey, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor(((degrees(atan2(ix - ex, iy - ey)) + 360) % 360 + 22.5) / 45) AS INT) % 8 + 1] AS sector FROM seen WHERE visible AND sqrt(pow((ix - ex) * 30e0, 2) + pow((iy - ey) * 30e0, 2)) > 200), n AS (SELECT ex, ey, sector, count(*) AS cells FROM v GROUP BY ex, ey, sector) SELECT ex, ey, sector, cells, round(cells * 900 / 1e6, 4) AS area_km2, cells = max(cells) OVER w AND cells >= 0.3 * sum(cells) OVER w AS dominant FROM n WINDOW w AS (PARTITION BY ex, ey)", "grid"))
 def view_sectors(spark: SparkSession, d: str) -> DataFrame:
-    """Visible area by direction from a cell; a direction dominates with three tenths of it."""
-    seen = load(spark, d, "grid").filter("z >= 40 AND (ix <> 20 OR iy <> 20)")
-    n = seen.groupBy(sector(F.degrees(F.atan2(F.col("ix") - 20.0, F.col("iy") - 20.0)) + 360).alias("sector")).agg(F.count(F.lit(1)).alias("cells"))
-    all_ = n.agg(F.max("cells").alias("most"), F.sum("cells").alias("total"))  # one row, of eight
-    return n.crossJoin(F.broadcast(all_)).select("sector", "cells", F.round(F.col("cells") * 900 / 1e6, 4).alias("area_km2"), ((F.col("cells") == F.col("most")) & (F.col("cells") >= 0.3 * F.col("total"))).alias("dominant"))
+    """Visible area by direction, cells within 200 m left out; a direction dominates with three tenths of it."""
+    c = F.col
+    seen = visible_cells(load(spark, d, "grid")).filter("visible").filter(F.sqrt(F.pow((c("ix") - c("ex")) * RES, 2) + F.pow((c("iy") - c("ey")) * RES, 2)) > 200)
+    n = seen.groupBy("ex", "ey", sector(F.degrees(F.atan2((c("ix") - c("ex")).cast("double"), (c("iy") - c("ey")).cast("double"))) + 360).alias("sector")).agg(F.count(F.lit(1)).alias("cells"))
+    eye = Window.partitionBy("ex", "ey")
+    return n.select("ex", "ey", "sector", "cells", F.round(c("cells") * 900 / 1e6, 4).alias("area_km2"), ((c("cells") == F.max("cells").over(eye)) & (c("cells") >= 0.3 * F.sum("cells").over(eye))).alias("dominant"))
 
 
-@query("tiles_left", sql("t AS (SELECT DISTINCT CAST(floor(ix / 10e0) AS BIGINT) AS tile_x, CAST(floor(iy / 10e0) AS BIGINT) AS tile_y FROM grid) SELECT tile_x, tile_y, greatest(0, tile_x * 10 - 3) AS from_x, least(39, tile_x * 10 + 12) AS to_x FROM t WHERE (tile_x + tile_y) % 3 <> 0", "grid"))
+@query("tiles_left", sql("t AS (SELECT DISTINCT CAST(floor(ix / 10e0) AS BIGINT) AS tile_x, CAST(floor(iy / 10e0) AS BIGINT) AS tile_y FROM grid) SELECT tile_x, tile_y, greatest(0, tile_x * 10 - 3) AS from_x, least(49, tile_x * 10 + 12) AS to_x FROM t WHERE (tile_x + tile_y) % 3 <> 0", "grid"))
 def tiles_left(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that a ledger of finished ones lacks, with the cells that they overlap."""
     tiles = load(spark, d, "grid").select(F.floor(F.col("ix") / 10).alias("tile_x"), F.floor(F.col("iy") / 10).alias("tile_y")).distinct()
     done = tiles.filter("(tile_x + tile_y) % 3 = 0")
-    return tiles.join(done, ["tile_x", "tile_y"], "left_anti").select("tile_x", "tile_y", F.greatest(F.lit(0), F.col("tile_x") * 10 - 3).alias("from_x"), F.least(F.lit(39), F.col("tile_x") * 10 + 12).alias("to_x"))
+    return tiles.join(done, ["tile_x", "tile_y"], "left_anti").select("tile_x", "tile_y", F.greatest(F.lit(0), F.col("tile_x") * 10 - 3).alias("from_x"), F.least(F.lit(49), F.col("tile_x") * 10 + 12).alias("to_x"))
 
 
-@query("bilinear_samples", sql("s AS (SELECT site_id, x_m / 2600 AS gx, y_m / 2600 AS gy FROM sites), c AS (SELECT site_id, gx, gy, floor(gx) + dx AS cx, floor(gy) + dy AS cy FROM s, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)), w AS (SELECT site_id, z, (1 - abs(gx - cx)) * (1 - abs(gy - cy)) AS w FROM c JOIN grid ON ix = cx AND iy = cy WHERE z IS NOT NULL) SELECT site_id, round(sum(w * z) / sum(w), 4) AS z FROM w GROUP BY site_id HAVING sum(w) > 0", "sites", "grid"))
+@query("bilinear_samples", sql("s AS (SELECT site_id, x_m / 2100 AS gx, y_m / 2100 AS gy FROM sites), c AS (SELECT site_id, gx, gy, floor(gx) + dx AS cx, floor(gy) + dy AS cy FROM s, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)), w AS (SELECT site_id, z, (1 - abs(gx - cx)) * (1 - abs(gy - cy)) AS w FROM c JOIN grid ON ix = cx AND iy = cy WHERE z IS NOT NULL) SELECT site_id, round(sum(w * z) / sum(w), 4) AS z FROM w GROUP BY site_id HAVING sum(w) > 0", "sites", "grid"))
 def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:
     """Elevation from the four cells around a point; cells without data drop out of the weights."""
     corner = lambda c: F.explode(F.array(F.floor(c), F.floor(c) + 1))
-    s = load(spark, d, "sites").select("site_id", (F.col("x_m") / 2600).alias("gx"), (F.col("y_m") / 2600).alias("gy")).withColumn("ix", corner(F.col("gx"))).withColumn("iy", corner(F.col("gy")))
+    s = load(spark, d, "sites").select("site_id", (F.col("x_m") / 2100).alias("gx"), (F.col("y_m") / 2100).alias("gy")).withColumn("ix", corner(F.col("gx"))).withColumn("iy", corner(F.col("gy")))
     w = (1 - F.abs(F.col("gx") - F.col("ix"))) * (1 - F.abs(F.col("gy") - F.col("iy")))
     return s.join(load(spark, d, "grid").filter("z IS NOT NULL"), ["ix", "iy"]).withColumn("w", w).groupBy("site_id").agg(F.round(F.sum(F.col("w") * F.col("z")) / F.sum("w"), 4).alias("z"), F.sum("w").alias("sw")).filter("sw > 0").drop("sw")
-
-
-@query("viewshed", None)
-def viewshed(spark: SparkSession, d: str) -> DataFrame:
-    """Cells seen from the cell in the middle: no cell on the way rises over the line of sight. Each target meets the cells
-    on its own line, as many as it is cells away."""
-    grid = load(spark, d, "grid").filter("z IS NOT NULL")
-    eye = grid.filter("ix = 20 AND iy = 20").select((F.col("z") + 1.7).alias("eye"))
-    targets = grid.crossJoin(F.broadcast(eye)).filter("ix <> 20 OR iy <> 20").withColumn("n", F.greatest(F.abs(F.col("ix") - 20), F.abs(F.col("iy") - 20)))
-    line = targets.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    at = lambda c: (20 + F.round((F.col(c) - 20) * F.col("k") / F.col("n"))).cast("long")
-    line = line.select("ix", "iy", "n", "k", "eye", at("ix").alias("cx"), at("iy").alias("cy")).join(grid.select(F.col("ix").alias("cx"), F.col("iy").alias("cy"), "z"), ["cx", "cy"])
-    slope = (F.col("z") - F.col("eye")) / F.col("k")
-    seen = line.groupBy("ix", "iy").agg(F.max(F.when(F.col("k") < F.col("n"), slope)).alias("before"), F.max(F.when(F.col("k") == F.col("n"), slope)).alias("own"))
-    return seen.select("ix", "iy", (F.col("before").isNull() | (F.col("own") >= F.col("before"))).alias("visible"))

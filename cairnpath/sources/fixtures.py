@@ -42,19 +42,18 @@ TABLES = {
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 AS BIGINT) AS t_s,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) * 6e0 + CAST({h('event_id')} % 100 AS DOUBLE) / 10e0 AS x_m,
         CAST({h('event_id * 3 + 1')} % 100 AS DOUBLE) / 10e0 AS y_m, CAST({h('event_id * 7 + 2')} % 50 AS DOUBLE) AS accuracy_m FROM events""",
-    "edges": """SELECT row_number() OVER (ORDER BY u, v) AS edge_id, u, v, length_m, ascent_m, descent_m FROM (
-        SELECT u, v, min(length_m) AS length_m, min(ascent_m) AS ascent_m, min(descent_m) AS descent_m FROM (
-        SELECT least(l_partkey % 40, l_suppkey % 40 + 5) AS u, greatest(l_partkey % 40, l_suppkey % 40 + 5) AS v, CAST(FLOOR(l_extendedprice) % 5000 + 100 AS DOUBLE) AS length_m,
-        l_quantity AS ascent_m, CAST(l_linenumber AS DOUBLE) AS descent_m FROM lineitem WHERE l_quantity <= 8) GROUP BY u, v) WHERE u <> v""",
+    "edges": """SELECT u * 100000000 + v AS edge_id, u, v, min(length_m) AS length_m, min(ascent_m) AS ascent_m, min(descent_m) AS descent_m FROM (
+        SELECT l_partkey AS u, l_suppkey + 10000000 AS v, CAST(FLOOR(l_extendedprice) % 5000 + 100 AS DOUBLE) AS length_m,
+        l_quantity AS ascent_m, CAST(l_linenumber AS DOUBLE) AS descent_m FROM lineitem WHERE l_quantity <= 8) GROUP BY u, v""",
     "routes": """SELECT o_orderkey AS route_id, o_totalprice / 10e0 AS length_m, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 300e0 END AS gain_m,
         o_totalprice / 350e0 AS loss_m, o_orderpriority AS name, o_custkey AS member_site, o_orderstatus AS kind FROM orders""",
     "grid": """SELECT ix, iy, CASE WHEN (ix * 31 + iy * 17) % 101 = 0 THEN NULL ELSE CAST((ix * 73 + iy * 179) % 97 AS DOUBLE) END AS z FROM (
-        SELECT p_partkey % 40 AS ix, CAST(FLOOR((p_partkey % 1600) / 40e0) AS BIGINT) AS iy FROM part GROUP BY 1, 2)""",
+        SELECT p_partkey % 50 AS ix, CAST(FLOOR(p_partkey / 50e0) AS BIGINT) AS iy FROM part GROUP BY 1, 2)""",
     "weather": """SELECT c_custkey AS site_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custkey % 13 AS DOUBLE) END AS rain_mm, CAST(c_custkey % 60 AS DOUBLE) AS wind_kmh,
         CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CAST(c_custkey % 25 AS DOUBLE) - 12e0 END AS low_c FROM customer""",
-    "terrain": """SELECT c_custkey AS site_id, CAST(c_custkey % 300 AS DOUBLE) / 10e0 AS slope_deg, CAST(c_custkey % 120 AS DOUBLE) / 10e0 AS twi, CAST(c_custkey % 17 AS DOUBLE) / 10e0 AS sink_m,
+    "terrain": """SELECT c_custkey AS site_id, CAST(c_custkey % 300 AS DOUBLE) / 10e0 AS slope_deg, CAST(c_custkey % 140 AS DOUBLE) / 10e0 AS twi, CAST(c_custkey % 17 AS DOUBLE) / 40e0 AS sink_m,
         CAST(c_custkey % 50 AS DOUBLE) / 10e0 - 2.5e0 AS dev, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey % 400 AS DOUBLE) / 10e0 END AS view_km2, c_custkey % 4 = 1 AS water_view,
-        CAST((c_custkey * 37) % 720 AS DOUBLE) / 2e0 AS aspect_deg, CAST((c_custkey * 13) % 1000 AS DOUBLE) / 10e0 AS percentile, CAST((c_custkey * 29) % 800 AS DOUBLE) - 400e0 AS fetch_m FROM customer""",
+        CAST((c_custkey * 37) % 720 AS DOUBLE) / 2e0 AS aspect_deg, CAST((c_custkey * 13) % 1000 AS DOUBLE) / 10e0 AS percentile, CAST((c_custkey * 29) % 4000 AS DOUBLE) - 1500e0 AS fetch_m FROM customer""",
     "tags": """SELECT p_partkey AS id, p_type, p_brand, p_size, p_name FROM part""",
 }
 

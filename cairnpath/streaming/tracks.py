@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairnpath.operators.graph import shared
+
 #: Metres of accuracy, metres and seconds from the last fix kept.
 ACCURATE, FAR, LATE = 35.0, 5.0, 15
 OUT = "track_id long, t_s long, x_m double, y_m double, kept long"
@@ -19,7 +21,7 @@ STATE = "t_s long, x_m double, y_m double, kept long"
 def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A fix is kept if it is accurate, isn't older than the last one kept, and is far enough from it in space or time."""
     last = list(state.get) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["t_s", "event_id"])
+    rows = pd.concat(list(batches)).sort_values(["t_s", "event_id"])  # of one track and one batch of files
     out = []
     for t, x, y, accuracy in rows[["t_s", "x_m", "y_m", "accuracy_m"]].itertuples(index=False):
         if accuracy > ACCURATE or last and t < last[0]:
@@ -44,15 +46,17 @@ def hourly(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a finite stream gives once all its input is read."""
+    """What a finite stream gives once all its input is read, as a table in spark.checkpoint.dir; "complete" is for small aggregates."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        writer = writer.option("checkpointLocation", f"{named.rstrip('/')}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
+    root, name = shared(spark), f"drained-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/{name}-state")
+    if mode == "complete":
+        # The last batch holds the whole result.
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/{name}"))
+        writer.start().awaitTermination()
+    else:
+        writer.format("parquet").option("path", f"{root}/{name}").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/{name}")
 
 
 def files(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
