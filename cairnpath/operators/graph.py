@@ -80,12 +80,33 @@ def reach(directed: DataFrame, sources: DataFrame, most: float | None = None) ->
     return best.drop("better")
 
 
+def routes(directed: DataFrame, legs: DataFrame) -> DataFrame:
+    """Legs (leg, start, goal) -> leg, cost and path, the nodes on the way; the first path by its nodes on a tie. Legs without a way have no row.
+
+    Relaxation over rows of (leg, node): what costs no less than the best way to the goal so far is given up.
+    """
+    key = ["leg", "node"]
+    best = settled(legs.select("leg", "goal", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path"), F.lit(True).alias("better")))
+    while True:
+        fresh = best.filter("better")
+        if fresh.isEmpty():
+            break
+        limit = best.filter("node = goal").select("leg", F.col("cost").alias("least"))
+        steps = fresh.withColumnRenamed("node", "src").join(directed.withColumnRenamed("cost", "step"), "src").join(limit, "leg", "left")
+        steps = steps.select("leg", "goal", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("step"), 6).alias("cost"), F.concat("path", F.array("dst")).alias("path"), "least").filter("least IS NULL OR cost <= least").drop("least")
+        found = best.drop("better").unionByName(steps).groupBy("leg", "goal", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("leg", "goal", "node", "b.cost", "b.path")
+        known = best.select(*key, F.struct("cost", "path").alias("known"))
+        old, best = best, settled(found.join(known, key, "left").select("leg", "goal", "node", "cost", "path", (F.col("known").isNull() | (F.struct("cost", "path") < F.col("known"))).alias("better")))
+        forget(old)
+    return best.filter("node = goal").select("leg", "cost", "path")
+
+
 def cut_ways(vertices: DataFrame) -> DataFrame:
-    """Ways (way_id, pos, node_id, x_m, y_m) -> edges between nodes that ways share, a way's ends included."""
+    """Ways (way_id, pos, node_id, x_m, y_m) -> edges between nodes that ways share, a way's ends included, with how far along it they begin."""
     shared = vertices.groupBy("node_id").agg((F.count(F.lit(1)) > 1).alias("shared"))
     w = Window.partitionBy("way_id").orderBy("pos")
     dx, dy = F.col("x_m") - F.lag("x_m").over(w), F.col("y_m") - F.lag("y_m").over(w)
     placed = vertices.join(shared, "node_id").withColumn("step", F.sqrt(dx * dx + dy * dy)).withColumn("along", F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     ends = placed.withColumn("last", F.lead("pos").over(w).isNull()).filter(F.col("shared") | (F.col("pos") == 1) | F.col("last"))
     nxt = lambda c: F.lead(c).over(w)
-    return ends.select("way_id", F.col("pos").alias("from_pos"), F.col("node_id").alias("u"), nxt("node_id").alias("v"), (nxt("along") - F.col("along")).alias("length_m")).filter("v IS NOT NULL")
+    return ends.select("way_id", F.col("pos").alias("from_pos"), F.col("node_id").alias("u"), nxt("node_id").alias("v"), (nxt("along") - F.col("along")).alias("length_m"), F.col("along").alias("from_m")).filter("v IS NOT NULL")
