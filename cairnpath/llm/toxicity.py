@@ -81,8 +81,10 @@ def choose(training: DataFrame, effect: float = EFFECT, significance: float = SI
     total = counted.filter("feature = ''").select(F.col("n0").alias("all0"), F.col("n1").alias("all1"))
     scored = counted.filter("feature <> '' AND n0 + n1 >= 3").crossJoin(F.broadcast(total)).filter("all0 > 0 AND all1 > 0")  # one row
     n, p, q = (F.col("all0") + F.col("all1")).cast("double"), (F.col("n0") + F.col("n1")).cast("double"), F.col("all1").cast("double")
-    phi = F.try_divide(F.abs(F.col("n1") * n - p * q), F.sqrt(p * (n - p) * q * (n - q)))
-    return sorted({r[0] for r in scored.filter((phi >= effect) & (phi * F.sqrt(n) >= significance)).select("feature").collect()} | SWAP.keys())
+    apart, width = F.abs(F.col("n1") * n - p * q), F.sqrt(p * (n - p) * q * (n - q))
+    # The half row taken off keeps features of a few rows, all of one label by chance, from counting as sure.
+    strong = (F.try_divide(apart, width) >= effect) & (F.try_divide(apart - n / 2, width) * F.sqrt(n) >= significance)
+    return sorted({r[0] for r in scored.filter(strong).select("feature").collect()} | SWAP.keys())
 
 
 def _vectors(names: dict[str, int]):
@@ -212,9 +214,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are repeated; an empty table gives no rows; further columns are ignored.
     """
     known = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id")) != HELD)
-    # The same join at every size: texts that may be learnt from are shuffled once, and those with a label kept for the passes.
+    # Of equal texts with a label one is learnt from, so that many copies don't make their words look telling.
+    shas = docs.filter(fold(F.col("doc_id")) != HELD).select("doc_id", F.sha2(whole("text"), 256).alias("sha")).join(known, "doc_id")
+    chosen = shas.groupBy("sha").agg(F.min_by("toxic", "doc_id").alias("toxic"), F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
+    # The same join at every size: texts that may be learnt from are shuffled once, and those chosen kept for the passes.
     texts = docs.filter(fold(F.col("doc_id")) != HELD).select("doc_id", whole("text").alias("text"))
-    training = durable(texts.hint("merge").join(known, "doc_id"), "labelled")
+    training = durable(texts.hint("merge").join(chosen, "doc_id"), "labelled")
     weights, bias = fit(training)
     forget(training)
     scored = score(docs, weights, bias)
