@@ -124,3 +124,139 @@ def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "sites").select("site_id", (F.col("x_m") / 2100).alias("gx"), (F.col("y_m") / 2100).alias("gy")).withColumn("ix", corner(F.col("gx"))).withColumn("iy", corner(F.col("gy")))
     w = (1 - F.abs(F.col("gx") - F.col("ix"))) * (1 - F.abs(F.col("gy") - F.col("iy")))
     return s.join(load(spark, d, "grid").filter("z IS NOT NULL"), ["ix", "iy"]).withColumn("w", w).groupBy("site_id").agg(F.round(F.sum(F.col("w") * F.col("z")) / F.sum("w"), 4).alias("z"), F.sum("w").alias("sw")).filter("sw > 0").drop("sw")
+
+
+#: The eight neighbours of a cell, Horn's names.
+EIGHT = {"a": (-1, 1), "b": (0, 1), "c": (1, 1), "d": (-1, 0), "f": (1, 0), "g": (-1, -1), "h": (0, -1), "i": (1, -1)}
+
+
+@query("aspect", sql(f"{NB(1)}, hh AS ({HORN}), s AS (SELECT ix, iy, ((c + 2 * f + i) - (a + 2 * d + g)) / 240e0 AS sx, ((a + 2 * b + c) - (g + 2 * h + i)) / 240e0 AS sy FROM hh WHERE a + b + c + d + f + g + h + i IS NOT NULL) SELECT ix, iy, round((degrees(atan2(-sx, -sy)) + 360) % 360, 3) AS aspect_deg FROM s WHERE sx <> 0 OR sy <> 0", "grid"))
+def aspect(spark: SparkSession, d: str) -> DataFrame:
+    """The direction that a slope faces, clockwise from north; level cells face nowhere."""
+    around = neighbours(load(spark, d, "grid"), 1)
+    z = {n: F.max(F.when((F.col("dx") == x) & (F.col("dy") == y), F.col("nz"))) for n, (x, y) in EIGHT.items()}
+    sx, sy = ((z["c"] + 2 * z["f"] + z["i"]) - (z["a"] + 2 * z["d"] + z["g"])) / (8 * RES), ((z["a"] + 2 * z["b"] + z["c"]) - (z["g"] + 2 * z["h"] + z["i"])) / (8 * RES)
+    s = around.groupBy("ix", "iy").agg(sx.alias("sx"), sy.alias("sy")).filter("sx IS NOT NULL AND sy IS NOT NULL AND (sx <> 0 OR sy <> 0)")
+    return s.select("ix", "iy", F.round((F.degrees(F.atan2(-F.col("sx"), -F.col("sy"))) + 360) % 360, 3).alias("aspect_deg"))
+
+
+def filled_grid(grid: DataFrame) -> DataFrame:
+    """ix, iy, z and level, to which water stands before it runs off: the least over all ways out of the highest cell on the way.
+
+    Cells at the edge of the data, or beside a gap in it, drain at their own height. Each round lets every cell drain over
+    its best neighbour; rounds end when nothing changes, and their number is that of the cells on the longest way out.
+    """
+    c, cells = F.col, grid.filter("z IS NOT NULL")
+    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in EIGHT.values()))
+    beside = cells.select("ix", "iy", F.inline(steps)).select((c("ix") - c("dx")).alias("ix"), (c("iy") - c("dy")).alias("iy"))
+    inner = beside.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").withColumn("inner", F.lit(True)).drop("n")
+    level = graph.settled(cells.join(inner, ["ix", "iy"], "left").select("ix", "iy", "z", F.when(c("inner"), F.lit(1e18)).otherwise(c("z")).alias("level")))
+    mark = None
+    while True:
+        near = level.select("ix", "iy", "level", F.inline(steps)).select((c("ix") - c("dx")).alias("ix"), (c("iy") - c("dy")).alias("iy"), "level").groupBy("ix", "iy").agg(F.min("level").alias("out"))
+        old, level = level, graph.settled(level.join(near, ["ix", "iy"], "left").select("ix", "iy", "z", F.least("level", F.greatest("z", F.coalesce("out", F.lit(1e18)))).alias("level")))
+        graph.forget(old)
+        now = tuple(level.agg(F.sum(F.least("level", F.lit(1e9))), F.count_if(c("level") >= 1e18)).first())
+        if now == mark:
+            return level
+        mark = now
+
+
+@query("sink_depths", None)
+def sink_depths(spark: SparkSession, d: str) -> DataFrame:
+    """How deep water stands in each cell before it runs off."""
+    return filled_grid(load(spark, d, "grid")).select("ix", "iy", (F.col("level") - F.col("z")).alias("depth_m"))
+
+
+@query("wetness", None)
+def wetness(spark: SparkSession, d: str) -> DataFrame:
+    """Wetness index ln(area / tan slope) from the cells that drain through each, on the ground with its hollows filled.
+
+    A cell drains to the neighbour with the steepest fall (ties by place; on level ground none), its area in rounds of one
+    join: what came in the last round goes one cell on. The published tool divides flow between two neighbours; this is
+    the single-direction form. Slopes count as a hundredth of a degree at least.
+    """
+    c, cells = F.col, filled_grid(load(spark, d, "grid")).select("ix", "iy", F.col("level").alias("z"))
+    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in EIGHT.values()))
+    other = cells.select(c("ix").alias("nx"), c("iy").alias("ny"), c("z").alias("nz"))
+    falls = cells.select("ix", "iy", "z", F.inline(steps)).withColumn("nx", c("ix") + c("dx")).withColumn("ny", c("iy") + c("dy")).join(other, ["nx", "ny"])
+    fall = (c("z") - c("nz")) / (RES * F.sqrt((c("dx") * c("dx") + c("dy") * c("dy")).cast("double")))
+    to = graph.settled(falls.groupBy("ix", "iy").agg(F.max(F.struct(fall.alias("fall"), "nx", "ny")).alias("b")).select("ix", "iy", "b.*"))
+    down = to.filter("fall > 0").select("ix", "iy", "nx", "ny")
+    area = graph.settled(cells.select("ix", "iy", F.lit(1).cast("long").alias("cells"), F.lit(1).cast("long").alias("moving")))
+    while not area.filter("moving > 0").isEmpty():
+        came = area.filter("moving > 0").join(down, ["ix", "iy"]).groupBy(c("nx").alias("ix"), c("ny").alias("iy")).agg(F.sum("moving").alias("came"))
+        old, area = area, graph.settled(area.drop("moving").join(came, ["ix", "iy"], "left").select("ix", "iy", (c("cells") + F.coalesce("came", F.lit(0))).alias("cells"), F.coalesce("came", F.lit(0)).alias("moving")))
+        graph.forget(old)
+    slope = F.greatest(F.coalesce("fall", F.lit(0.0)), F.lit(0.000174532925))
+    index = area.join(to, ["ix", "iy"], "left").withColumn("twi", F.round(F.log(c("cells") * RES / slope), 4))
+    return index.select("ix", "iy", "cells", "twi", F.when(c("twi") >= 12.5, "high").when(c("twi") >= 10, "medium").otherwise("low").alias("band"))
+
+
+#: Cells upwind that are looked at, from the west; the ground must rise against the wind by so much a metre.
+UPWIND, RISE = 40, 0.05
+
+
+@query("upwind_fetch", sql(f"k AS (SELECT unnest(range(1, {UPWIND + 1})) AS k), m AS (SELECT g.ix, g.iy, min(CASE WHEN o.z >= g.z + k * 30e0 * {RISE} THEN k END) AS rise, max(CASE WHEN o.ix IS NOT NULL THEN k END) AS far FROM grid g, k LEFT JOIN grid o ON o.ix = g.ix - k AND o.iy = g.iy AND o.z IS NOT NULL WHERE g.z IS NOT NULL GROUP BY g.ix, g.iy) SELECT ix, iy, coalesce(rise * 30e0, -coalesce(far, 0) * 30e0) AS fetch_m FROM m", "grid"))
+def upwind_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """How far to windward the ground first rises; negative if it doesn't as far as there is data."""
+    c, grid = F.col, load(spark, d, "grid").filter("z IS NOT NULL")
+    ahead = grid.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(UPWIND)))).withColumn("ox", c("ix") - c("k"))
+    met = ahead.join(grid.select(c("ix").alias("ox"), "iy", c("z").alias("oz")), ["ox", "iy"])
+    found = met.groupBy("ix", "iy").agg(F.min(F.when(c("oz") >= c("z") + c("k") * RES * RISE, c("k"))).alias("rise"), F.max("k").alias("far"))
+    return grid.select("ix", "iy").join(found, ["ix", "iy"], "left").select("ix", "iy", F.coalesce(c("rise") * RES, -F.coalesce("far", F.lit(0)) * RES).alias("fetch_m"))
+
+
+#: Suns of a midsummer day at 44 degrees north, an hour apart: step to the cell under the sun and tangent of its height.
+HORIZON = 10
+
+
+def suns() -> list[tuple[int, int, int, float]]:
+    from math import acos, asin, cos, degrees, radians, sin, tan
+
+    lat, dec, out = radians(44.0), radians(23.0), []
+    for hour in range(5, 20):
+        angle = radians(15.0 * (hour - 12))
+        high = asin(sin(lat) * sin(dec) + cos(lat) * cos(dec) * cos(angle))
+        if high <= 0:
+            continue
+        az = degrees(acos(max(-1.0, min(1.0, (sin(dec) - sin(high) * sin(lat)) / (cos(high) * cos(lat))))))
+        az = az if hour < 12 else 360 - az
+        dx, dy = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)][round(az / 45) % 8]
+        out.append((hour, dx, dy, round(tan(high), 9)))
+    return out
+
+
+_SUNS = "(VALUES " + ", ".join(f"({hr}, {x}, {y}, {t!r}e0)" for hr, x, y, t in suns()) + ") s(hour, dx, dy, rise)"
+
+
+@query("daylight_share", sql(f"k AS (SELECT unnest(range(1, {HORIZON + 1})) AS k), m AS (SELECT g.ix, g.iy, hour, coalesce(bool_or((o.z - g.z) / (k * 30e0 * sqrt(dx * dx + dy * dy)) > rise), FALSE) AS shaded FROM grid g, {_SUNS}, k LEFT JOIN grid o ON o.ix = g.ix + k * dx AND o.iy = g.iy + k * dy AND o.z IS NOT NULL WHERE g.z IS NOT NULL GROUP BY g.ix, g.iy, hour) SELECT ix, iy, round(1 - avg(shaded::INT), 4) AS share, round(1 - avg(shaded::INT) FILTER (hour <= 10), 4) AS morning_share FROM m GROUP BY ix, iy", "grid"))
+def daylight_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of a midsummer day, and of its morning, in which no ground within 300 m hides the sun."""
+    c, grid = F.col, load(spark, d, "grid").filter("z IS NOT NULL")
+    sun = F.array(*(F.struct(F.lit(hr).alias("hour"), F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(t).alias("rise")) for hr, x, y, t in suns()))
+    towards = {(x, y) for _, x, y, _ in suns()}
+    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in sorted(towards)))
+    rays = grid.select("ix", "iy", "z", F.inline(steps)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(HORIZON)))).withColumn("ox", c("ix") + c("k") * c("dx")).withColumn("oy", c("iy") + c("k") * c("dy"))
+    met = rays.join(grid.select(c("ix").alias("ox"), c("iy").alias("oy"), c("z").alias("oz")), ["ox", "oy"])
+    rise = (c("oz") - c("z")) / (c("k") * RES * F.sqrt((c("dx") * c("dx") + c("dy") * c("dy")).cast("double")))
+    horizon = met.groupBy("ix", "iy", "dx", "dy").agg(F.max(rise).alias("horizon"))
+    hours = grid.select("ix", "iy", F.inline(sun)).join(horizon, ["ix", "iy", "dx", "dy"], "left").withColumn("lit", F.when(c("horizon") > c("rise"), 0.0).otherwise(1.0))
+    return hours.groupBy("ix", "iy").agg(F.round(F.avg("lit"), 4).alias("share"), F.round(F.avg(F.when(c("hour") <= 10, c("lit"))), 4).alias("morning_share"))
+
+
+@query("damp_zones", sql("SELECT CAST(floor(site_id / 100e0) AS BIGINT) AS area, count(*) AS sites FROM terrain WHERE twi >= 10 AND twi < 12.5 GROUP BY 1", "terrain"))
+def damp_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The band of damp ground, from 10 on and under 12.5: sites in it by area."""
+    return load(spark, d, "terrain").filter("twi >= 10 AND twi < 12.5").groupBy(F.floor(F.col("site_id") / 100).alias("area")).agg(F.count(F.lit(1)).alias("sites"))
+
+
+LAKE = "(ix * 7 + iy * 3) % 11 < 2"
+
+
+@query("lakes_in_view", sql(f"{SEEN} SELECT ex, ey, count(*) * 900 AS water_m2, count(*) * 900 >= 2000 AS water_view FROM seen WHERE visible AND {LAKE} AND sqrt(pow((ix - ex) * 30e0, 2) + pow((iy - ey) * 30e0, 2)) <= 2000 GROUP BY ex, ey", "grid"))
+def lakes_in_view(spark: SparkSession, d: str) -> DataFrame:
+    """The area of lakes that can be seen within 2 km of an eye."""
+    c = F.col
+    seen = visible_cells(load(spark, d, "grid")).filter(f"visible AND {LAKE}").filter(F.sqrt(F.pow((c("ix") - c("ex")) * RES, 2) + F.pow((c("iy") - c("ey")) * RES, 2)) <= 2000)
+    return seen.groupBy("ex", "ey").agg((F.count(F.lit(1)) * 900).alias("water_m2"), (F.count(F.lit(1)) * 900 >= 2000).alias("water_view"))

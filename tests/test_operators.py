@@ -1,14 +1,19 @@
 """Column functions and joins on small inputs with known answers."""
 
 import math
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cairnpath.functions import curves, text
 from cairnpath.operators import graph, spatial
+from cairnpath.plans.facts import clip_rings, ring_areas
+from cairnpath.plans.geometry import stitched
+from cairnpath.plans.hikes import moving
 from cairnpath.plans.planning import best_stops, spread
-from cairnpath.plans.scoring import weighted
+from cairnpath.plans.scoring import REGIONS, decide, region_at, weighted
 from cairnpath.plans.series import accepted, threshold_climb, thinned
 
 
@@ -47,7 +52,7 @@ def test_threshold_climb_ignores_noise(spark):
 
 def test_thinned_measures_from_the_last_kept(spark):
     got = values(spark, [([0.0, 30.0, 60.0, 90.0, 120.0],)], thinned(F.col("v"), 50.0), schema="v array<double>")
-    assert got == [([0.0, 60.0, 120.0],)]
+    assert [(g[0].n, g[0].last) for g in got] == [(3, 120.0)]
 
 
 def test_accepted_fixes(spark):
@@ -56,9 +61,9 @@ def test_accepted_fixes(spark):
     assert got == [([0, 3, 20],)]
 
 
-@pytest.mark.parametrize(("value", "metres"), [("1,629 m", 1629), ("5344 ft", 1628.8512), ("12", 12), ("high", None), ("99999", None), (None, None), ("", None)])
+@pytest.mark.parametrize(("value", "metres"), [("1,629 m", None), ("5344 ft", 1628.9), ("12", 12), ("1629.25 Metres", 1629.3), (" 7 meter ", 7), ("1 2 m", None), ("12 metre", 12), ("high", None), ("99999", None), (None, None), ("", None)])
 def test_elevation_text(spark, value, metres):
-    assert values(spark, [(value,)], F.round(text.elevation_m(F.col("t")), 4), schema="t string") == [(metres,)]
+    assert values(spark, [(value,)], text.elevation_m(F.col("t")), schema="t string") == [(metres,)]
 
 
 def test_request(spark):
@@ -112,19 +117,95 @@ def test_ways_are_cut_where_they_meet(spark):
 
 
 def test_stops_are_the_best_of_all_choices(spark):
-    options = [(1, i, float(4000 + 1700 * i), float(i * 37 % 100)) for i in range(30)]
-    table = spark.createDataFrame(options, "plan_id long, option_id long, along_m double, score double")
-    got = best_stops(table, 60000.0, 2).first()
-    day, best = 20000.0, None
-    for a in options:
-        for b in options:
-            if abs(a[2] - day) <= 0.3 * day and abs(b[2] - 2 * day) <= 0.3 * day and b[2] - a[2] >= 3000:
-                cost = sum(((y - x - day) / day) ** 2 for x, y in ((0, a[2]), (a[2], b[2]), (b[2], 60000))) + sum(0.3 * ((100 - o[3]) / 100) ** 2 for o in (a, b))
-                best = min(best or (9, []), (round(cost, 6), [a[1], b[1]]))
-    assert (round(got.cost, 6), list(got.stops)) == best
+    climb = lambda m: m * m / 60000.0 / 20
+    options = [(1, i, float(4000 + 1700 * i), climb(4000 + 1700 * i), None if i % 7 == 0 else float(i * 37 % 100), i % 5 != 0) for i in range(30)]
+    # The second plan has no permitted option for its first night.
+    options += [(2, i, float(30000 + 900 * i), climb(30000 + 900 * i), 60.0, True) for i in range(20)]
+    table = spark.createDataFrame(options, "plan_id long, option_id long, along_m double, climb_m double, score double, permitted boolean")
+    got = {r.plan_id: r for r in best_stops(table, 60000.0, 3000.0, 2).collect()}
+
+    def day(a, b, nights):
+        high = climb(b) - climb(a)
+        return ((b - a - nights * 20000) / (nights * 20000)) ** 2 + 0.5 * ((high - nights * 1000) / max(nights * 1000, nights * 100)) ** 2
+
+    short = lambda o: 0.3 * (100 - (50 if o[4] is None else o[4])) / 100
+    inside = lambda plan, k: [o for o in options if o[0] == plan and o[5] and abs(o[2] - k * 20000) <= 6000]
+    best = min(day(0, a[2], 1) + day(a[2], b[2], 1) + day(b[2], 60000, 1) + short(a) + short(b) for a in inside(1, 1) for b in inside(1, 2))
+    assert abs(got[1].cost - best) < 1e-6 and got[1].nights == 2
+    best = min(day(0, b[2], 2) + day(b[2], 60000, 1) + short(b) for b in inside(2, 2))
+    assert not inside(2, 1) and abs(got[2].cost - best) < 1e-6 and got[2].nights == 1
 
 
 def test_spread_keeps_the_best_apart(spark):
     ordered = [(-9.0, 1, 100.0), (-8.0, 2, 500.0), (-7.0, 3, 950.0), (-6.0, 4, 2000.0)]
     got = values(spark, [(ordered,)], spread(F.col("c"), 805.0, 2), schema="c array<struct<b:double,site_id:bigint,along_m:double>>")
     assert [k.site_id for k in got[0][0]] == [1, 3]
+
+
+def test_a_part_is_attached_in_the_order_of_length():
+    parts = pd.DataFrame([(1, 0.0, 0.0, 100.0, 0.0, 100.0), (2, 130.0, 0.0, 190.0, 0.0, 60.0), (3, 105.0, 0.0, 125.0, 0.0, 20.0), (4, -5.0, 0.0, -45.0, 0.0, 40.0), (5, 900.0, 0.0, 930.0, 0.0, 30.0)], columns=["member", "ax", "ay", "bx", "by", "length_m"])
+    # The second longest is within 50 m of the end, although a shorter one is nearer; the last is too far from all.
+    assert stitched(parts) == [(4, True), (1, False), (2, False)]
+
+
+def test_routes_go_through_the_cheapest_nodes(spark):
+    edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 5.0), (1, 3, 20.0), (3, 4, 1.0), (8, 9, 1.0)], "u long, v long, m double")
+    legs = spark.createDataFrame([(0, 1, 4), (1, 4, 4), (2, 1, 9)], "leg int, start long, goal long")
+    got = {r.leg: (r.cost, r.path) for r in graph.routes(graph.both_ways(edges, F.col("m"), F.col("m")), legs).collect()}
+    assert got == {0: (11.0, [1, 2, 3, 4]), 1: (0.0, [4])}
+
+
+def test_nearest_goes_as_far_as_it_must(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 50000.0, 0.0)], "id long, x_m double, y_m double")
+    features = spark.createDataFrame([(k, float(k), 1.0) for k in range(40)] + [(99, 90000.0, 0.0)], "fid long, x_m double, y_m double")
+    got = sorted((r.id, r.fid, r.rank) for r in spatial.nearest_k(points, features, "id", "fid", 2).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (2, 39, 2), (2, 99, 1)]
+
+
+def test_segments_are_found_in_every_cell_they_cross(spark):
+    rng = random.Random(4)
+    points = [(k, rng.uniform(0, 4000), rng.uniform(0, 4000)) for k in range(60)]
+    lines = [(k, *(rng.uniform(0, 4000) for _ in range(4))) for k in range(60)] + [(99, 100.0, 100.0, 100.0, 100.0)]
+    got = {(r.id, r.way) for r in spatial.near_segments(spark.createDataFrame(points, "id long, x_m double, y_m double"), spark.createDataFrame(lines, "way long, ax double, ay double, bx double, by double"), 150.0).collect()}
+
+    def off(x, y, ax, ay, bx, by):
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    assert got == {(i, w) for i, x, y in points for w, *line in lines if off(x, y, *line) <= 150}
+
+
+def test_rules_of_the_first_region_decide(spark):
+    rows = [
+        # x, y, type, gate, land, feet, basis, trail, water
+        (50.0, 70000.0, "backcountry", "unknown", "NATION_2", 4060, None, None, None), (50.0, 70000.0, "backcountry", "unknown", "NATION_2", 4060, "listed", None, None),
+        (50.0, 70000.0, "lean_to", "unknown", "NATION_2", 3600, "a lean-to", None, None), (50.0, 70000.0, "backcountry", "unknown", "NATION_2", 3600, None, None, None),
+        (50.0, 70000.0, "backcountry", "unknown", "NATION_7", None, "listed", None, None), (50000.0, 20000.0, "backcountry", "unknown", "NATION_3", 100, None, 5.0, None),
+        (50000.0, 20000.0, "backcountry", "unknown", "NATION_1", 100, None, 40.0, None), (50000.0, 20000.0, "backcountry", "unknown", "NATION_1", 100, None, 70.0, 10.0),
+        (50000.0, 20000.0, "backcountry", "unknown", "NATION_9", 100, None, 5.0, 80.0), (50000.0, 20000.0, "backcountry", "not_permitted", "NATION_9", 100, "listed", None, None), (5.0, 5.0, "lean_to", "unknown", "", 100, "a lean-to", None, None),
+    ]
+    sites = spark.createDataFrame(rows, "x_m double, y_m double, site_type string, gate string, land_names string, elevation_ft long, basis string, trail_m double, water_m double").withColumn("region", region_at())
+    said = F.struct(F.lit("unknown").alias("verdict"), F.lit("no_rules").alias("reason"))
+    for region in REGIONS:
+        said = F.when(F.col("region") == region["id"], decide(region)).otherwise(said)
+    got = [tuple(r) for r in sites.select(said.alias("s")).select("s.*").collect()]
+    assert got == [
+        ("not_permitted", "all_4000"), ("unknown", "all_4000"), ("permitted", "designated"), ("not_permitted", "peaks_3500"), ("unknown", "no_elevation"), ("not_permitted", "scenic"),
+        ("unknown", "trail_200"), ("unknown", "trail_200_margin"), ("unknown", "undesignated"), ("unknown", "closed"), ("unknown", "no_rules"),
+    ]
+
+
+def test_standing_for_a_minute_is_a_stop(spark):
+    walk = [(t, 0.0 if t <= 100 else float(t - 100) * 2, 0.0) for t in range(0, 181, 10)]
+    got = values(spark, [(walk,)], moving(F.col("t")), schema="t array<struct<t_s:bigint,x_m:double,y_m:double>>")
+    assert (got[0][0].moving_s, got[0][0].stops) == (80, 1)
+
+
+def test_rings_are_cut_to_a_box(spark):
+    hexagon = [(0, 2, 0.0), (1, 4, 0.0), (2, 5, 2.0), (3, 4, 4.0), (4, 2, 4.0), (5, 1, 2.0)]
+    corners = spark.createDataFrame([(7, i, float(x), y) for i, x, y in hexagon], "key int, i int, x double, y double")
+    areas = {r.key: r.area for r in ring_areas(clip_rings(corners, "key", (2.0, 1.0), (9.0, 3.0)), "key").collect()}
+    # Between x = 2 and the two sloping sides, whose middle is at x = 5.
+    assert math.isclose(areas[7], 2 * 2 + 2 * 0.75, rel_tol=1e-9)
+    assert not clip_rings(corners, "key", (6.0, 0.0), (9.0, 3.0)).collect()
