@@ -28,7 +28,7 @@ FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 SAMPLE, EFFECT, SIGNIFICANCE = 20_000, 0.03, 5.0
 PREFIXES = (4, 5, 6)
 #: Penalties of the squared weights, and of the squared differences of scores; steps of the fit, and those it looks back on.
-RIDGE, COUNTERFACTUAL, STEPS, MEMORY = 1.0, 20.0, 300, 12
+RIDGE, COUNTERFACTUAL, STEPS, MEMORY = 1.0, 200.0, 300, 12
 #: Features a task counts before it hands the counts on.
 FLUSH = 400_000
 #: Terms for groups of people; each is swapped for the next in its list.
