@@ -113,14 +113,18 @@ def elevation_texts(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), text.elevation_m(free).alias("elevation_m"))
 
 
-PHRASES = ["easy loop under 5 miles near a lake", "two nights, 10 to 12 mile hike", "hard 8 mile day hike", "3 days over ten miles", "weekend at a pond", "quiet spot"]
-_EXPECT = [(None, 5.0, None, "easy", True, True), (10.0, 12.0, 2, None, False, False), (6.4, 9.6, 0, "hard", False, False), (10.0, None, 2, None, False, False), (None, None, 2, None, False, True), (None, None, None, None, False, False)]
-_LIT = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper()
+#: A request put together from a row: lengths, climb, nights, and words for the rest.
+ASKED = (
+    "['Easy', 'A hard', 'moderate', 'Some'][p_partkey % 4 + 1] || ' ' || ['loop', 'out-and-back', 'point to point', 'walk'][p_partkey % 4 + 1] || ', ' || CASE p_partkey % 3 WHEN 0 THEN 'under ' || p_size || ' miles' WHEN 1 THEN p_size || ' to ' || (p_size + 3) || ' mi' ELSE p_size || '-mile' END"
+    " || CASE p_partkey % 5 WHEN 0 THEN ', at least 2,500 feet of climbing' ELSE '' END || CASE p_partkey % 6 WHEN 0 THEN ', two nights' WHEN 1 THEN ' on a weekend' WHEN 2 THEN ', 4 days' WHEN 3 THEN ' day hike' ELSE '' END"
+    " || CASE p_partkey % 7 WHEN 0 THEN ' near a pond' WHEN 1 THEN ' in Vermont' WHEN 2 THEN ' in the ADK or Maine' WHEN 3 THEN ' with a lean-to' WHEN 4 THEN ', quiet' ELSE '' END"
+)
 
 
-@query("request_parse", "SELECT p_partkey AS id, v.* EXCLUDE (k) FROM part JOIN (VALUES " + ", ".join(f"({k}, {', '.join(map(_LIT, e))})" for k, e in enumerate(_EXPECT)) + ") v(k, min_mi, max_mi, nights, difficulty, is_loop, near_water) ON p_partkey % 6 = k")
+@query("request_parse", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN round(p_size * 0.8e0, 1) END AS min_mi, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 3e0 ELSE round(p_size * 1.2e0, 1) END AS max_mi, CASE WHEN p_partkey % 5 = 0 THEN 2500e0 END AS min_climb_ft, CAST(NULL AS DOUBLE) AS max_climb_ft, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 END AS nights, ['easy', 'hard', 'moderate', NULL][p_partkey % 4 + 1] AS difficulty, ['loop', 'out_and_back', 'point_to_point', NULL][p_partkey % 4 + 1] AS route_type, CASE WHEN p_partkey % 7 = 1 THEN 'green-mountains-vt' END AS region, p_partkey % 7 = 0 AS near_water, p_partkey % 7 = 3 AS shelter, CASE WHEN p_partkey % 7 = 4 THEN 'crowds' END AS unsupported FROM part")
 def request_parse(spark: SparkSession, d: str) -> DataFrame:
-    phrase = F.element_at(F.array(*(F.lit(p) for p in PHRASES)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    """Requests in words as filters; a region only if one alone is named."""
+    phrase = F.expr(ASKED.replace("[p_partkey % 4 + 1]", ", cast(p_partkey % 4 + 1 as int))").replace("['", "element_at(array('").replace("'], cast", "'), cast"))
     return load(spark, d, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in text.request(phrase).items()))
 
 

@@ -3,7 +3,6 @@
 import math
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,11 +67,13 @@ def test_elevation_text(spark, value, metres):
 
 def test_request(spark):
     asked = text.request(F.col("t"))
-    got = values(spark, [("Easy loop under 5 miles near a lake",), ("3 days, 8 mi",), ("",), (None,)], *(c.alias(n) for n, c in asked.items()), schema="t string")
-    assert got[0] == (None, 5.0, None, "easy", True, True)
-    assert got[1] == (6.4, 9.6, 2, None, False, False)
-    assert got[2][:4] == (None, None, None, None)
-    assert got[3][:3] == (None, None, None)
+    phrases = ["Easy loop under 5 miles near a lake", "3 days, 8 mi", "", None, "two nights, lakeside, moderate climb", "Adirondacks or Vermont, a loop", "quiet 5-8 mile traverse in Maine with lean-tos, over 2,000 ft", "a couple nights"]
+    got = [dict(zip(asked, r, strict=True)) for r in values(spark, [(p,) for p in phrases], *(c.alias(n) for n, c in asked.items()), schema="t string")]
+    said = [{k: v for k, v in g.items() if v is not None and v is not False} for g in got]
+    assert said == [
+        {"max_mi": 5.0, "difficulty": "easy", "route_type": "loop", "near_water": True}, {"min_mi": 6.4, "max_mi": 9.6, "nights": 2}, {}, {}, {"nights": 2, "difficulty": "moderate", "near_water": True}, {"route_type": "loop"},
+        {"min_mi": 5.0, "max_mi": 8.0, "min_climb_ft": 2000.0, "route_type": "point_to_point", "region": "maine", "shelter": True, "unsupported": "crowds"}, {"nights": 2},
+    ]
 
 
 def test_ring_counts_its_edge_as_inside(spark):
@@ -143,7 +144,7 @@ def test_spread_keeps_the_best_apart(spark):
 
 
 def test_a_part_is_attached_in_the_order_of_length():
-    parts = pd.DataFrame([(1, 0.0, 0.0, 100.0, 0.0, 100.0), (2, 130.0, 0.0, 190.0, 0.0, 60.0), (3, 105.0, 0.0, 125.0, 0.0, 20.0), (4, -5.0, 0.0, -45.0, 0.0, 40.0), (5, 900.0, 0.0, 930.0, 0.0, 30.0)], columns=["member", "ax", "ay", "bx", "by", "length_m"])
+    parts = [(1, 0.0, 0.0, 100.0, 0.0, 100.0), (2, 130.0, 0.0, 190.0, 0.0, 60.0), (3, 105.0, 0.0, 125.0, 0.0, 20.0), (4, -5.0, 0.0, -45.0, 0.0, 40.0), (5, 900.0, 0.0, 930.0, 0.0, 30.0)]
     # The second longest is within 50 m of the end, although a shorter one is nearer; the last is too far from all.
     assert stitched(parts) == [(4, True), (1, False), (2, False)]
 
