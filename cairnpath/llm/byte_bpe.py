@@ -95,10 +95,10 @@ class Codec:
             else:
                 below, b = b + 1, self.left[b]
 
-    def extend(self, data: bytes, last: list[int]) -> None:
-        """Fills last, the last token of each prefix of data, on to the end; it starts as [-1], for the empty prefix."""
+    def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
+        """Fills last, the last token of each prefix of data, on to a length or the end; it starts as [-1], for the empty prefix."""
         step, pairs, root = self._step.get, self._pairs, self._root
-        for end in range(len(last), len(data) + 1):
+        for end in range(len(last), (len(data) if upto is None else upto) + 1):
             node, at = root, end
             while True:
                 at -= 1
@@ -115,6 +115,20 @@ class Codec:
                         break
             last.append(node)
 
+    def refill(self, data: bytes, last: list[int], at: int, removed: int, inserted: bytes) -> tuple[bytes, list[int], int]:
+        """data with an edit, its table, and how many entries were filled anew.
+
+        Entries before the edit stay. Behind it an entry rests on as many bytes and entries before it as the longest token
+        has, so once so many in a row agree with the old ones, all that follow do.
+        """
+        new, table, end, shift, same = data[:at] + inserted + data[at + removed :], last[: at + 1], at + len(inserted), len(inserted) - removed, 0
+        for place in range(at + 1, len(new) + 1):
+            self.extend(new, table, place)
+            same = same + 1 if place > end and table[place] == last[place - shift] else 0
+            if same >= self.longest:
+                return new, table + last[place - shift + 1 :], place - at
+        return new, table, len(new) - at
+
     def walk(self, last: list[int]) -> list[int]:
         """The encoding that a filled table holds."""
         at, out, tokens = len(last) - 1, [], self.tokens
@@ -183,7 +197,10 @@ def segments(text: str) -> list[str]:
 
 
 class Draft:
-    """A text that changes, with its encoding: an append or edit encodes the segments that it touches and no others."""
+    """A text that changes, with its encoding: an append or edit encodes the segments that it touches and no others.
+
+    Within one match of the pattern, Codec.refill() goes on from the table before the edit.
+    """
 
     def __init__(self, codec: Codec, text: str = ""):
         self.codec, self.parts = codec, segments(text)

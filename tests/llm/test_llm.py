@@ -651,6 +651,16 @@ def test_prefixes_appends_and_edits(codecs):
     whole = [-1]
     own.extend(b"internationalisation", whole)
     assert last == whole
+    data, table = bytes(random.Random(9).choices(b"abcdeinrst", k=20_000)), [-1]
+    own.extend(data, table)
+    rng = random.Random(12)
+    for _ in range(60):
+        at = rng.randint(0, len(data))
+        cut, new = rng.randint(0, min(40, len(data) - at)), bytes(rng.choices(b"abcdeinrst", k=rng.randint(0, 40)))
+        data, table, fresh = own.refill(data, table, at, cut, new)
+        whole = [-1]
+        own.extend(data, whole)
+        assert table == whole and fresh <= len(new) + 40 * own.longest
     rng = random.Random(2)
     draft, text = byte_bpe.Draft(own, "A first draft of it."), "A first draft of it."
     for _ in range(400):
