@@ -2,13 +2,15 @@
 
 Wherever a common word stands, the content words that follow it form a chain; the set of a text's chains is its
 fingerprint. Common words are what a text's own wording hangs on, so navigation and other lists give few chains. Sets
-are compared by Jaccard likeness: sets whose sizes alone rule out a likeness are never compared, and a comparison ends
-once the elements left can't lift it over the limit.
+are compared by Jaccard likeness: where a limit is asked for, in similar(), sets are partitioned by length, those whose
+sizes alone rule it out are never compared, and a comparison ends once the elements left can't lift it over the limit.
+Where the likeness itself is asked for, in fingerprints(), there is no limit to prune by.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -153,9 +155,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs a < b of fingerprint classes with a likeness of least or more: a, b (fingerprints), likeness.
 
-    Classes are distinct fingerprints. A pair must share one of each set's rarest elements, as many as likeness allows to
-    be missing and one; sets meet there, in their size range, in an equi-join. An element that many sets have is rare in
-    none of them, and of two sets both must list it, so common elements stay out of the index.
+    Classes are distinct fingerprints; null and empty texts have none. Sets are partitioned by length, each partition
+    reaching from a length to that over least, so sets alike enough are in the same partition or in neighbours. A pair must
+    also share one of each set's rarest elements, as many as likeness allows to be missing and one: sets meet by partition
+    and element in an equi-join, and a comparison ends once it can't reach the limit any more. An element that many sets
+    have is rare in none of them, and of two sets both must list it, so common elements stay out of the index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +173,14 @@ def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
     counts = spread(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     ranked = items.join(counts, "item").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("rare"))  # of one text
     prefix = F.size("rare") - F.ceil(F.lit(least) * F.size("rare")) + 1
-    index = ranked.withColumn("size", F.size("rare")).select("fingerprint", "size", F.explode(F.slice("rare", 1, prefix)).alias("r")).select("fingerprint", "size", "r.item")
-    a, b = index.select(F.col("fingerprint").alias("a"), F.col("size").alias("n_a"), "item"), index.select(F.col("fingerprint").alias("b"), F.col("size").alias("n_b"), "item")
-    met = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    size = F.size("rare")
+    # The partition of a length; the least whole number keeps lengths at a partition's edge from falling short of it.
+    part = F.floor(F.log(size.cast("double")) / math.log(1 / least) + 1e-9).cast("int")
+    index = ranked.select("fingerprint", size.alias("size"), part.alias("part"), F.explode(F.slice("rare", 1, prefix)).alias("r")).select("fingerprint", "size", "part", "r.item")
+    a = index.select(F.col("fingerprint").alias("one"), F.col("size").alias("n_one"), "part", "item")
+    b = index.select(F.col("fingerprint").alias("two"), F.col("size").alias("n_two"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "item")
+    smaller = (F.col("n_one") < F.col("n_two")) | (F.col("n_one") == F.col("n_two")) & (F.col("one") < F.col("two"))
+    met = a.join(b, ["part", "item"]).filter(smaller & (F.col("n_one") >= least * F.col("n_two"))).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = lambda t: [int(t[i : i + 8], 16) for i in range(0, len(t), 8)]
