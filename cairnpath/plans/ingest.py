@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnpath.operators import spatial
 from cairnpath.plans.registry import query
+from cairnpath.plans.spatial import DIST, NEAR_SEG, SEGMENTS
 from cairnpath.sources.fixtures import load, sql
 
 
@@ -37,14 +39,23 @@ def load_status(spark: SparkSession, d: str) -> DataFrame:
     return part.join(first, "p_name").groupBy(c("p_brand").alias("source"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("area_tiles", "SELECT area, i, j, format('{}/tile-{}-{}', area, i, j) AS tile_id, round(w + i * (e - w) / nx, 6) AS west, round(CASE WHEN i = nx - 1 THEN e ELSE w + (i + 1) * (e - w) / nx END, 6) AS east FROM (SELECT n_nationkey AS area, -76e0 + n_nationkey AS w, -74.7e0 + n_nationkey + n_nationkey * 0.1e0 AS e, CAST(ceil(round((1.3e0 + n_nationkey * 0.1e0) / 0.5e0, 9)) AS BIGINT) AS nx, 2 AS ny FROM nation), unnest(range(nx)) x(i), unnest(range(ny)) y(j)")
+_AREA = "SELECT n_nationkey AS area, -76e0 + n_nationkey AS w, -74.7e0 + n_nationkey + n_nationkey * 0.1e0 AS e, 30e0 + n_nationkey * 0.2e0 AS s, 30.9e0 + n_nationkey * 0.25e0 AS n FROM nation"
+
+
+@query("area_tiles", f"WITH a AS ({_AREA}), t AS (SELECT *, CAST(ceil(round((e - w) / 0.5e0, 9)) AS BIGINT) AS nx, CAST(ceil(round((n - s) / 0.5e0, 9)) AS BIGINT) AS ny FROM a) SELECT area, i, j, format('{{}}/tile-{{}}-{{}}', area, i, j) AS tile_id, round(w + i * (e - w) / nx, 6) AS west, round(CASE WHEN i = nx - 1 THEN e ELSE w + (i + 1) * (e - w) / nx END, 6) AS east, round(s + j * (n - s) / ny, 6) AS south, round(CASE WHEN j = ny - 1 THEN n ELSE s + (j + 1) * (n - s) / ny END, 6) AS north FROM t, LATERAL (SELECT unnest(range(nx)) AS i), LATERAL (SELECT unnest(range(ny)) AS j)")
 def area_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Areas cut in tiles no wider than half a degree, the last one ending where the area does."""
-    k = F.col("n_nationkey")
-    nation = load(spark, d, "nation").select(k.alias("area"), (k - 76.0).alias("w"), (F.lit(-74.7) + k + k * 0.1).alias("e"), F.ceil(F.round((1.3 + k * 0.1) / 0.5, 9)).alias("nx"))
-    tiles = nation.withColumn("i", F.explode(F.expr("sequence(0L, nx - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, 1L)")))
-    at = lambda i: F.col("w") + i * (F.col("e") - F.col("w")) / F.col("nx")
-    return tiles.select("area", "i", "j", F.format_string("%d/tile-%d-%d", "area", "i", "j").alias("tile_id"), F.round(at(F.col("i")), 6).alias("west"), F.round(F.when(F.col("i") == F.col("nx") - 1, F.col("e")).otherwise(at(F.col("i") + 1)), 6).alias("east"))
+    """Areas cut in tiles no wider or higher than half a degree, the last column and row ending where the area does."""
+    k, c = F.col("n_nationkey"), F.col
+    areas = load(spark, d, "nation").select(k.alias("area"), (k - 76.0).alias("w"), (F.lit(-74.7) + k + k * 0.1).alias("e"), (30.0 + k * 0.2).alias("s"), (30.9 + k * 0.25).alias("n"))
+    steps = lambda lo, hi: F.ceil(F.round((c(hi) - c(lo)) / 0.5, 9))
+    tiles = areas.withColumn("nx", steps("w", "e")).withColumn("ny", steps("s", "n")).withColumn("i", F.explode(F.expr("sequence(0L, nx - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, ny - 1)")))
+
+    def edges(lo: str, hi: str, at: str, of: str) -> tuple:
+        place = lambda m: c(lo) + m * (c(hi) - c(lo)) / c(of)
+        return F.round(place(c(at)), 6), F.round(F.when(c(at) == c(of) - 1, c(hi)).otherwise(place(c(at) + 1)), 6)
+
+    (west, east), (south, north) = edges("w", "e", "i", "nx"), edges("s", "n", "j", "ny")
+    return tiles.select("area", "i", "j", F.format_string("%d/tile-%d-%d", "area", "i", "j").alias("tile_id"), west.alias("west"), east.alias("east"), south.alias("south"), north.alias("north"))
 
 
 @query("flow_codes", "SELECT p_partkey AS id, code, CASE code WHEN 46006 THEN TRUE WHEN 46007 THEN FALSE WHEN 46003 THEN FALSE END AS perennial, 'stream' AS feature_type FROM (SELECT p_partkey, 46000 + [0, 3, 6, 7][p_size % 4 + 1] AS code FROM part)")
@@ -160,6 +171,16 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(asked.filter("site_id % 3 = 0"), "key", "left_anti").select("key").distinct()
 
 
+@query("cache_states", "WITH c AS (SELECT o_custkey AS key, max(o_orderdate) AS stored FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey) SELECT c_custkey AS key, CASE WHEN stored IS NULL THEN 'miss' WHEN stored + to_days(CAST(CASE c_custkey % 3 WHEN 0 THEN 30 WHEN 1 THEN 300 ELSE 3000 END AS INT)) > TIMESTAMP '2025-01-01' THEN 'hit' ELSE 'stale' END AS state FROM customer LEFT JOIN c ON key = c_custkey")
+def cache_states(spark: SparkSession, d: str) -> DataFrame:
+    """What a lookup finds: the newest stored result if it is younger than its kind's lifetime, a stale one, or none."""
+    stored = load(spark, d, "orders").filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderdate").alias("stored"))
+    k = F.col("c_custkey")
+    asked = load(spark, d, "customer").select(k.alias("key"), F.when(k % 3 == 0, 30).when(k % 3 == 1, 300).otherwise(3000).alias("days"))
+    fresh = F.col("stored") + F.make_dt_interval("days") > F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")
+    return asked.join(stored, "key", "left").select("key", F.when(F.col("stored").isNull(), "miss").when(fresh, "hit").otherwise("stale").alias("state"))
+
+
 @query("cache_purge", "SELECT event_id, event_type FROM events WHERE ts + CASE event_type WHEN 'view' THEN INTERVAL 1 HOUR WHEN 'click' THEN INTERVAL 5 MINUTE ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-01-20 00:00:00'")
 def cache_purge(spark: SparkSession, d: str) -> DataFrame:
     """Stored results that haven't expired, each kind with its own lifetime."""
@@ -209,14 +230,19 @@ def tile_points(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sites").groupBy(t("x_m").alias("tx"), t("y_m").alias("ty"), p("x_m").alias("px"), p("y_m").alias("py")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coherence", sql("SELECT source, round(avg(CASE WHEN EXISTS (SELECT 1 FROM water f WHERE sqrt((s.x_m - f.x_m) * (s.x_m - f.x_m) + (s.y_m - f.y_m) * (s.y_m - f.y_m)) <= 1000) THEN 1e0 ELSE 0e0 END), 6) AS near_share, count(*) FILTER (elevation_m IS NULL) AS unmeasured, CAST(list_slice(list(site_id ORDER BY site_id) FILTER (elevation_m IS NULL), 1, 3) AS VARCHAR) AS examples FROM sites s GROUP BY source", "sites", "water"))
-def coherence(spark: SparkSession, d: str) -> DataFrame:
-    """Shares near water and what lacks a value, with three examples, which three smallest ids give without a list of all."""
-    from cairnpath.operators.spatial import within
+#: The share of sites that must have water and a trail within 1 km, or the layers don't fit together.
+ENOUGH = 0.75
 
+
+@query("coherence", sql(f"{SEGMENTS}, {NEAR_SEG}, n AS (SELECT source, round(avg(CASE WHEN EXISTS (SELECT 1 FROM water f WHERE {DIST} <= 1000) THEN 1e0 ELSE 0e0 END), 6) AS water_share, round(avg(CASE WHEN site_id IN (SELECT site_id FROM hits WHERE d <= 1000) THEN 1e0 ELSE 0e0 END), 6) AS trail_share, count(*) FILTER (elevation_m IS NULL) AS unmeasured, CAST(list_slice(list(site_id ORDER BY site_id) FILTER (elevation_m IS NULL), 1, 3) AS VARCHAR) AS examples FROM sites s GROUP BY source) SELECT *, water_share >= 0.75 AND trail_share >= 0.75 AS fits FROM n", "sites", "water", "vertices"))
+def coherence(spark: SparkSession, d: str) -> DataFrame:
+    """Shares near water and near a trail, whether both are enough, and what lacks a value, with three examples, which three smallest ids give without a list of all."""
     sites = load(spark, d, "sites")
-    near = within(sites.select("site_id", "x_m", "y_m"), load(spark, d, "water"), 1000.0).select("site_id").distinct().withColumn("near", F.lit(1.0))
+    points, one = sites.select("site_id", "x_m", "y_m"), F.lit(1.0)
+    water = spatial.within(points, load(spark, d, "water"), 1000.0).select("site_id").distinct().withColumn("by_water", one)
+    trail = spatial.segment_distance(points, spatial.segments(load(spark, d, "vertices")), "site_id", [1000.0]).select("site_id").withColumn("by_trail", one)
     rank = Window.partitionBy("source").orderBy("site_id")
     few = sites.filter("elevation_m IS NULL").withColumn("k", F.row_number().over(rank)).filter("k <= 3").groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("site_id")), ", "), F.lit("]")).alias("examples"))
-    counts = sites.join(near, "site_id", "left").groupBy("source").agg(F.round(F.avg(F.coalesce("near", F.lit(0.0))), 6).alias("near_share"), F.count_if(F.col("elevation_m").isNull()).alias("unmeasured"))
-    return counts.join(few, "source", "left").select("source", "near_share", "unmeasured", "examples")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6)
+    counts = sites.join(water, "site_id", "left").join(trail, "site_id", "left").groupBy("source").agg(share("by_water").alias("water_share"), share("by_trail").alias("trail_share"), F.count_if(F.col("elevation_m").isNull()).alias("unmeasured"))
+    return counts.join(few, "source", "left").select("source", "water_share", "trail_share", "unmeasured", "examples", ((F.col("water_share") >= ENOUGH) & (F.col("trail_share") >= ENOUGH)).alias("fits"))

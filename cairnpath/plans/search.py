@@ -64,6 +64,20 @@ def routes_by_gain(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "routes").orderBy(F.desc_nulls_last("gain_m"), F.desc("length_m"), "route_id").offset(100).limit(50).select("route_id", "gain_m", "length_m")
 
 
+@query("route_pages", sql("p AS (SELECT route_id, routes.name, length_m, sqrt(pow(x_m - 50000, 2) + pow(y_m - 50000, 2)) AS d FROM routes JOIN sites ON site_id = member_site WHERE kind = 'F'), a AS (SELECT 'distance' AS key, route_id, row_number() OVER (ORDER BY round(d, 3), route_id) AS place FROM p UNION ALL SELECT 'name', route_id, row_number() OVER (ORDER BY name, length_m DESC, route_id) FROM p) SELECT key, place, route_id, (SELECT count(*) FROM p) AS total FROM a WHERE place <= 20", "routes", "sites"))
+def route_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty routes by distance from a point and by name, with how many there are in all; each order is a top-k."""
+    c = F.col
+    away = F.round(F.sqrt(F.pow(c("x_m") - 50000, 2) + F.pow(c("y_m") - 50000, 2)), 3)
+    found = load(spark, d, "routes").filter("kind = 'F'").join(load(spark, d, "sites").select(c("site_id").alias("member_site"), "x_m", "y_m"), "member_site").select("route_id", "name", "length_m", away.alias("d"))
+    total = found.agg(F.count(F.lit(1)).alias("total"))  # one row
+    pages = []
+    for key, order in (("distance", ["d", "route_id"]), ("name", ["name", F.desc("length_m"), "route_id"])):
+        first = found.orderBy(*order).limit(20)
+        pages.append(first.select(F.lit(key).alias("key"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "route_id"))  # of twenty rows
+    return pages[0].unionByName(pages[1]).crossJoin(F.broadcast(total))
+
+
 @query("longest_routes", sql("SELECT route_id, length_m FROM routes ORDER BY length_m DESC, route_id LIMIT 101", "routes"))
 def longest_routes(spark: SparkSession, d: str) -> DataFrame:
     """One more than a page, which tells whether there is another."""

@@ -222,7 +222,10 @@ def walked(track: Column) -> Column:
     return F.aggregate(track, F.struct(first["x_m"].alias("x"), first["y_m"].alias("y"), first["t_s"].alias("t"), F.lit(0.0).alias("m")), step)["m"]
 
 
-@query("walked_distance", None)
+WALKED = f"{FIXES.removeprefix('RECURSIVE ')}, acc AS (SELECT track_id, n AS pos, any_value(kt) AS t_s, any_value(kx) AS x_m, any_value(ky) AS y_m FROM r GROUP BY track_id, n), w AS (SELECT track_id, pos, x_m AS ax, y_m AS ay, t_s AS since, 0e0 AS metres FROM acc WHERE pos = 1 UNION ALL SELECT track_id, pos, CASE WHEN far >= 10 THEN x_m ELSE ax END, CASE WHEN far >= 10 THEN y_m ELSE ay END, CASE WHEN far >= 10 THEN t_s ELSE since END, CASE WHEN far >= 10 AND far / greatest(0.001, t_s - since) <= 7 THEN metres + far ELSE metres END FROM (SELECT a.*, w.ax, w.ay, w.since, w.metres, sqrt((x_m - ax) * (x_m - ax) + (y_m - ay) * (y_m - ay)) AS far FROM w JOIN acc a ON a.track_id = w.track_id AND a.pos = w.pos + 1)), m AS (SELECT track_id, max(metres) AS metres FROM w GROUP BY track_id), el AS (SELECT track_id, max(t_s) - min(t_s) AS elapsed_s FROM acc GROUP BY track_id) SELECT track_id, round(metres, 3) AS metres, elapsed_s, round(metres / greatest(elapsed_s, 1), 4) AS pace_ms FROM m JOIN el USING (track_id)"
+
+
+@query("walked_distance", sql(WALKED, "fixes").replace("WITH ", "WITH RECURSIVE ", 1))
 def walked_distance(spark: SparkSession, d: str) -> DataFrame:
     kept = tracks(spark, d).select("track_id", accepted(F.col("track")).alias("kept")).filter(F.size("kept") > 0)
     elapsed = F.element_at("kept", -1)["t_s"] - F.element_at("kept", 1)["t_s"]
@@ -237,3 +240,13 @@ def track_segments(spark: SparkSession, d: str) -> DataFrame:
     gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
     parts = fixes.withColumn("fresh", F.when(gap <= 12 * 3600 * 1_000_000, 0).otherwise(1)).withColumn("segment", F.sum("fresh").over(w))
     return parts.groupBy("track_id", "segment").agg(F.count(F.lit(1)).alias("fixes"), (F.floor(F.unix_micros(F.max("ts")) / 1e6) - F.floor(F.unix_micros(F.min("ts")) / 1e6)).alias("seconds"))
+
+
+@query("segment_kinds", "WITH o AS (SELECT user_id AS track_id, event_id, ts, event_type = 'purchase' AS paused, lag(ts) OVER w AS before, lag(event_type) OVER w = 'purchase' AS was_paused FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, CASE WHEN before IS NULL THEN 'start' WHEN was_paused THEN 'resume' WHEN ts - before > INTERVAL 6 HOUR THEN 'gap' END AS kind FROM o) SELECT track_id, kind, count(*) AS segments, min(event_id) AS first_id FROM k WHERE kind IS NOT NULL GROUP BY ALL")
+def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How the segments of a track begin: at its start, after a pause that the hiker made, or after a gap in the recording."""
+    w = Window.partitionBy("track_id").orderBy("ts", "event_id")
+    fixes = load(spark, d, "events").select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    kind = F.when(gap.isNull(), "start").when(F.lag("event_type").over(w) == "purchase", "resume").when(gap > 6 * 3600 * 1_000_000, "gap")
+    return fixes.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("track_id", "kind").agg(F.count(F.lit(1)).alias("segments"), F.min("event_id").alias("first_id"))

@@ -174,6 +174,14 @@ def site_counts_by_way(spark: SparkSession, d: str) -> DataFrame:
     return ways.join(counts, "way_id", "left").withColumn("sites", F.coalesce("sites", F.lit(0)))
 
 
+@query("sites_within_2km", sql(f"{SEGMENTS}, {NEAR_SEG.replace('1000', '2000')}, len AS (SELECT DISTINCT way_id FROM segs) SELECT way_id, count(DISTINCT site_id) AS sites FROM len LEFT JOIN (SELECT way_id, site_id FROM hits WHERE d <= 2000) USING (way_id) GROUP BY way_id", "sites", "vertices"))
+def sites_within_2km(spark: SparkSession, d: str) -> DataFrame:
+    """How many sites are within 2 km of each way, none included."""
+    segments = spatial.segments(load(spark, d, "vertices"))
+    near = spatial.near_segments(load(spark, d, "sites").select("site_id", "x_m", "y_m"), segments, 2000.0).select("way_id", "site_id").distinct().groupBy("way_id").agg(F.count(F.lit(1)).alias("sites"))
+    return segments.select("way_id").distinct().join(near, "way_id", "left").select("way_id", F.coalesce("sites", F.lit(0)).alias("sites"))
+
+
 @query("snap_candidates", sql(f"{SEGMENTS}, {NEAR_SEG}, best AS (SELECT site_id, way_id, min(d) AS d FROM hits WHERE d <= 1000 GROUP BY site_id, way_id), r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY round(d, 6), way_id) AS rank FROM best) SELECT site_id, way_id, rank, round(d, 4) AS distance_m FROM r WHERE rank <= 4", "sites", "vertices"))
 def snap_candidates(spark: SparkSession, d: str) -> DataFrame:
     best = site_segments(spark, d).groupBy("site_id", "way_id").agg(F.min("distance_m").alias("d"))
