@@ -37,7 +37,7 @@ def within(points: DataFrame, features: DataFrame, metres: float) -> DataFrame:
 
 
 def _first_radius(points: DataFrame, features: DataFrame, k: int) -> tuple[float, float]:
-    """A radius in which about 2 k features are expected, and one that reaches from any point to any feature."""
+    """A radius in which about 8 k features are expected, and one that reaches from any point to any feature."""
     box = lambda df: df.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("x_m", "y_m")), F.count(F.lit(1)).alias("n")).first()
     p, q = box(points), box(features)
     if not p["n"] or not q["n"]:
@@ -45,7 +45,7 @@ def _first_radius(points: DataFrame, features: DataFrame, k: int) -> tuple[float
     across = [max(p[f"hi_{c}"], q[f"hi_{c}"]) - min(p[f"lo_{c}"], q[f"lo_{c}"]) for c in ("x_m", "y_m")]
     area = max(1.0, (q["hi_x_m"] - q["lo_x_m"]) * (q["hi_y_m"] - q["lo_y_m"]))
     reach = max(1.0, 1.001 * (across[0] ** 2 + across[1] ** 2) ** 0.5)
-    return min(reach, (2 * k * area / (3.1416 * q["n"])) ** 0.5), reach
+    return min(reach, (8 * k * area / (3.1416 * q["n"])) ** 0.5), reach
 
 
 def nearest_k(points: DataFrame, features: DataFrame, key: str, feature_key: str, k: int, metres: float | None = None, by: list[str] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def nearest_k(points: DataFrame, features: DataFrame, key: str, feature_key: str
         ranked = settled(ranked)
         full = ranked.groupBy(key).agg(F.count_if(F.col("rank") == k).alias("full")).filter(F.col("full") >= kinds).select(key)
         done.append(ranked.join(full, key, "left_semi"))
-        left = settled(left.join(full, key, "left_anti"))
+        left = left.join(full, key, "left_anti")
         if left.isEmpty():
             break
         radius = min(last, 4 * radius) if metres is None else last
@@ -95,9 +95,10 @@ def near_segments(points: DataFrame, segments: DataFrame, metres: float) -> Data
     size, c = 2.0 * metres, F.col
     low, high = lambda a, b: F.least(a, b) - metres, lambda a, b: F.greatest(a, b) + metres
     spread = segments.withColumn("cell_x", around(low(c("ax"), c("bx")), high(c("ax"), c("bx")), size)).withColumn("cell_y", around(low(c("ay"), c("by")), high(c("ay"), c("by")), size))
-    middle = lambda k: (c(k) + 0.5) * size
-    _, off = projection(middle("cell_x"), middle("cell_y"), *(c(k) for k in ("ax", "ay", "bx", "by")))
-    spread = spread.filter(off <= metres + 0.7072 * size)
+    # How far a cell's middle is from the line through the segment, by the cross product: a short expression, since it is worked out for every cell.
+    dx, dy = c("bx") - c("ax"), c("by") - c("ay")
+    cross = F.abs(((c("cell_x") + 0.5) * size - c("ax")) * dy - ((c("cell_y") + 0.5) * size - c("ay")) * dx)
+    spread = spread.filter(cross <= (metres + 0.7072 * size) * F.sqrt(dx * dx + dy * dy))
     placed = points.withColumn("cell_x", cell("x_m", size)).withColumn("cell_y", cell("y_m", size))
     t, d = projection(*(c(k) for k in ("x_m", "y_m", "ax", "ay", "bx", "by")))
     return placed.join(spread, ["cell_x", "cell_y"]).withColumn("t", t).withColumn("distance_m", d).filter(c("distance_m") <= metres).drop("cell_x", "cell_y")
