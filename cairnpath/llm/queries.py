@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnpath.llm import byte_bpe, exact_dedup, hd_language, html_text, license_scan, mixing, pii, simhash, spotsigs, toxicity
+from cairnpath.llm import byte_bpe, exact_dedup, hd_language, html_text, license_scan, merkle_manifest, mixing, oracle, pii, simhash, spotsigs, toxicity
 from cairnpath.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document in a Merkle manifest."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_spotsigs": op2_spotsigs,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
@@ -78,4 +84,5 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op13_merkle_manifest": oracle.manifest(),
 }
