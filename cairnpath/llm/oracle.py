@@ -9,6 +9,35 @@ CRC32 = (
     "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
 )
 
+PREFIX_NODES = f"""
+    WITH own AS (
+      SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), said) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+    plan AS (
+      SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base, {CRC32.format("c.conv_id::VARCHAR")} % 9 AS h, n
+      FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id) c),
+    led AS (SELECT p.*, least(p.h, coalesce(b.n, 0)) AS lead FROM plan p LEFT JOIN plan b ON b.conv_id = p.base),
+    turns AS (
+      SELECT l.conv_id, o.i AS pos, said, bytes FROM led l JOIN own o ON o.conv_id = l.base AND o.i <= l.lead
+      UNION ALL
+      SELECT l.conv_id, l.lead + o.i - l.h, said, bytes FROM led l JOIN own o ON o.conv_id = l.conv_id AND o.i > l.h),
+    prefixes AS (
+      SELECT conv_id, pos AS depth, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM turns
+      UNION ALL SELECT conv_id, 0, 0, '' FROM plan),
+    ends AS (
+      SELECT prefix, string_agg(conv_id, ',' ORDER BY conv_id) AS ids
+      FROM (SELECT conv_id, max_by(prefix, depth) AS prefix FROM prefixes GROUP BY conv_id) GROUP BY prefix),
+    nodes AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM prefixes GROUP BY depth, prefix),
+    kids AS (SELECT left(prefix, -64) AS above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    sums AS (
+      SELECT n.prefix, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens
+      FROM nodes n JOIN nodes b ON starts_with(b.prefix, n.prefix) LEFT JOIN kids k ON k.above = b.prefix GROUP BY n.prefix)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens,
+           sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes n JOIN sums s USING (prefix) LEFT JOIN kids k ON k.above = n.prefix LEFT JOIN ends e ON e.prefix = n.prefix
+    LEFT JOIN nodes u ON u.prefix = left(n.prefix, -64) AND u.depth = n.depth - 1"""
+
 
 def manifest(levels: int = 13, top: int = 8) -> str:
     """For up to 3**levels rows of a source and 3**top sources; a tree that is done earlier stays as it is."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnpath.llm import byte_bpe, exact_dedup, hd_language, html_text, license_scan, merkle_manifest, mixing, oracle, pii, simhash, spotsigs, toxicity
+from cairnpath.llm import byte_bpe, exact_dedup, hd_language, html_text, jaccard_join, license_scan, merkle_manifest, mixing, oracle, pii, prefix_trie, simhash, spotsigs, toxicity
 from cairnpath.llm.common import table
 
 
@@ -59,6 +59,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of shingles are alike."""
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of every document in a Merkle manifest."""
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
@@ -75,6 +85,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -84,5 +96,6 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_prefix_trie": oracle.PREFIX_NODES,
     "op13_merkle_manifest": oracle.manifest(),
 }
