@@ -1,8 +1,8 @@
 """Merkle manifest of a table of documents: a radix-ranked trie of leaf hashes.
 
 A row's place among its source's rows follows from digit histograms: rows are counted by (source, doc_id), the counts are
-rolled up over ever shorter prefixes of the id's 16-bit digits, and a row's rank is the sum, over its digits, of what
-smaller digits under the same prefix hold. No partition holds more than 65,537 counters and nothing is sorted as a whole.
+rolled up over ever shorter prefixes of the id's 10-bit digits, and a row's rank is the sum, over its digits, of what
+smaller digits under the same prefix hold. No partition holds more than 1,025 counters and nothing is sorted as a whole.
 Rows that share an id follow each other by leaf hash, ranked by a digit of the hash likewise; rows that are equal in
 all are one counter, so that no number of copies makes a hot key.
 
@@ -24,9 +24,9 @@ from cairnpath.llm.common import durable, forget, parts, scratch
 FANOUT = 3
 #: Levels of the trie that are reduced in one shuffle.
 LEVELS = 5
-DIGIT_BITS = 16
+DIGIT_BITS = 10
 #: The digits of a 64-bit id, the highest first; null ids come before all others.
-DIGITS = ["d1", "d2", "d3", "d4"]
+DIGITS = [f"d{k}" for k in range(1, -(-64 // DIGIT_BITS) + 1)]
 NO_PATH = "cast(array() as array<struct<l:string,r:string>>)"
 
 
@@ -40,9 +40,10 @@ def _leaf(text: Column) -> Column:
 
 
 def _digits(column: Column) -> dict[str, Column]:
-    shifted = lambda k: F.shiftrightunsigned(column, 64 - DIGIT_BITS * k).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
-    first = F.shiftright(column, 64 - DIGIT_BITS)  # signed, so negative ids come first
-    return {"d1": F.coalesce(first, F.lit(-(1 << DIGIT_BITS)))} | {f"d{k}": F.coalesce(shifted(k), F.lit(-1)) for k in (2, 3, 4)}
+    last = len(DIGITS) - 1
+    lower = lambda k: F.shiftrightunsigned(column, DIGIT_BITS * (last - k)).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+    highest = F.shiftright(column, DIGIT_BITS * last)  # signed, so negative ids come first
+    return {d: F.coalesce(lower(k) if k else highest, F.lit(-(1 << DIGIT_BITS))) for k, d in enumerate(DIGITS)}
 
 
 def _before(keys: list[str], by: str, count: str) -> Column:
@@ -58,18 +59,18 @@ def _ranked(rows: DataFrame) -> DataFrame:
     hashes = tied.groupBy("source", "doc_id", "h1").agg(F.sum("copies").alias("n"))
     ids = hashes.groupBy("source", "doc_id").agg(F.sum("n").alias("n")).withColumns(_digits(F.col("doc_id").cast("long")))
     levels = [ids]
-    for k in (3, 2, 1, 0):
+    for k in reversed(range(len(DIGITS))):
         levels.append(levels[-1].groupBy("source", *DIGITS[:k]).agg(F.sum("n").alias("n")))
     *_, sizes = levels
     down = sizes.select("source", F.col("n").alias("n_leaves"), F.lit(0).cast("long").alias("start"))
-    for k in (1, 2, 3, 4):
-        keys, level = DIGITS[: k - 1], levels[4 - k]
+    for k in range(1, len(DIGITS) + 1):
+        keys, level = DIGITS[: k - 1], levels[len(DIGITS) - k]
         placed = level.withColumn("inner", _before(["source", *keys], DIGITS[k - 1], "n"))
         left, right = placed.alias("a"), down.alias("b")
         on = F.col("a.source").eqNullSafe(F.col("b.source"))
         for key in keys:
             on &= F.col(f"a.{key}") == F.col(f"b.{key}")
-        more = ["doc_id"] if k == 4 else []
+        more = ["doc_id"] if k == len(DIGITS) else []
         down = left.join(right, on).select("a.source", *(f"a.{d}" for d in DIGITS[:k]), *(f"a.{c}" for c in more), "b.n_leaves", (F.col("b.start") + F.col("inner")).alias("start"))
     at_id = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
     by_hash = hashes.withColumn("inner", _before(["source", "doc_id"], "h1", "n")).alias("h")
