@@ -20,7 +20,24 @@ def u(k: str) -> str:
     return f"(CAST({h(k)} AS DOUBLE) / CAST(2147483647 AS DOUBLE))"
 
 
+#: Eight directions, counterclockwise: rings have a vertex in each, so they may be concave but don't cross themselves.
+COMPASS = "(VALUES (0, 1e0, 0e0), (1, 0.7e0, 0.7e0), (2, 0e0, 1e0), (3, -0.7e0, 0.7e0), (4, -1e0, 0e0), (5, -0.7e0, -0.7e0), (6, 0e0, -1e0), (7, 0.7e0, -0.7e0)) AS k(i, dx, dy)"
+
+
+def star(key: str, low: int, more: int, shrink: str = "1e0") -> str:
+    """x and y of a ring's vertex around a place by key, at a distance of its own."""
+    away = f"({low}e0 + {more}e0 * {u(f'{key} * 8 + k.i')}) * {shrink}"
+    return f"ROUND({u(f'{key} * 3 + 1')} * 100000e0 + {away} * k.dx, 1) AS x, ROUND({u(f'{key} * 11 + 5')} * 100000e0 + {away} * k.dy, 1) AS y"
+
+
 TABLES = {
+    "lake_rings": f"SELECT p_partkey AS shape, 0 AS ring, k.i AS pos, {star('p_partkey', 100, 300)} FROM part CROSS JOIN {COMPASS}",
+    "parcel_rings": f"""SELECT s_suppkey AS shape, 0 AS ring, k.i AS pos, {star('s_suppkey', 2000, 6000)} FROM supplier CROSS JOIN {COMPASS}
+        UNION ALL SELECT s_suppkey AS shape, 1 AS ring, 7 - k.i AS pos, {star('s_suppkey', 2000, 6000, '0.3e0')} FROM supplier CROSS JOIN {COMPASS}""",
+    "parcels": """SELECT s_suppkey AS shape, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'restricted' WHEN 2 THEN 'unknown' ELSE 'closed' END AS access,
+        CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '3' ELSE '4' END AS gap FROM supplier""",
+    "broken_rings": f"""SELECT p_partkey AS shape, 0 AS ring, CASE p_partkey % 4 WHEN 0 THEN (k.i * 3) % 8 WHEN 1 THEN k.i WHEN 2 THEN 7 - k.i ELSE (k.i * 5) % 8 END AS pos, {star('p_partkey', 100, 300)} FROM part CROSS JOIN {COMPASS}
+        UNION ALL SELECT p_partkey AS shape, 0 AS ring, 8 + k.i AS pos, {star('p_partkey', 100, 300)} FROM part CROSS JOIN {COMPASS} WHERE p_partkey % 3 = 0 AND k.i < 2""",
     "sites": f"""SELECT c_custkey AS site_id, {u('c_custkey')} * 100000e0 AS x_m, {u('c_custkey * 7 + 3')} * 100000e0 AS y_m,
         CASE c_custkey % 4 WHEN 0 THEN 'campground' WHEN 1 THEN 'lean_to' WHEN 2 THEN 'backcountry' ELSE 'unknown' END AS site_type,
         CASE c_custkey % 3 WHEN 0 THEN 'ridb' ELSE 'osm' END AS source, c_name AS name,
@@ -57,7 +74,7 @@ TABLES = {
     "tags": """SELECT p_partkey AS id, p_type, p_brand, p_size, p_name FROM part""",
 }
 
-SOURCES = {"sites": "customer", "water": "part", "land": "nation", "vertices": "lineitem", "profile": "events", "fixes": "events", "edges": "lineitem", "routes": "orders", "grid": "part", "weather": "customer", "terrain": "customer", "tags": "part"}
+SOURCES = {"lake_rings": "part", "parcel_rings": "supplier", "parcels": "supplier", "broken_rings": "part", "sites": "customer", "water": "part", "land": "nation", "vertices": "lineitem", "profile": "events", "fixes": "events", "edges": "lineitem", "routes": "orders", "grid": "part", "weather": "customer", "terrain": "customer", "tags": "part"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
