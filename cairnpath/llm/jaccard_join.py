@@ -9,8 +9,9 @@ neighbourhood: its own key and one for each shingle left out; such a segment doe
 gets its key alone. Segments that would be empty get nothing, and so do crowded ones, whose key more than CROWD sets share
 (a passage that many documents repeat): there are spare segments for either. A set with too many empty segments is hashed
 anew with the next seed, besides. A set with more crowded segments than there are spares lies in a crowd; such sets are
-compared with the one most central of those that share a key, and those that this doesn't link with it, with the sets of
-other components that the triangle inequality leaves.
+compared, in rounds, with one central set of those that share a key and are not linked with the most of them yet, and what
+is still apart then, with the sets of other components. Of all pairs only those are looked up whose sketches differ in no
+more bits than the sets may in shingles.
 
 Sets are told by 128-bit hashes, shingles by 64-bit ones; the pairs found are verified on all shingles, counted exactly.
 """
@@ -39,15 +40,21 @@ CROWD = 8
 #: Bands of sizes begin at powers of it.
 RATIO = 1.5
 #: Bands that begin below it get one-deletion neighbourhoods.
-SMALL = 64
+SMALL = 24
 #: Of the segments, how many are spare for crowded keys.
-SPARE = 0.12
+SPARE = 0.3
 #: Keys that a task holds before it hands them on.
 HELD = 1 << 21
+#: Bits of a set's sketch, each the parity of the shingles that fall on it.
+SKETCH = 1024
+#: How often a crowd's members are compared with a further centre before those left over are compared with each other.
+ROUNDS = 2
 #: Pieces of the index for each partition.
 PIECES = 8
-#: Words whose hashes a task remembers.
+#: Sets that a task remembers, so as to index copies once.
 REMEMBERED = 1 << 20
+#: Bytes of text hashed at a time.
+PIECE = 1 << 22
 #: Sets whose texts are looked up by a broadcast of their ids; more are looked up by a shuffled join.
 FEW = 1 << 20
 
@@ -64,18 +71,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word)
-        return made
+#: Which bytes are white space.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Powers of an odd base modulo 2**64, and of its inverse.
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(made, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
 
 
-def shingles(text: str, hashes: _Hashes) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: the polynomial of its bytes, from differences of the text's running sum."""
+    b = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(np.diff(np.concatenate((np.zeros(1, np.int8), (~_SPACE[b]).view(np.int8), np.zeros(1, np.int8)))))
+    start, end = at[::2], at[1::2]
+    forth, back = _powers(len(b))
+    with np.errstate(over="ignore"):
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + _U(1)) * forth[: len(b)], dtype=np.uint64)))
+        return mix((upto[end] - upto[start]) * back[start] + (end - start).astype(np.uint64) * _ODD[0])
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; long texts are hashed by pieces that end at white space."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    pieces, at = [], 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        pieces.append(_word_hashes(raw[at:end]))
+        at = end
+    own = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
     if not len(own):
         return own
     if len(own) < WORDS:
@@ -84,9 +116,11 @@ def shingles(text: str, hashes: _Hashes) -> np.ndarray:
             made = mix(made ^ w)
         return made
     made = own[: 1 - WORDS]
-    for k in range(1, WORDS):
-        made = mix(made) ^ own[k : len(own) - WORDS + 1 + k]
-    return np.unique(mix(made))
+    with np.errstate(over="ignore"):
+        for k in range(1, WORDS):
+            made = made * _ODD[2] + own[k : len(own) - WORDS + 1 + k]
+    made = np.sort(mix(made))
+    return made[np.concatenate(([True], made[1:] != made[:-1]))]
 
 
 def starts() -> list[int]:
@@ -107,7 +141,7 @@ def scheme(band: int) -> tuple[int, int, int, bool]:
     h = (100 - ALIKE) * (high + high * 100 // ALIKE) // (100 + ALIKE)
     if not h:
         return 0, 0, 0, False
-    if low < SMALL:
+    if low < SMALL:  # fewer than 32 segments, by which a unit tells them apart
         spare = 1 if h > 4 else 0
         return h // 2 + 1 + 2 * spare, spare, spare, True
     crowded = ceil(SPARE * (h + 1))
@@ -125,44 +159,52 @@ def bands(n: int) -> list[int]:
     return [own, own - 1] if own and 100 * (STARTS[own] - 1) >= ALIKE * n else [own]
 
 
-def keys(tokens: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Seed and keys of a set in a band; more than one seed where too many segments are empty."""
+def keys(tokens: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units and keys of a set in a band, by seed; more than one seed where too many segments are empty.
+
+    A unit is band and seed, and the segment where a segment has more than one key.
+    """
     m, empty, _, near = scheme(band)
     if not m:
         return
-    worth = mix(tokens ^ _ODD[1])
     seed = 0
     while True:
         salt = mix(np.array([(band << 32) | seed], np.uint64))[0]
-        at = mix(tokens ^ salt) % _U(m)
+        with np.errstate(over="ignore"):
+            at = (((tokens ^ salt) * _ODD[1] >> _U(32)) * _U(m) >> _U(32)).astype(np.uint16 if m < 1 << 16 else np.uint32)
         order = np.argsort(at, kind="stable")
-        at, value = at[order], worth[order]
+        at, value = at[order], tokens[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         sizes = np.diff(np.append(first, len(at)))
-        sums, named = np.add.reduceat(value, first), mix(at[first] ^ salt)
+        sums, named = np.add.reduceat(value, first), mix(at[first].astype(np.uint64) ^ salt)
+        unit = np.uint16(band << 9 | min(seed, 15) << 5)
         if near:
             left = (np.repeat(sums, sizes) - value) ^ np.repeat(named, sizes)
-            out = mix(np.concatenate((sums ^ named, left[np.repeat(sizes, sizes) > 1])))
+            long = np.repeat(sizes, sizes) > 1
+            out = mix(np.concatenate((sums ^ named, left[long])))
+            units = unit + np.concatenate((at[first], at[long])).astype(np.uint16)
             missing = m - int((sizes > 1).sum())
         else:
             out, missing = mix(sums ^ named), m - len(first)
-        yield seed, out
+            units = np.full(len(out), unit)
+        yield units, out
         if missing <= empty:
             return
         seed += 1
 
 
 def _identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
     for batch in batches:
-        n, sid, rest = [], [], []
+        n, sid, rest, sketch = [], [], [], []
         for text in batch.column(1):
-            tokens = shingles(text.as_py(), hashes)
+            tokens = shingles(text.as_py())
+            sketch.append(np.packbits(np.bincount((tokens & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
             digest = xxhash.xxh3_128_digest(tokens.tobytes())
             n.append(len(tokens))
             sid.append(int.from_bytes(digest[:8], "little", signed=True))
             rest.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(rest, pa.int64())], names=["doc_id", "text_hash", "n", "sid", "rest"])
+        columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, sid, rest)), pa.array(sketch, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "sid", "rest", "sketch"])
 
 
 PACKED = pa.schema([("piece", pa.int32()), ("crowded", pa.bool_()), ("keys", pa.binary()), ("sids", pa.binary()), ("units", pa.binary())])
@@ -199,10 +241,10 @@ def _sorted(key: np.ndarray, sid: np.ndarray, unit: np.ndarray) -> tuple[np.ndar
 
 def _indexed(pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = _Hashes(), [], 0, set()
+        held, size, seen = [], 0, set()
         for batch in batches:
             for text in batch.column(0):
-                tokens = shingles(text.as_py(), hashes)
+                tokens = shingles(text.as_py())
                 if not len(tokens):
                     continue
                 sid = int.from_bytes(xxhash.xxh3_128_digest(tokens.tobytes())[:8], "little")
@@ -211,8 +253,8 @@ def _indexed(pieces: int):
                 if len(seen) < REMEMBERED:
                     seen.add(sid)
                 for band in bands(len(tokens)):
-                    for seed, made in keys(tokens, band):
-                        held.append((made, np.full(len(made), sid, np.uint64), np.full(len(made), band << 8 | min(seed, 255), np.uint16)))
+                    for units, made in keys(tokens, band):
+                        held.append((made, np.full(len(made), sid, np.uint64), units))
                         size += len(made)
                 if size >= HELD:
                     yield from _handed_on(held, pieces)
@@ -273,9 +315,8 @@ def _of_piece(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
     for batch in batches:
-        made = pa.array([shingles(t.as_py(), hashes).tobytes() for t in batch.column(1)], pa.binary())
+        made = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["set_no", "tokens"])
 
 
@@ -289,9 +330,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs a, b of sets, those whose sizes allow a link -> also both, n_a, n_b: shingles in common and of each, counted on the whole sets."""
-    size = sets.select("set_no", "n")
-    sized = pairs.join(size.withColumnsRenamed({"set_no": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"set_no": "b", "n": "n_b"}), "b")
-    wanted = durable(sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * ALIKE).select("a", "b").distinct(), "candidates")
+    size = sets.select("set_no", "n", "sketch")
+    sized = pairs.join(size.withColumnsRenamed({"set_no": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(size.withColumnsRenamed({"set_no": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
+    wanted = durable(sized.filter(_may("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b").distinct(), "candidates")
     asked = durable(wanted.select(F.explode(F.array("a", "b")).alias("set_no")).distinct().join(sets, "set_no").select("set_no", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash")), "wanted")
     asked = F.broadcast(asked) if asked.count() <= FEW else asked
     own = docs.join(asked, (F.xxhash64("text") == F.col("low_hash")) & F.col("doc_id").eqNullSafe(F.col("low_id"))).select("set_no", "text")
@@ -301,6 +342,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(_shared, "a long, b long, both long, n_a long, n_b long")
 
 
+def _may(n_a: str, n_b: str, sketch_a: str, sketch_b: str) -> Column:
+    """Whether two sets may be alike, by their sizes and by the bits of their sketches that differ, each for a shingle that differs at least."""
+    bits = sum((F.bit_count(F.col(sketch_a)[k].bitwiseXOR(F.col(sketch_b)[k])) for k in range(SKETCH // 64)), F.lit(0))
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * ALIKE
+    return sizes & (bits * (100 + ALIKE) <= (F.col(n_a) + F.col(n_b)) * (100 - ALIKE))
+
+
 def _linked() -> Column:
     return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * ALIKE
 
@@ -308,9 +356,13 @@ def _linked() -> Column:
 def _unsettled(crowd: DataFrame) -> DataFrame:
     """Rows (key, unit, sid) of crowded keys, thinned to those that two sets without a key of their own must share one of."""
     spare = F.create_map(*(F.lit(x) for k in range(len(STARTS) - 1) for x in (k, scheme(k)[2])))
-    allowed = F.element_at(spare, F.shiftright("unit", 8))
+    near = F.col("unit").bitwiseAND(F.lit(31))
+    crowd = crowd.select("key", "sid", F.shiftright("unit", 5).alias("unit"), near.alias("segment"))
+    allowed = F.element_at(spare, F.shiftright("unit", 4))
+    small = F.element_at(F.create_map(*(F.lit(x) for k in range(len(STARTS) - 1) for x in (k, scheme(k)[3]))), F.shiftright("unit", 4))
     for _ in range(2):  # keys that only settled sets share are of no use any more
-        crowd = crowd.join(crowd.groupBy("sid", "unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > allowed).select("sid", "unit"), ["sid", "unit"], "left_semi")
+        segments = F.when(F.first(small), F.count_distinct("segment")).otherwise(F.count(F.lit(1)))
+        crowd = crowd.join(crowd.groupBy("sid", "unit").agg(segments.alias("n")).filter(F.col("n") > allowed).select("sid", "unit"), ["sid", "unit"], "left_semi")
         crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi")
         crowd = durable(crowd, "crowd")
     often = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
@@ -334,30 +386,36 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     crowd = durable(_unsettled(at(members, "sid")), "crowded")
     if crowd.isEmpty():
         return first
-    central = crowd.groupBy("key").agg(F.max(F.struct("of", "sid")).alias("centre")).select("key", F.col("centre.sid").alias("centre"))
-    stars = crowd.join(central, "key").filter("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b"))
-    measured = durable(_compared(stars, sets, docs), "stars")
-    links = durable(first.union(measured.filter(_linked()).select("a", "b")), "links")
+    links, measured = first, None
+    for _ in range(ROUNDS):
+        members = _classed(crowd, links)
+        # The most central member of the largest class but the heart; at first of all members, as there is no class yet.
+        outside = members.filter("NOT inside").groupBy("key").agg(F.max(F.struct("class_n", "of", "sid")).alias("centre"))
+        if outside.isEmpty():
+            return links
+        centres = outside.select("key", F.col("centre.sid").alias("centre"))
+        rooted = members.filter("NOT inside").select("key", F.col("sid").alias("centre"), F.col("root").alias("centre_root")).join(centres, ["key", "centre"])
+        stars = members.join(rooted, "key").filter("root <> centre_root").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
+        stars = stars if measured is None else stars.join(measured, ["a", "b"], "left_anti")
+        found = durable(_compared(stars, sets, docs), "stars")
+        measured = durable(found if measured is None else measured.union(found), "measured")
+        links = durable(links.union(found.filter(_linked()).select("a", "b")), "links")
+    members = _classed(crowd, links).join(sets.select(F.col("set_no").alias("sid"), "n", "sketch"), "sid").select("key", "sid", "root", "inside", "n", "sketch")
+    outside = members.filter("NOT inside").select("key", *(F.col(c).alias(f"{c}_a") for c in ("sid", "root", "n", "sketch")))
+    pairs = outside.join(members, "key").filter((F.col("root_a") != F.col("root")) & _may("n_a", "n", "sketch_a", "sketch")).select(F.least("sid_a", "sid").alias("a"), F.greatest("sid_a", "sid").alias("b"))
+    return links.union(_compared(pairs.distinct().join(measured, ["a", "b"], "left_anti"), sets, docs).filter(_linked()).select("a", "b"))
+
+
+def _classed(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of crowded keys with root, their component's name, class_n, how many of the key's members are of it, and inside, whether that is the largest class."""
     with scratch() as made:
         roots = components(links, "crowds")
     for table in made[:-1]:
         forget(table)
-    # Jaccard distance is a metric: a set that is far from a centre is far from those near it.
-    far = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    gauged = measured.select("a", "b", (1 - far).alias("away"))
-    gauged = gauged.union(gauged.select(F.col("b").alias("a"), F.col("a").alias("b"), "away"))
-    at = crowd.join(central, "key").join(gauged.withColumnsRenamed({"a": "sid", "b": "centre"}), ["sid", "centre"], "left")
-    # A centre is none away from itself; sizes that no link allows were not measured.
-    at = at.withColumn("away", F.when(F.col("sid") == F.col("centre"), F.lit(0.0)).otherwise(F.col("away")))
-    rooted = at.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    hearts = rooted.filter("sid = centre").select("key", "unit", F.col("root").alias("heart")).dropDuplicates(["key"]).drop("unit")
-    members = durable(rooted.join(hearts, "key").join(sets.select(F.col("set_no").alias("sid"), "n"), "sid").select("key", "sid", "root", "heart", "away", "n"), "members")
-    outside = members.filter("root <> heart").select("key", F.col("sid").alias("a"), F.col("root").alias("root_a"), F.col("away").alias("away_a"), F.col("n").alias("n_a"))
-    others = members.select("key", F.col("sid").alias("b"), "root", "away", "n")
-    apart = F.coalesce(F.abs(F.col("away_a") - F.col("away")) > (100 - ALIKE) / 100 + 1e-9, F.lit(False))
-    sizes = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * ALIKE
-    pairs = outside.join(others, "key").filter((F.col("root_a") != F.col("root")) & sizes & ~apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links.union(_compared(pairs.distinct(), sets, docs).filter(_linked()).select("a", "b"))
+    rooted = durable(crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "of", F.coalesce("root", "sid").alias("root")), "rooted")
+    classes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("class_n"))
+    hearts = classes.groupBy("key").agg(F.max_by("root", F.struct("class_n", "root")).alias("heart"))
+    return rooted.join(spread(classes), ["key", "root"]).join(spread(hearts), "key").withColumn("inside", F.col("root") == F.col("heart"))
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -368,10 +426,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     them has an id. Repeated rows are repeated in the result. An empty table gives no rows; further columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
-    named = plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_identity, "doc_id long, text_hash long, n long, sid long, rest long")
+    named = plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_identity, "doc_id long, text_hash long, n long, sid long, rest long, sketch array<long>")
     rows = durable(named, "sets-of-rows")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("low")
-    sets = durable(rows.filter("n > 0").groupBy("sid", "rest", "n").agg(low).withColumn("set_no", F.monotonically_increasing_id()), "sets")
+    sets = durable(rows.filter("n > 0").groupBy("sid", "rest", "n").agg(low, F.first("sketch").alias("sketch")).withColumn("set_no", F.monotonically_increasing_id()), "sets")
     with scratch() as made:
         roots = components(_links(plain, sets), "alike").withColumnRenamed("node", "set_no")
     for table in made[:-1]:
