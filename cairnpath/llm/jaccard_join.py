@@ -44,7 +44,7 @@ SMALL = 24
 #: Of the segments, how many are spare for crowded keys.
 SPARE = 0.3
 #: Keys that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 18
 #: Bits of a set's sketch, each the parity of the shingles that fall on it.
 SKETCH = 1024
 #: How often a crowd's members are compared with a further centre before those left over are compared with each other.
