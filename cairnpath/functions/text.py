@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters with accents and what they fold to.
@@ -36,68 +36,120 @@ def elevation_m(c: Column) -> Column:
     return F.when(metres.between(-430, 8900), F.round(metres, 1))
 
 
-#: What a request may ask for, by the words that say so.
-ASKS = {
-    "difficulty": {"easy": ["easy", "gentle", "beginner", "casual", "relaxed"], "moderate": ["moderate", "medium", "intermediate"], "hard": ["hard", "strenuous", "difficult", "challenging", "tough", "steep"]},
-    "route_type": {"loop": ["loop", "loops"], "out_and_back": ["out and back", "out-and-back"], "point_to_point": ["point to point", "point-to-point", "one way", "one-way", "traverse", "thru-hike", "thru hike"]},
-    "region": {"adirondacks": ["adirondack", "adirondacks", "adk", "high peaks"], "white-mountains-nh": ["white mountain", "white mountains", "new hampshire"], "green-mountains-vt": ["green mountain", "green mountains", "vermont"], "maine": ["maine"]},
-    "near_water": {"yes": ["lake", "lakes", "lakeside", "pond", "ponds", "river", "stream", "water", "waterfront"]},
-    "shelter": {"yes": ["lean-to", "lean-tos", "lean to", "shelter", "shelters", "sheltered"]},
-    "unsupported": {"dogs": ["dog", "dogs", "dog-friendly"], "crowds": ["quiet", "uncrowded", "crowds"], "parking": ["parking"]},
+#: What words of a request mean, as field -> value -> phrases; hyphens are read as spaces.
+VOCABULARY = {
+    "difficulty": {
+        "easy": "easy, simple, gentle, mellow, leisurely, beginner",
+        "moderate": "moderate, moderately hard, medium, intermediate, average",
+        "hard": "hard, strenuous, tough, demanding, challenging, difficult, rugged",
+    },
+    "route_type": {
+        "loop": "loop, loops, circuit, round trip loop",
+        "out_and_back": "out and back, there and back, up and back",
+        "point_to_point": "point to point, end to end, one way, shuttle, traverse, thru hike, through hike",
+    },
+    "region": {
+        "adirondacks": "adirondack, adirondacks, adk, high peaks",
+        "white-mountains-nh": "white mountain, white mountains, whites, new hampshire",
+        "green-mountains-vt": "green mountain, green mountains, vermont",
+        "maine": "maine",
+    },
+    "has_campsites": {"yes": "campsite, campsites, camp, camping, tent, tents, tenting, backpack, backpacking, lean to, lean tos, leanto, leantos"},
+    "water_view": {"yes": "lake, lakes, lakeside, lakefront, pond, ponds, river, rivers, riverside, stream, streams, brook, creek, shore, waterfront, waterside, by the water, near water, water view, water views"},
+    "sheltered": {"yes": "sheltered, out of the wind, protected, wind protected, no wind"},
+    "unsupported": {
+        "crowding": "quiet, crowd, crowds, crowded, uncrowded, busy, solitude, popular",
+        "dog rules": "dog, dogs, pet, pets, puppy",
+        "fishing": "fish, fishing",
+        "swimming": "swim, swimming, swimmable",
+        "permits": "permit, permits, reservation, reservations",
+        "easy access from the road": "road, roadside, parking, short drive, easy access",
+        "bugs": "bug, bugs, mosquito, mosquitoes, blackflies, black flies",
+        "cell signal": "cell, signal, reception, cell service",
+        "campfires": "fire, fires, campfire, campfires",
+        "kid-friendliness": "kid, kids, child, children, toddler, family",
+        "seasonal scenery": "foliage, fall colors, autumn colors, wildflowers, leaves",
+    },
 }
-COUNTS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
-WORD_VALUES = {w: float(k) for k, w in enumerate(COUNTS, 1)} | {"a": 1.0, "an": 1.0, "single": 1.0, "couple": 2.0}
-LIMITS = {"most": ["under", "below", "less than", "at most", "no more than", "up to"], "least": ["over", "above", "more than", "at least"]}
-UNIT_WORDS = {"miles": ["miles", "mile", "mi"], "feet": ["feet", "foot", "ft"], "nights": ["nights", "night"], "days": ["days", "day"]}
-#: A lone length stands for this share less and more.
-ABOUT = 0.2
+NUMBER_WORDS = dict(zip("one two three four five six seven eight nine ten eleven twelve".split(), map(float, range(1, 13)), strict=True)) | {"a": 1.0, "an": 1.0, "couple": 2.0, "few": 3.0, "dozen": 12.0}
+UNITS = {"mi": "mi", "mile": "mi", "miles": "mi", "ft": "ft", "foot": "ft", "feet": "ft", "night": "night", "nights": "night", "day": "day", "days": "day"}
+#: Phrases that end before a figure, or begin behind its unit, and make it a limit.
+AT_MOST = ("under", "below", "within", "maximum", "max", "up to", "at most", "less than", "fewer than", "shorter than", "no more than", "not more than")
+AT_LEAST = ("over", "above", "minimum", "min", "at least", "more than", "longer than")
+MOST_BEHIND, LEAST_BEHIND = ("max", "maximum", "tops", "or less", "or under", "or fewer"), ("min", "minimum", "plus", "or more", "or longer")
+FILLERS = ("of", "or", "more", "full", "long")
+#: A lone length stands for this share less and more; a flat walk climbs at most so many feet.
+ABOUT, FLAT_FT = 0.2, 500.0
 
 
-def any_of(words: list[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
+def _mapped(table: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
 
-VALUE = r"(\d+(?:\.\d+)?|" + "|".join(WORD_VALUES) + ")"
+def tokens(c: Column) -> Column:
+    """The words and figures of a request: signs of comparison as words, ranges with "to", units apart from their figures."""
+    out = F.lower(c)
+    for shape, word in ((r",(?=\d{3}\b)", ""), ("[<\u2264]", " under "), ("[>\u2265]", " over "), (r"(?<=\d)\s*[-\u2013]\s*(?=\d)", " to "), (r"(?<=\d)(?=[a-z])", " "), (r"\.(?!\d)|[^a-z0-9. ]", " ")):
+        out = F.regexp_replace(out, shape, word)
+    return F.filter(F.split(out, " +"), lambda t: t != "")
 
 
-def value_in(t: Column, before: str, unit: str, after: str = "", group: int = 1) -> Column:
-    """The figure or number word in a text that stands between two patterns and a unit; null if there is none."""
-    found = F.regexp_extract(t, rf"{before}\b{VALUE}{after}[- ]?(?:of )?{any_of(UNIT_WORDS[unit])}\b", group)
-    words = F.create_map(*(F.lit(x) for kv in WORD_VALUES.items() for x in kv))
-    return F.when(found != "", F.coalesce(found.try_cast("double"), words[found]))
+def _ends(words: Column, phrases: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.endswith(words, F.concat(F.lit(" "), p)))
 
 
-def named(t: Column, field: str, alone: bool = False) -> Column:
-    """The first value of a field that a text has a word for; with alone, none if it has words for several."""
-    hits = {v: F.rlike(t, F.lit(rf"\b{any_of(words)}(?![\w-])")) for v, words in ASKS[field].items()}
-    first = F.coalesce(*(F.when(hit, v) for v, hit in hits.items()))
-    return F.when(sum((hit.cast("int") for hit in hits.values()), F.lit(0)) == 1, first) if alone else first
+def _begins(words: Column, phrases: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.startswith(words, F.concat(p, F.lit(" "))))
 
 
-def bounds(t: Column, unit: str) -> tuple[Column, Column]:
+def figures(words: Column) -> Column:
+    """Figures with a unit behind them, in order: at, value, unit, low (where a range begins) and kind (most, least or null)."""
+    number = lambda t: F.coalesce(F.when(F.rlike(t, F.lit(r"^\d")), t.try_cast("double")), _mapped(NUMBER_WORDS)[t])
+    unit = lambda t: _mapped(UNITS)[t]
+
+    def read(i: Column) -> Column:
+        at = lambda k: F.get(words, i + k)
+        ranged = (at(-1) == "to") | ((at(-1) == "and") & (at(-3) == "between"))
+        before = F.concat(F.lit(" "), F.concat_ws(" ", at(-3), at(-2), at(-1)))
+        skip = F.when(unit(at(1)).isNull() & at(1).isin(*FILLERS), 1).otherwise(0)
+        behind = F.concat(F.concat_ws(" ", F.get(words, i + 2 + skip), F.get(words, i + 3 + skip)), F.lit(" "))
+        kind = F.when(_ends(before, AT_MOST) | _begins(behind, MOST_BEHIND), "most").when(_ends(before, AT_LEAST) | _begins(behind, LEAST_BEHIND), "least")
+        return F.struct(number(at(0)).alias("value"), unit(F.get(words, i + 1 + skip)).alias("unit"), F.when(ranged, number(at(-2))).alias("low"), kind.alias("kind"))
+
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), read)
+    return F.filter(every, lambda f: f["value"].isNotNull() & f["unit"].isNotNull())
+
+
+def bounds(found: Column, unit: str) -> tuple[Column, Column]:
     """From and to of a quantity: a range, limits, or a lone figure with ABOUT either side."""
-    span = rf"\s*(?:-|to)\s*{VALUE}"
-    low, high = value_in(t, "", unit, span, 1), value_in(t, "", unit, span, 2)
-    least, most = (value_in(t, any_of(LIMITS[k]) + r"\s+", unit) for k in ("least", "most"))
-    lone, limited = value_in(t, "", unit), least.isNotNull() | most.isNotNull()
+    first = lambda keep: F.get(F.filter(found, lambda f: (f["unit"] == unit) & keep(f)), F.lit(0))
+    span = first(lambda f: f["low"].isNotNull())
+    least, most = (first(lambda f, k=k: f["kind"] == k)["value"] for k in ("least", "most"))
+    lone, limited = first(lambda f: f["kind"].isNull())["value"], least.isNotNull() | most.isNotNull()
     return (
-        F.when(low.isNotNull(), F.least(low, high)).when(limited, least).otherwise(F.round(lone * (1 - ABOUT), 1)),
-        F.when(low.isNotNull(), F.greatest(low, high)).when(limited, most).otherwise(F.round(lone * (1 + ABOUT), 1)),
+        F.when(span.isNotNull(), F.least(span["low"], span["value"])).when(limited, least).otherwise(F.round(lone * (1 - ABOUT), 1)),
+        F.when(span.isNotNull(), F.greatest(span["low"], span["value"])).when(limited, most).otherwise(F.round(lone * (1 + ABOUT), 1)),
     )
 
 
-def request(c: Column) -> dict[str, Column]:
-    """What a phrase asks for, field by field: nothing that its words don't state."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), ",(?=[0-9]{3})", ""), r"[\s,]+", " "))
-    nights, days = value_in(t, "", "nights"), value_in(t, "", "days")
-    stays = [(r"\bday[- ](?:hikes?|trips?)\b", 0), (r"\bweekend\b", 2), (r"\bovernight(?:er)?\b", 1)]
-    (day_trip, none), *others = stays
-    count = F.when(F.rlike(t, F.lit(day_trip)), none).when(nights.isNotNull(), nights.cast("int")).when(days >= 2, days.cast("int") - 1)
-    for shape, n in others:
-        count = count.when(F.rlike(t, F.lit(shape)), n)
-    low, high = bounds(t, "miles")
-    climb_low, climb_high = bounds(t, "feet")
-    return {
-        "min_mi": low, "max_mi": high, "min_climb_ft": climb_low, "max_climb_ft": climb_high, "nights": count, "difficulty": named(t, "difficulty"), "route_type": named(t, "route_type"),
-        "region": named(t, "region", alone=True), "near_water": F.coalesce(named(t, "near_water") == "yes", F.lit(False)), "shelter": F.coalesce(named(t, "shelter") == "yes", F.lit(False)), "unsupported": named(t, "unsupported"),
+def requests(df: DataFrame, phrase: Column) -> DataFrame:
+    """df and what a phrase asks for, field by field: nothing that its words don't state. Fields that may have several values list them, comma-joined.
+
+    Words and figures are columns of their own on the way, so that they are worked out once a row.
+    """
+    has = lambda phrases: F.exists(F.array(*(F.lit(f" {p} ") for p in phrases.split(", "))), lambda p: F.contains(F.col("_said"), p))
+    lists = {f"_{field}": F.array_compact(F.array(*(F.when(has(p), v) for v, p in VOCABULARY[field].items()))) for field in ("difficulty", "route_type", "region", "unsupported")}
+    joined = lambda field: F.nullif(F.array_join(F.col(f"_{field}"), ","), F.lit(""))
+    flag = lambda field: F.when(has(VOCABULARY[field]["yes"]), True)
+    found = F.col("_found")
+    count = lambda unit: F.get(F.filter(found, lambda f: f["unit"] == unit), F.lit(0))["value"].cast("int")
+    nights = F.when(has("day hike, day hikes, day trip, day walk"), 0).when(F.col("_nights").isNotNull(), F.col("_nights")).when(F.col("_days") >= 2, F.col("_days") - 1).when(has("weekend, weekends"), 2).when(has("overnight, overnighter, overnights"), 1)
+    (low, high), (up, most_up) = bounds(found, "mi"), bounds(found, "ft")
+    fields = {
+        "min_mi": low, "max_mi": high, "min_climb_ft": up, "max_climb_ft": F.coalesce(most_up, F.when(up.isNull() & has("flat, level"), FLAT_FT)), "nights": nights,
+        "difficulty": joined("difficulty"), "route_type": joined("route_type"), "region": F.when(F.size("_region") == 1, F.get("_region", F.lit(0))),
+        "has_campsites": flag("has_campsites"), "water_view": flag("water_view"), "sheltered": flag("sheltered"), "unsupported": joined("unsupported"),
     }
+    staged = df.withColumn("_words", tokens(phrase)).withColumn("_found", figures(F.col("_words"))).withColumn("_said", F.concat(F.lit(" "), F.concat_ws(" ", "_words"), F.lit(" ")))
+    staged = staged.withColumns(lists | {"_nights": count("night"), "_days": count("day")})
+    return staged.select(*df.columns, *(c.alias(n) for n, c in fields.items()))

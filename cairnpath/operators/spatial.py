@@ -90,18 +90,28 @@ def projection(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
 def near_segments(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
     """Points with the segments (ax, ay, bx, by) within a distance: t along the segment and distance_m.
 
-    Cells are twice the distance wide; of those about a segment only the ones that it comes near enough to are kept.
+    Cells are twice the distance wide. A segment is put in the columns of cells that it comes near, and in each of these in
+    the cells of the heights that it has there: about two for each cell of its length, whichever way it runs.
     """
+    placed = points.withColumn("cell_x", cell("x_m", 2.0 * metres)).withColumn("cell_y", cell("y_m", 2.0 * metres))
+    t, d = projection(*(F.col(k) for k in ("x_m", "y_m", "ax", "ay", "bx", "by")))
+    met = placed.join(segment_cells(segments, metres), ["cell_x", "cell_y"])
+    return met.withColumn("t", t).withColumn("distance_m", d).filter(F.col("distance_m") <= metres).drop("cell_x", "cell_y")
+
+
+def segment_cells(segments: DataFrame, metres: float) -> DataFrame:
+    """segments in each cell (cell_x, cell_y; twice metres wide) that has places within metres of them."""
     size, c = 2.0 * metres, F.col
-    low, high = lambda a, b: F.least(a, b) - metres, lambda a, b: F.greatest(a, b) + metres
-    spread = segments.withColumn("cell_x", around(low(c("ax"), c("bx")), high(c("ax"), c("bx")), size)).withColumn("cell_y", around(low(c("ay"), c("by")), high(c("ay"), c("by")), size))
-    # How far a cell's middle is from the line through the segment, by the cross product: a short expression, since it is worked out for every cell.
-    dx, dy = c("bx") - c("ax"), c("by") - c("ay")
-    cross = F.abs(((c("cell_x") + 0.5) * size - c("ax")) * dy - ((c("cell_y") + 0.5) * size - c("ay")) * dx)
-    spread = spread.filter(cross <= (metres + 0.7072 * size) * F.sqrt(dx * dx + dy * dy))
-    placed = points.withColumn("cell_x", cell("x_m", size)).withColumn("cell_y", cell("y_m", size))
-    t, d = projection(*(c(k) for k in ("x_m", "y_m", "ax", "ay", "bx", "by")))
-    return placed.join(spread, ["cell_x", "cell_y"]).withColumn("t", t).withColumn("distance_m", d).filter(c("distance_m") <= metres).drop("cell_x", "cell_y")
+    left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = segments.withColumn("cell_x", around(left - metres, right + metres, size))
+    slope = (c("by") - c("ay")) / F.when(c("bx") == c("ax"), F.lit(1.0)).otherwise(c("bx") - c("ax"))
+    # The nearest place on the segment is at most metres to the left or right of a point in the column.
+    height = lambda x: c("ay") + (F.least(F.greatest(x, left), right) - c("ax")) * slope
+    one, other = height(c("cell_x") * size - metres), height((c("cell_x") + 1) * size + metres)
+    upright = c("ax") == c("bx")
+    low = F.when(upright, F.least("ay", "by")).otherwise(F.least(one, other)) - metres - 1e-6
+    high = F.when(upright, F.greatest("ay", "by")).otherwise(F.greatest(one, other)) + metres + 1e-6
+    return columns.withColumn("cell_y", around(low, high, size))
 
 
 def segment_distance(points: DataFrame, segments: DataFrame, key: str, rings: list[float]) -> DataFrame:

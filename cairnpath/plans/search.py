@@ -93,21 +93,6 @@ def alerts_by_severity(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("event_id", "event_type", F.col("rank").cast("long").alias("rank"))
 
 
-#: Candidates of a line that are scored.
-SCORED = 20
-
-
-@query("thinned_candidates", sql("b AS (SELECT site_id, CAST(floor(y_m / 5000) AS BIGINT) AS line_id, CAST(floor(x_m / 2000) AS BIGINT) AS station, elevation_m FROM sites), best AS (SELECT line_id, station, arg_min(site_id, struct_pack(a := coalesce(elevation_m, 9e9), b := site_id)) AS site_id FROM b GROUP BY line_id, station), n AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY station) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n FROM best) SELECT line_id, station, site_id FROM n WHERE n <= 20 OR k IN (SELECT CAST(floor(j * (n / 20e0)) AS BIGINT) FROM range(20) r(j))", "sites"))
-def thinned_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate of each station of a line, then twenty of them evenly: every int(j * n / 20)-th. A line has fifty stations."""
-    c = F.col
-    best = load(spark, d, "sites").groupBy(F.floor(c("y_m") / 5000).alias("line_id"), F.floor(c("x_m") / 2000).alias("station")).agg(F.min_by("site_id", F.struct(F.coalesce("elevation_m", F.lit(9e9)), "site_id")).alias("site_id"))
-    line = Window.partitionBy("line_id")
-    numbered = best.withColumn("k", F.row_number().over(line.orderBy("station")) - 1).withColumn("n", F.count(F.lit(1)).over(line))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(SCORED - 1)), lambda j: F.floor(j * (c("n") / float(SCORED))))
-    return numbered.filter((c("n") <= SCORED) | F.array_contains(picks, c("k").cast("long"))).select("line_id", "station", "site_id")
-
-
 NAMES = "concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), CASE p_partkey % 3 WHEN 0 THEN ' Été' WHEN 1 THEN ' Pond' ELSE ' Ñandú' END)"
 
 
@@ -128,18 +113,28 @@ def elevation_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A request put together from a row: lengths, climb, nights, and words for the rest.
-ASKED = (
-    "['Easy', 'A hard', 'moderate', 'Some'][p_partkey % 4 + 1] || ' ' || ['loop', 'out-and-back', 'point to point', 'walk'][p_partkey % 4 + 1] || ', ' || CASE p_partkey % 3 WHEN 0 THEN 'under ' || p_size || ' miles' WHEN 1 THEN p_size || ' to ' || (p_size + 3) || ' mi' ELSE p_size || '-mile' END"
-    " || CASE p_partkey % 5 WHEN 0 THEN ', at least 2,500 feet of climbing' ELSE '' END || CASE p_partkey % 6 WHEN 0 THEN ', two nights' WHEN 1 THEN ' on a weekend' WHEN 2 THEN ', 4 days' WHEN 3 THEN ' day hike' ELSE '' END"
-    " || CASE p_partkey % 7 WHEN 0 THEN ' near a pond' WHEN 1 THEN ' in Vermont' WHEN 2 THEN ' in the ADK or Maine' WHEN 3 THEN ' with a lean-to' WHEN 4 THEN ', quiet' ELSE '' END"
-)
-
-
-@query("request_parse", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN round(p_size * 0.8e0, 1) END AS min_mi, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 3e0 ELSE round(p_size * 1.2e0, 1) END AS max_mi, CASE WHEN p_partkey % 5 = 0 THEN 2500e0 END AS min_climb_ft, CAST(NULL AS DOUBLE) AS max_climb_ft, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 END AS nights, ['easy', 'hard', 'moderate', NULL][p_partkey % 4 + 1] AS difficulty, ['loop', 'out_and_back', 'point_to_point', NULL][p_partkey % 4 + 1] AS route_type, CASE WHEN p_partkey % 7 = 1 THEN 'green-mountains-vt' END AS region, p_partkey % 7 = 0 AS near_water, p_partkey % 7 = 3 AS shelter, CASE WHEN p_partkey % 7 = 4 THEN 'crowds' END AS unsupported FROM part")
+ASKED = """
+    ['Easy', 'A demanding', 'moderate', 'Some'][p_partkey % 4 + 1] || ' ' || ['loop', 'out-and-back', 'end-to-end', 'walk'][p_partkey % 4 + 1] || ', '
+    || CASE p_partkey % 4 WHEN 0 THEN 'no more than ' || p_size || ' miles' WHEN 1 THEN p_size || '-' || (p_size + 3) || ' mi' WHEN 2 THEN 'between ' || p_size || ' and ' || (p_size + 5) || ' miles' ELSE p_size || '-mile' END
+    || CASE p_partkey % 5 WHEN 0 THEN ', at least 2,500 feet of climbing' WHEN 1 THEN ' with 900 ft max' WHEN 2 THEN ', flat' ELSE '' END
+    || CASE p_partkey % 6 WHEN 0 THEN ', two nights' WHEN 1 THEN ' on a weekend' WHEN 2 THEN ', 4 days' WHEN 3 THEN ' day hike' WHEN 4 THEN '; a couple of nights' ELSE '' END
+    || CASE p_partkey % 7 WHEN 0 THEN ' near a pond' WHEN 1 THEN ' in Vermont' WHEN 2 THEN ' in the ADK or Maine' WHEN 3 THEN ' with a lean-to' WHEN 4 THEN ', quiet, kids' WHEN 5 THEN ', out of the wind' ELSE '' END"""
+ASKED_SQL = """
+    SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN round(p_size * 0.8e0, 1) ELSE CAST(p_size AS DOUBLE) END AS min_mi,
+           CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 3e0 WHEN 2 THEN p_size + 5e0 ELSE round(p_size * 1.2e0, 1) END AS max_mi,
+           CASE WHEN p_partkey % 5 = 0 THEN 2500e0 END AS min_climb_ft, CASE p_partkey % 5 WHEN 1 THEN 900e0 WHEN 2 THEN 500e0 END AS max_climb_ft,
+           CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 0 WHEN 4 THEN 2 END AS nights,
+           ['easy', 'hard', 'moderate', NULL][p_partkey % 4 + 1] AS difficulty, ['loop', 'out_and_back', 'point_to_point', NULL][p_partkey % 4 + 1] AS route_type,
+           CASE WHEN p_partkey % 7 = 1 THEN 'green-mountains-vt' END AS region, CASE WHEN p_partkey % 7 = 3 THEN TRUE END AS has_campsites, CASE WHEN p_partkey % 7 = 0 THEN TRUE END AS water_view,
+           CASE WHEN p_partkey % 7 = 5 THEN TRUE END AS sheltered, CASE WHEN p_partkey % 7 = 4 THEN 'crowding,kid-friendliness' END AS unsupported
+    FROM part"""
+
+
+@query("request_parse", ASKED_SQL)
 def request_parse(spark: SparkSession, d: str) -> DataFrame:
     """Requests in words as filters; a region only if one alone is named."""
     phrase = F.expr(ASKED.replace("[p_partkey % 4 + 1]", ", cast(p_partkey % 4 + 1 as int))").replace("['", "element_at(array('").replace("'], cast", "'), cast"))
-    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in text.request(phrase).items()))
+    return text.requests(load(spark, d, "part").select(F.col("p_partkey").alias("id"), phrase.alias("phrase")), F.col("phrase")).drop("phrase")
 
 
 @query("route_ids", "SELECT o_orderkey AS id, format('{:.6f},{:.6f}', o_orderkey / 1000e0, o_custkey / 7e0) AS candidate_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS way FROM orders")
