@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element gives a line. A line weighs as much as the text in it that isn't linked: more
-in an article element, nothing in a part of the page that its tags or class names mark as something else. Weights are
-summed over a sliding window of lines; text is kept from where the sums surge to where they dive to nothing, and may surge
-again. A mark from class names doesn't count on an element that holds most of the page's text and its article or headline:
-that is a wrapper, whatever it is called.
+Markup is stripped so that each block element gives a line. A line weighs as much as the text in it that isn't linked; in an
+article element as much as all its text and more; nothing in a part of the page that its tags or class names mark as
+something else, or that is readers' comments by its form. Weights are summed over a sliding window of lines; text is kept
+from where the sums surge to where they dive to nothing, and may surge again. Any line of an article element is a surge of
+its own, so nothing of it is lost behind what isn't the article; elsewhere linked lines between kept ones are text too. A
+mark from class names doesn't count on an element that holds most of the page's text and its article or headline: that is
+a wrapper, whatever it is called.
 """
 
 from __future__ import annotations
@@ -41,6 +43,11 @@ ASIDE = {"aside", "button", "canvas", "dialog", "footer", "head", "iframe", "lab
 MARKED = {
     "ad", "ads", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "footer", "form", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
 }
+#: Headings above readers' comments, and lines that name who wrote one and when.
+_COMMENTS = re.compile(r"(?i)(?:\d+ )?(?:reader |user |visitor )?(?:comments?|responses|replies)(?: \(\d+\))?:?|readers (?:say|write|respond)|what (?:our )?readers (?:say|think)|(?:leave|post|add|write) a (?:comment|reply)|join the (?:discussion|conversation)")
+_SAID = re.compile(r"(?i).{0,60}?(?:\b(?:\d+|an?|one) (?:second|minute|hour|day|week|month|year)s? ago\b.{0,20}|\b(?:says|wrote|said|writes):)")
+#: Elements around a line that are looked at for the form of comments.
+NEAR = 5
 #: Elements that a following one of the same name ends.
 ITEMS = {"li", "dd", "dt", "td", "th", "tr", "option"}
 ARTICLE, PLAIN, FORM, OUT, MARK = 1, 0, 2, 3, 4
@@ -67,9 +74,24 @@ def _kind(name: str, rest: str, inside: bool) -> int:
     return ARTICLE if name in ("article", "main") or "main" in words and name in ("div", "section") else PLAIN
 
 
+def _comments(found: list[tuple[str, tuple[int, ...], bool]], cores: set[int]) -> set[int]:
+    """Elements that hold readers' comments: those with a heading that says so, and those with several parts that begin with who wrote them and when."""
+    out, said = set(), Counter()
+    for text, near, heading in found:
+        if heading and len(near) > 1 and _COMMENTS.fullmatch(text):
+            out.add(near[-2])
+        elif _SAID.fullmatch(text):
+            said.update(set(near[:-1]))
+    return {e for e in out if e not in cores} | {e for e, n in said.items() if n > 1 and e not in cores}
+
+
 def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """The lines of a page: text, length without links, whether in an article, in a form, in a part marked as something else."""
+    """The lines of a page: text, length without links, whether in an article, in a form, in a part that is something else."""
     out: list[tuple[str, int, bool, bool, int]] = []
+    placed: list[tuple[str, tuple[int, ...], bool]] = []
+    near: list[int] = [0]  # numbers of the block elements around
+    cores = {0}
+    serial = 0
     stack: list[tuple[str, int]] = []
     blocks: list[int] = []  # where in the stack block elements are
     opened: Counter[str] = Counter()
@@ -94,6 +116,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             if clean := " ".join(unescape(raw).split()):
                 n = round(max(0, len(raw) - linked) / len(raw) * len(clean))
                 out.append((clean, n, counts[ARTICLE] > 0, counts[FORM] > 0, marks[-1]))
+                placed.append((clean, tuple(near[-NEAR:]), any(opened[h] for h in HEADINGS)))
                 held[marks[-1]] += n
             text.clear()
         linked = 0
@@ -108,6 +131,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             marks.pop()
         if blocks and blocks[-1] == len(stack):
             blocks.pop()
+            near.pop()
 
     while m := _TOKEN.search(html, at):
         put(html[at : m.start()])
@@ -150,6 +174,10 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
                 marks.append(len(around) - 1)
             if name in BLOCK:
                 blocks.append(len(stack))
+                serial += 1
+                near.append(serial)
+            if name in ("h1", "body", "html") or kind == ARTICLE:
+                cores.update(near[-NEAR:])
             stack.append((name, kind))
             opened[name] += 1
             counts[kind] += 1
@@ -162,26 +190,32 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
     aside = [False]
     for k in range(1, len(around)):
         aside.append(aside[around[k]] or not (by_class[k] and core[k] and 2 * held[k] >= held[0]))
-    return [(clean, n, article, form, aside[mark]) for clean, n, article, form, mark in out]
+    said = _comments(placed, cores)
+    others = [bool(said and said.intersection(p[1])) for p in placed]
+    return [(clean, n, article, form, aside[mark] or other) for (clean, n, article, form, mark), other in zip(out, others, strict=True)]
 
 
 def main_text(html: str, window: int = WINDOW, surge: float = SURGE, surge_share: float = SURGE_SHARE, in_article: int = IN_ARTICLE) -> str:
     """The article's blocks, one a line; empty if there is none.
 
-    Lines of an article element weigh more, and those outside of it nothing, if it has half the text that isn't marked as
-    something else. Forms weigh nothing unless all is in forms.
+    Lines of an article element weigh more, linked or not, and those outside of it nothing, if it has half the text that
+    isn't marked as something else. Forms weigh nothing unless all is in forms.
     """
     found = lines(html)
     formless = any(not form and not aside for _, _, _, form, aside in found)
-    own = [n if not aside and not (form and formless) else 0 for _, n, _, form, aside in found]
+    text = [not aside and not (form and formless) for _, _, _, form, aside in found]
+    own = [n if ok else 0 for ok, (_, n, *_) in zip(text, found, strict=True)]
     inside = sum(n for n, line in zip(own, found, strict=True) if line[2])
+    need = surge
     if inside > 0 and 2 * inside >= sum(own):
-        own = [n and n + in_article if line[2] else 0 for n, line in zip(own, found, strict=True)]
+        text = [ok and line[2] for ok, line in zip(text, found, strict=True)]
+        own = [len(line[0]) + in_article if ok else 0 for ok, line in zip(text, found, strict=True)]
+        need = min(surge, in_article)
     sums, total = [0] * len(own), 0
     for i in range(len(own) - 1, -1, -1):
         total += own[i] - (own[i + window] if i + window < len(own) else 0)
         sums[i] = total
-    need = min(surge, surge_share * max(sums, default=0))
+    need = min(need, surge_share * max(sums, default=0))
     kept, on, end = [], False, 0
     for i in range(len(found)):
         if not on and own[i] and sums[i] >= need:
@@ -194,6 +228,9 @@ def main_text(html: str, window: int = WINDOW, surge: float = SURGE, surge_share
         elif on and not sums[i]:
             on, end = False, i
         if on and own[i]:
+            # Linked lines since the last kept one, if nothing else stands between, are text as well.
+            gap = range(kept[-1] + 1, i) if kept and i - kept[-1] <= window else range(0)
+            kept += gap if all(text[j] for j in gap) else []
             kept.append(i)
     return "\n".join(found[i][0] for i in kept)
 

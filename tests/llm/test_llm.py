@@ -133,13 +133,52 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
-def test_windows_and_surges_decide_inside_articles_too():
-    links = "".join(f"<p><a href='/{k}'>Another story to read {k}</a></p>" for k in range(4))
-    page = f"<article><h1>Title</h1><p>{'Prose. ' * 30}</p>{links}<p>Short tail.</p></article>"
-    body = "Title\n" + ("Prose. " * 30).strip()
-    assert html_text.main_text(page) == body
-    assert html_text.main_text(page, window=8) == body + "\nShort tail."
-    assert html_text.main_text(page, surge=10) == body + "\nShort tail."
+PROSE = ("Prose. " * 30).strip()
+LINKS = [f"Another story to read {k}" for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("article", "text"),
+    [
+        ("<h2><a href='/x'>Linked headline</a></h2><p>" + PROSE + "</p>", ["Linked headline", PROSE]),
+        ("<p>" + PROSE + "</p><p><a href='/x'>A paragraph that is a link</a></p>", [PROSE, "A paragraph that is a link"]),
+        ("<p>" + PROSE + "</p><ul>" + "".join(f"<li><a href='/'>{t}</a></li>" for t in LINKS) + "</ul><p>Short tail.</p>", [PROSE, *LINKS, "Short tail."]),
+        ("<h1>Title</h1><p>" + PROSE + "</p><div class='ad'><p>Buy</p><p>Buy</p><p>Buy</p><p>Buy</p></div><p>End.</p>", ["Title", PROSE, "End."]),
+        ("<p>Hi.</p>", ["Hi."]),
+        ("<h1>Method</h1><p>" + PROSE + "</p><h2>Discussion</h2><p>It held.</p>", ["Method", PROSE, "Discussion", "It held."]),
+    ],
+)
+def test_nothing_of_an_article_is_lost(html_around, article, text):
+    assert html_text.main_text(html_around(f"<article>{article}</article>")) == "\n".join(text)
+
+
+@pytest.fixture(params=["{}", "<body><header><a href='/'>Home</a></header>{}<footer>&copy; all</footer></body>", "<body><div><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div>{}</body>"])
+def html_around(request):
+    return request.param.format
+
+
+def test_windows_and_surges_decide_outside_articles():
+    links = "".join(f"<p><a href='/{k}'>{t}</a></p>" for k, t in enumerate(LINKS))
+    page = f"<div><h1>Title</h1><p>{PROSE}</p>{links}<p>Short tail.</p></div>"
+    assert html_text.main_text(page) == f"Title\n{PROSE}"
+    assert html_text.main_text(page, window=8) == "\n".join(["Title", PROSE, *LINKS, "Short tail."])
+    assert html_text.main_text(page, surge=10) == f"Title\n{PROSE}\nShort tail."
+    one = f"<div><h1>Title</h1><p>{PROSE}</p><p><a href='/'>Linked between</a></p><p>{PROSE}</p></div>"
+    assert html_text.main_text(one) == "\n".join(["Title", PROSE, "Linked between", PROSE])
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<div class='thread'><h3>Readers say</h3><p>I think so too, at some length and more.</p><p>Not me.</p></div>",
+        "<section><h2>12 comments</h2><div><b>Jo</b><p>I think so too, at some length and more.</p></div></section>",
+        "<div><div><div>Jo, 3 hours ago</div><p>I think so too, at some length.</p></div><div><div>Al, a day ago</div><p>Not me at all.</p></div></div>",
+        "<ol><li><p>Jo says:</p><p>I think so too, at some length and more.</p></li><li><p>Al says:</p><p>No.</p></li></ol>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>{p}</p>{c}</article>", "<article><h1>Title</h1><p>{p}</p></article>{c}", "<div><div><h1>Title</h1><p>{p}</p></div>{c}</div>"])
+def test_comments_by_their_form(page, comments):
+    assert html_text.main_text(page.format(p=PROSE, c=comments)) == f"Title\n{PROSE}"
 
 
 @pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>{}</div>", "<div class='page has-sidebar'>{}</div>", "<div id='widget'><div class='menu-layout'>{}</div></div>"])
