@@ -7,7 +7,9 @@ turns, as aggregates over the whole corpus, until no score changes any more. Str
 discover are added; the seeds stay as they are.
 
 Besides the four base kinds there are secrets (keys, tokens, passwords), whose seeds are known by their shape, and digests,
-which look like secrets, compete with them for patterns and are never reported.
+which look like secrets, compete with them for patterns and are never reported. Secrets are seeds in three texts of four,
+drawn by a hash of the text; in the others their shape says nothing, so that it takes a pattern to discover them and
+it shows how many it finds. Those that no pattern finds are reported by their shape in the end.
 
 A string could be an identifier if it has a digit, an at sign, an underscore or a dot or colon inside, is a group of
 numbers over several words or a spelt-out address, or follows a label, whatever it is then. Confidence is the share of the
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 #: Words of a pattern; known strings that it needs, and their share of all its strings and one more.
 CONTEXT, SUPPORT, CONFIDENCE, PRIOR, UNKNOWN = 2, 3, 0.8, 1, 0.1
+#: Of so many texts one has no secrets as seeds.
+HELD = 4
 #: Longer patterns and strings are told apart by their hashes.
 LONG = 200
 
@@ -181,12 +186,12 @@ def strings(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | No
     return out
 
 
-_FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, strings array<struct<kind:string,patterns:array<string>,text:string,fits:array<string>,start:long,end:long>>"
+_FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, strings array<struct<kind:string,patterns:array<string>,text:string,fits:array<string>,start:long,end:long,held:boolean,seeded:boolean>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.list_(pa.string())
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("patterns", names), ("text", pa.string()), ("fits", names), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("patterns", names), ("text", pa.string()), ("fits", names), ("start", pa.int64()), ("end", pa.int64()), ("held", pa.bool_()), ("seeded", pa.bool_())]))
     keys = ("kind", "patterns", "text", "fits", "start", "end")
     for batch in batches:
         counts, base, found = {k: [] for k in BASE_KINDS}, [], []
@@ -196,28 +201,31 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in BASE_KINDS:
                 counts[k].append(sum(s[0] == k for s in spans))
             base.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-            found.append([dict(zip(keys, s, strict=True)) for s in strings(text, spans + secret_seeds(text))])
+            seeded = zlib.crc32(text.encode("utf-8", "surrogatepass")) % HELD != 0
+            own = [dict(zip(keys, s, strict=True), held=False, seeded=seeded) for s in strings(text, spans + secret_seeds(text))]
+            found.append([x | {"kind": None, "held": True} if not seeded and x["kind"] == "secret" else x for x in own])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(base, pa.string()), pa.array(found, kind)], names=["doc_id", "row", *(f"n_{k}" for k in BASE_KINDS), "base", "strings"])
 
 
 def discover(edges: DataFrame) -> DataFrame:
-    """Edges (pattern, text, kind or null, fits) -> text, kind and score of the strings that good patterns find.
+    """Edges (pattern, text, kind or null, fits, held, seeded) -> text, kind and score of the strings that good patterns find.
 
     A pattern's confidence for a kind is the sum of its distinct strings' scores over that sum, its seeds of other kinds,
     PRIOR and its unknown strings; a string's score for a kind that it fits is the chance that not all patterns it follows
     are wrong about it. Seeds have score 1 for their own kind. Scores only grow from round to round, and rounds end once they
     stay the same to three places. A string that several kinds claim goes to the highest score, then to the last kind by
-    name but digest; digests are left out.
+    name but digest; digests are left out. Strings that are held back count neither for nor against a
+    pattern, and for secrets it is judged by the texts alone that have them as seeds.
     """
-    graph = durable(edges.groupBy("pattern", "text").agg(F.max("kind").alias("kind"), F.first("fits").alias("fits")), "graph")
-    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), F.count("kind").alias("seeds"))
+    graph = durable(edges.groupBy("pattern", "text").agg(F.max("kind").alias("kind"), F.first("fits").alias("fits"), F.max("held").alias("held"), F.max("seeded").alias("seeded")), "graph")
+    sizes = graph.filter("kind IS NOT NULL OR NOT held").groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.expr("kind IS NOT NULL OR seeded")).alias("size_in"), F.count("kind").alias("seeds"))
     known = graph.filter("kind IS NOT NULL").select("pattern", "text", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
-    fresh = graph.filter("kind IS NULL").select("pattern", "text", "fits")
+    fresh = graph.filter("kind IS NULL").select("pattern", "text", "fits", "held", "seeded")
     scores, mark, claims = known, None, None
     while True:
         support = scores.groupBy("pattern", "kind").agg(F.sum("score").alias("support"), F.sum("seed").alias("own")).filter(F.col("support") >= SUPPORT).join(sizes, "pattern")
         others = F.col("seeds") - F.col("own")
-        unknown = F.greatest(F.lit(0.0), F.col("size") - F.col("support") - others) * F.when(F.startswith("pattern", F.lit("=<")), UNKNOWN).otherwise(1.0)
+        unknown = F.greatest(F.lit(0.0), F.when(F.col("kind") == "secret", F.col("size_in")).otherwise(F.col("size")) - F.col("support") - others) * F.when(F.startswith("pattern", F.lit("=<")), UNKNOWN).otherwise(1.0)
         good = support.withColumn("confidence", F.col("support") / (F.col("support") + others + PRIOR + unknown)).filter(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
         met = fresh.join(spread(good), "pattern").filter(F.array_contains("fits", F.col("kind")))
         score = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
@@ -228,7 +236,7 @@ def discover(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
-        scores = known.unionByName(fresh.join(claims, "text").select("pattern", "text", "kind", "score", F.lit(0).alias("seed")))
+        scores = known.unionByName(fresh.filter("NOT held").join(claims, "text").filter("seeded OR kind <> 'secret'").select("pattern", "text", "kind", "score", F.lit(0).alias("seed")))
     forget(graph)
     best = claims.groupBy("text").agg(F.max_by(F.struct("kind", "score"), F.struct("score", F.col("kind") != "digest", "kind")).alias("best"))
     return best.select("text", "best.kind", "best.score").filter("kind <> 'digest'")
@@ -244,9 +252,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), whole("text").alias("text"))
     rows = durable(numbered.mapInArrow(_find, _FOUND), "strings")
     places = rows.select("row", F.inline("strings"))
-    found = discover(places.select(F.explode("patterns").alias("pattern"), "text", "kind", "fits"))
+    found = discover(places.select(F.explode("patterns").alias("pattern"), "text", "kind", "fits", "held", "seeded"))
     secrets = places.filter("kind = 'secret'").select("row", "start", "end", "kind", F.lit(0).alias("found"))
-    spans = secrets.unionByName(places.filter("kind IS NULL").drop("kind").join(found, "text").select("row", "start", "end", "kind", F.lit(1).alias("found")))
+    unseen = places.filter("kind IS NULL").drop("kind").join(found, "text", "left").filter("held OR kind IS NOT NULL")
+    spans = secrets.unionByName(unseen.select("row", "start", "end", F.coalesce("kind", F.lit("secret")).alias("kind"), F.col("kind").isNotNull().cast("int").alias("found")))
     order = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("kind"))
     more = spans.groupBy("row").agg(F.collect_list(F.struct(order.alias("n"), "start", "end", "kind")).alias("more"), F.count_if(F.col("kind") == "secret").alias("n_secret"), F.sum("found").alias("n_found"))  # of one text
     base = F.expr("transform(filter(split(base, ','), s -> s <> ''), s -> named_struct('n', array_position(array('email', 'ip', 'card', 'phone'), split(s, ':')[0]) - 1, 'start', cast(split(s, ':')[1] as long), 'end', cast(split(s, ':')[2] as long), 'kind', split(s, ':')[0]))")

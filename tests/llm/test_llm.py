@@ -435,6 +435,9 @@ def test_scores_by_brute_force(spark):
         kinds.setdefault(text, rng.choice(["phone", "phone", "phone", "secret", None]))
         edges.append((rng.choice(["p1", "p2", "p3", "p4 =", "=<hex>"]) if kinds[text] != "secret" else rng.choice(["p5", "=<hex>", "p4 ="]), text, kinds[text], ["phone", "secret"]))
     edges += [("p6", f"t{k}", "phone", ["phone"]) for k in range(100, 120)] + [("p6", "u", None, ["phone"]), ("p7", "u", None, ["phone"]), *(("p7", f"t{k}", "phone", ["phone"]) for k in range(100, 103)), ("p6", "v", None, ["secret"])]
+    held = {f"h{k}" for k in range(200)}
+    unseeded = held | {f"t{k}" for k in range(0, 80, 3)}
+    edges += [(rng.choice(["p1", "p5", "p6", "p9"]), t, None, ["phone", "secret"]) for t in sorted(held)]
     graph = {}
     for p, t, k, fits in edges:
         graph[p, t] = (k, fits)
@@ -442,12 +445,13 @@ def test_scores_by_brute_force(spark):
     while True:
         conf = {}
         for p in {p for p, _ in graph}:
-            texts = [t for q, t in graph if q == p]
+            texts = [t for q, t in graph if q == p and t not in held]
             seeds = [graph[p, t][0] for t in texts if graph[p, t][0]]
             for kind in ("phone", "secret"):
-                support = seeds.count(kind) + sum(score.get((t, kind), 0) for t in texts if not graph[p, t][0])
+                judged = [t for t in texts if graph[p, t][0] or kind != "secret" or t not in unseeded]
+                support = seeds.count(kind) + sum(score.get((t, kind), 0) for t in judged if not graph[p, t][0])
                 others = len(seeds) - seeds.count(kind)
-                unknown = max(0, len(texts) - support - others) * (pii.UNKNOWN if p.startswith("=<") else 1)
+                unknown = max(0, len(judged) - support - others) * (pii.UNKNOWN if p.startswith("=<") else 1)
                 if support >= pii.SUPPORT and support / (support + others + pii.PRIOR + unknown) >= pii.CONFIDENCE:
                     conf[p, kind] = support / (support + others + pii.PRIOR + unknown)
         after = {}
@@ -459,13 +463,22 @@ def test_scores_by_brute_force(spark):
         if after == score:
             break
         score = after
-    got = {(r.text, r.kind): r.score for r in pii.discover(spark.createDataFrame(edges, "pattern string, text string, kind string, fits array<string>")).collect()}
+    got = {(r.text, r.kind): r.score for r in pii.discover(spark.createDataFrame([(*e, e[1] in held, e[1] not in unseeded) for e in edges], "pattern string, text string, kind string, fits array<string>, held boolean, seeded boolean")).collect()}
+    assert any(t in held for t, _ in got) and not all(("p9", t) in graph and (t, "phone") in got for t in held)
     assert ("u", "phone") in got and ("v", "phone") not in got
     best = {t: max((s, k) for (x, k), s in score.items() if x == t) for t, _ in score}
     assert set(got) == {(t, k) for t, (_, k) in best.items()}
     assert all(abs(got[t, k] - s) < 0.002 for t, (s, k) in best.items())
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.05), ("sf0.1", 0.25)])
+def test_patterns_discover_secrets_that_are_no_seeds(spark, sf, least):
+    """A fourth of the texts have their secrets held back; patterns find nearly all of these, and nothing that has not a secret's label."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = pii.personal_data(docs).agg(F.sum("n_found").alias("found"), F.sum("n_secret").alias("secrets")).first()
+    assert got.found >= least * got.secrets > 0
+
+
 @pytest.mark.parametrize("text", ["a" * 10**6, "1 " * 10**5, "a=b " * 10**4, "a@" * 10**5, "(" * 10**6, "+" * 10**5 + "[at]", "12:" * 10**5, "a: " * 10**4])
 def test_long_texts_take_linear_time(text):
     began = time.perf_counter()
