@@ -9,8 +9,8 @@ neighbourhood: its own key and one for each shingle left out; such a segment doe
 gets its key alone. Segments that would be empty get nothing, and so do crowded ones, whose key more than CROWD sets share
 (a passage that many documents repeat): there are spare segments for either. A set with too many empty segments is hashed
 anew with the next seed, besides. A set with more crowded segments than there are spares lies in a crowd; such sets are
-compared, in rounds, with one central set of those that share a key and are not linked with the most of them yet, and what
-is still apart then, with the sets of other components. Of all pairs only those are looked up whose sketches differ in no
+compared with one central set of those that share a key, and those that are not of the component of the most of these then,
+with the sets of other components. Of all pairs only those are looked up whose sketches differ in no
 more bits than the sets may in shingles.
 
 Sets are told by 128-bit hashes, shingles by 64-bit ones; the pairs found are verified on all shingles, counted exactly.
@@ -47,8 +47,6 @@ SPARE = 0.3
 HELD = 1 << 18
 #: Bits of a set's sketch, each the parity of the shingles that fall on it.
 SKETCH = 1024
-#: How often a crowd's members are compared with a further centre before those left over are compared with each other.
-ROUNDS = 2
 #: Pieces of the index for each partition.
 PIECES = 8
 #: Sets that a task remembers, so as to index copies once.
@@ -328,18 +326,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), *sizes], names=["a", "b", "both", "n_a", "n_b"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b of sets, those whose sizes allow a link -> also both, n_a, n_b: shingles in common and of each, counted on the whole sets."""
-    size = sets.select("set_no", "n", "sketch")
-    sized = pairs.join(size.withColumnsRenamed({"set_no": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(size.withColumnsRenamed({"set_no": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
-    wanted = durable(sized.filter(_may("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b").distinct(), "candidates")
+def _candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b of sid -> those of set_no that may be alike; a sid that two sets share stands for both."""
+    own = sets.select("sid", "set_no", "n", "sketch")
+    side = lambda c: own.withColumnsRenamed({"sid": c, "set_no": f"no_{c}", "n": f"n_{c}", "sketch": f"sketch_{c}"})
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may("n_a", "n_b", "sketch_a", "sketch_b"))
+    return met.select(F.least("no_a", "no_b").alias("a"), F.greatest("no_a", "no_b").alias("b"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs a, b of set_no that are alike, by their whole sets."""
+    wanted = durable(pairs, "candidates")
     asked = durable(wanted.select(F.explode(F.array("a", "b")).alias("set_no")).distinct().join(sets, "set_no").select("set_no", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash")), "wanted")
     asked = F.broadcast(asked) if asked.count() <= FEW else asked
     own = docs.join(asked, (F.xxhash64("text") == F.col("low_hash")) & F.col("doc_id").eqNullSafe(F.col("low_id"))).select("set_no", "text")
     tokens = durable(own.mapInArrow(_tokens, "set_no long, tokens binary").dropDuplicates(["set_no"]), "tokens")
     left, right = tokens.withColumnsRenamed({"set_no": "a", "tokens": "left"}), tokens.withColumnsRenamed({"set_no": "b", "tokens": "right"})
-    met = wanted.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return met.mapInArrow(_shared, "a long, b long, both long, n_a long, n_b long")
+    met = wanted.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_shared, "a long, b long, both long, n_a long, n_b long")
+    return durable(met.filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * ALIKE).select("a", "b"), "links")
 
 
 def _may(n_a: str, n_b: str, sketch_a: str, sketch_b: str) -> Column:
@@ -349,73 +353,47 @@ def _may(n_a: str, n_b: str, sketch_a: str, sketch_b: str) -> Column:
     return sizes & (bits * (100 + ALIKE) <= (F.col(n_a) + F.col(n_b)) * (100 - ALIKE))
 
 
-def _linked() -> Column:
-    return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * ALIKE
-
-
 def _unsettled(crowd: DataFrame) -> DataFrame:
-    """Rows (key, unit, sid) of crowded keys, thinned to those that two sets without a key of their own must share one of."""
-    spare = F.create_map(*(F.lit(x) for k in range(len(STARTS) - 1) for x in (k, scheme(k)[2])))
-    near = F.col("unit").bitwiseAND(F.lit(31))
-    crowd = crowd.select("key", "sid", F.shiftright("unit", 5).alias("unit"), near.alias("segment"))
-    allowed = F.element_at(spare, F.shiftright("unit", 4))
-    small = F.element_at(F.create_map(*(F.lit(x) for k in range(len(STARTS) - 1) for x in (k, scheme(k)[3]))), F.shiftright("unit", 4))
-    for _ in range(2):  # keys that only settled sets share are of no use any more
-        segments = F.when(F.first(small), F.count_distinct("segment")).otherwise(F.count(F.lit(1)))
-        crowd = crowd.join(crowd.groupBy("sid", "unit").agg(segments.alias("n")).filter(F.col("n") > allowed).select("sid", "unit"), ["sid", "unit"], "left_semi")
-        crowd = crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-        crowd = durable(crowd, "crowd")
-    often = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    ranked = crowd.join(often, "key")
-    own = Window.partitionBy("sid", "unit")
-    placed = ranked.withColumn("place", F.row_number().over(own.orderBy("often", "key"))).withColumn("of", F.count(F.lit(1)).over(own))
-    return placed.filter(F.col("place") <= F.col("of") - allowed).select("key", "unit", "sid", "of")
-
-
-def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b of sets (by set_no) whose components are those of all pairs that are alike enough."""
+    """Rows (key, unit, sid) of crowded keys, thinned to those that two sets without a key of their own must share one of; of: how many crowded keys a set has."""
+    bands = range(len(STARTS) - 1)
+    band = F.shiftright("part", 4)
+    allowed = F.element_at(F.create_map(*(F.lit(x) for k in bands for x in (k, scheme(k)[2]))), band)
+    near = F.element_at(F.create_map(*(F.lit(x) for k in bands for x in (k, scheme(k)[3]))), band)
+    own = Window.partitionBy("sid", "part")
+    crowd = crowd.select("key", "sid", F.shiftright("unit", 5).alias("part"), F.col("unit").bitwiseAND(F.lit(31)).alias("segment"))
+    segments = F.when(near, F.bit_count(F.bit_or(F.expr("shiftleft(1, segment)")).over(own))).otherwise(F.count(F.lit(1)).over(own))
+    crowd = crowd.withColumn("segments", segments).filter(F.col("segments") > allowed)
+    often = spread(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))  # what only settled sets share is of no use any more
+    placed = crowd.join(often, "key").withColumn("place", F.row_number().over(own.orderBy("often", "key"))).withColumn("of", F.count(F.lit(1)).over(own))
+    return placed.filter(F.col("place") <= F.col("of") - allowed).select("key", "sid", "of")
+
+
+def _roots(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """sets with root, the name of each one's component."""
     pieces = PIECES * parts(docs.sparkSession)
     packed = docs.select("text").mapInArrow(_indexed(pieces), "piece int, crowded boolean, keys binary, sids binary, units binary")
     dealt = packed.repartition(parts(docs.sparkSession), "piece").sortWithinPartitions("crowded", "piece")
     met = durable(dealt.mapInArrow(_met, MET), "met")
-    number = sets.select("sid", "set_no")  # 64 bits that two sets share are both of them
-    at = lambda rows, c: rows.join(number.withColumnRenamed("sid", c), c).drop(c).withColumnRenamed("set_no", c)
-    pairs = at(at(met.filter("NOT crowded").select("a", "b").distinct(), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = met.filter("crowded").select("key", "unit", F.col("a").alias("sid")).distinct()
-    first = durable(_compared(pairs, sets, docs).filter(_linked()).select("a", "b"), "links")
-    crowd = durable(_unsettled(at(members, "sid")), "crowded")
-    if crowd.isEmpty():
-        return first
-    links, measured = first, None
-    for _ in range(ROUNDS):
-        members = _classed(crowd, links)
-        # The most central member of the largest class but the heart; at first of all members, as there is no class yet.
-        outside = members.filter("NOT inside").groupBy("key").agg(F.max(F.struct("class_n", "of", "sid")).alias("centre"))
-        if outside.isEmpty():
-            return links
-        centres = outside.select("key", F.col("centre.sid").alias("centre"))
-        rooted = members.filter("NOT inside").select("key", F.col("sid").alias("centre"), F.col("root").alias("centre_root")).join(centres, ["key", "centre"])
-        stars = members.join(rooted, "key").filter("root <> centre_root").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
-        stars = stars if measured is None else stars.join(measured, ["a", "b"], "left_anti")
-        found = durable(_compared(stars, sets, docs), "stars")
-        measured = durable(found if measured is None else measured.union(found), "measured")
-        links = durable(links.union(found.filter(_linked()).select("a", "b")), "links")
-    members = _classed(crowd, links).join(sets.select(F.col("set_no").alias("sid"), "n", "sketch"), "sid").select("key", "sid", "root", "inside", "n", "sketch")
-    outside = members.filter("NOT inside").select("key", *(F.col(c).alias(f"{c}_a") for c in ("sid", "root", "n", "sketch")))
-    pairs = outside.join(members, "key").filter((F.col("root_a") != F.col("root")) & _may("n_a", "n", "sketch_a", "sketch")).select(F.least("sid_a", "sid").alias("a"), F.greatest("sid_a", "sid").alias("b"))
-    return links.union(_compared(pairs.distinct().join(measured, ["a", "b"], "left_anti"), sets, docs).filter(_linked()).select("a", "b"))
-
-
-def _classed(crowd: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of crowded keys with root, their component's name, class_n, how many of the key's members are of it, and inside, whether that is the largest class."""
-    with scratch() as made:
-        roots = components(links, "crowds")
-    for table in made[:-1]:
-        forget(table)
-    rooted = durable(crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "of", F.coalesce("root", "sid").alias("root")), "rooted")
-    classes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("class_n"))
-    hearts = classes.groupBy("key").agg(F.max_by("root", F.struct("class_n", "root")).alias("heart"))
-    return rooted.join(spread(classes), ["key", "root"]).join(spread(hearts), "key").withColumn("inside", F.col("root") == F.col("heart"))
+    crowd = durable(_unsettled(met.filter("crowded").select("key", "unit", F.col("a").alias("sid")).distinct()), "crowded")
+    central = spread(crowd.groupBy("key").agg(F.max(F.struct("of", "sid")).alias("centre")).select("key", F.col("centre.sid").alias("centre")))
+    stars = crowd.join(central, "key").filter("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b"))
+    pairs = met.filter("NOT crowded").select("a", "b").union(stars).distinct()
+    links = _linked(_candidates(pairs, sets), sets, docs)
+    roots = components(links, "alike").withColumnRenamed("node", "set_no")
+    rooted = durable(sets.join(roots, "set_no", "left").withColumn("root", F.coalesce("root", "set_no")), "rooted")
+    members = durable(crowd.select("key", "sid").join(rooted.select("sid", "set_no", "root", "n", "sketch"), "sid").drop("sid"), "members")
+    hearts = spread(members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("heart")))
+    outside = durable(members.join(hearts, "key").filter("root <> heart").select("key", *(F.col(c).alias(f"{c}_a") for c in ("set_no", "root", "n", "sketch"))), "outside")
+    if outside.isEmpty():
+        return rooted
+    apart = outside.join(members, "key").filter((F.col("root_a") != F.col("root")) & _may("n_a", "n", "sketch_a", "sketch"))
+    more = _linked(apart.select(F.least("set_no_a", "set_no").alias("a"), F.greatest("set_no_a", "set_no").alias("b")).distinct(), sets, docs)
+    if more.isEmpty():
+        return rooted
+    name = rooted.select("set_no", "root")
+    joined = more.join(name.withColumnsRenamed({"set_no": "a", "root": "root_a"}), "a").join(name.withColumnsRenamed({"set_no": "b", "root": "root_b"}), "b")
+    tops = components(joined.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "crowds").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rooted.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -431,10 +409,9 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     low = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("low")
     sets = durable(rows.filter("n > 0").groupBy("sid", "rest", "n").agg(low, F.first("sketch").alias("sketch")).withColumn("set_no", F.monotonically_increasing_id()), "sets")
     with scratch() as made:
-        roots = components(_links(plain, sets), "alike").withColumnRenamed("node", "set_no")
+        rooted = durable(_roots(plain, sets).select("sid", "rest", "low", "root"), "classes")
     for table in made[:-1]:
         forget(table)
-    rooted = durable(sets.join(roots, "set_no", "left").select("sid", "rest", "low", F.coalesce("root", "set_no").alias("root")), "rooted")
     lowest = spread(rooted.groupBy("root").agg(F.min("low.doc_id").alias("component_id")))
     classes = rooted.join(lowest, "root").select("sid", "rest", "component_id")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
