@@ -25,10 +25,12 @@ from cairnpath.llm.common import durable, forget, whole
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Labelled rows that the weights are fitted on, about; the least correlation of a feature, and in how many standard deviations.
-SAMPLE, EFFECT, SIGNIFICANCE = 20_000, 0.03, 5.0
+SAMPLE, EFFECT, SIGNIFICANCE = 20_000, 0.03, 3.0
 PREFIXES = (4, 5, 6)
 #: Penalties of the squared weights, and of the squared differences of scores; steps of the fit, and those it looks back on.
 RIDGE, COUNTERFACTUAL, STEPS, MEMORY = 1.0, 200.0, 300, 12
+#: Labelled texts whose ids are sent to where the texts are; more of them meet the texts in a shuffle.
+FEW = 1 << 20
 #: Features a task counts before it hands the counts on.
 FLUSH = 400_000
 #: Terms for groups of people; each is swapped for the next in its list.
@@ -167,13 +169,13 @@ def minimise(objective: Objective, w: np.ndarray) -> np.ndarray:
 
 
 def fit(training: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Weights of features and the bias, from rows with toxic (0 or 1) and text. Without both labels there, all are 0.
+    """Weights of features and the bias, from rows with doc_id, toxic (0 or 1) and text. Without both labels there, all are 0.
 
-    The sample is drawn row by row, so that rows that repeat an id or a text don't come all together.
+    The sample is drawn by a hash of id and text, whatever files the rows are in.
     """
     names = {f: i for i, f in enumerate(choose(training))}
     n = training.count()
-    part = training.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(n, 1))) < sample).select("toxic", "text")
+    part = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(n, 1))) < sample).select("toxic", "text")
     rows = part.mapInArrow(_vectors(names), "toxic int, own array<int>, swapped array<int>").toArrow()
     y = rows.column("toxic").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
@@ -217,9 +219,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Of equal texts with a label one is learnt from, so that many copies don't make their words look telling.
     shas = docs.filter(fold(F.col("doc_id")) != HELD).select("doc_id", F.sha2(whole("text"), 256).alias("sha")).join(known, "doc_id")
     chosen = shas.groupBy("sha").agg(F.min_by("toxic", "doc_id").alias("toxic"), F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
-    # The same join at every size: texts that may be learnt from are shuffled once, and those chosen kept for the passes.
+    # Ids go before texts: only labelled texts are moved, and kept for the passes over them.
     texts = docs.filter(fold(F.col("doc_id")) != HELD).select("doc_id", whole("text").alias("text"))
-    training = durable(texts.hint("merge").join(chosen, "doc_id"), "labelled")
+    chosen = durable(chosen, "chosen")
+    training = durable(texts.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, "doc_id"), "labelled")
+    forget(chosen)
     weights, bias = fit(training)
     forget(training)
     scored = score(docs, weights, bias)
