@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("spatial", "scoring", "series", "search", "ingest", "routing", "terrain", "planning", "streams", "geometry", "facts", "trips", "hikes", "rings")
+_MODULES: tuple[str, ...] = ("spatial", "scoring", "series", "search", "ingest", "routing", "terrain", "planning", "streams", "geometry", "facts", "trips", "hikes", "rings", "walks")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
