@@ -90,10 +90,13 @@ def trail_progress(spark: SparkSession, d: str) -> DataFrame:
     near = spatial.near_segments(load(spark, d, "sites").select("site_id", "x_m", "y_m"), spatial.segments(load(spark, d, "vertices")), 500.0)
     place = near.groupBy("site_id").agg(F.min(F.struct(F.round("distance_m", 6).alias("off"), "way_id", "pos", c("distance_m").alias("off_m"), (c("before_m") + c("t") * c("length_m")).alias("along_m"), "way_m")).alias("b")).select("site_id", "b.way_id", "b.off_m", "b.along_m", "b.way_m")
     place = place.withColumn("direction", F.when(c("along_m") <= c("way_m") / 2, 1).otherwise(-1))
-    others = place.select("way_id", c("site_id").alias("stop"), c("along_m").alias("stop_m"))
-    ahead = place.join(others, "way_id").withColumn("ahead_m", (c("stop_m") - c("along_m")) * c("direction")).filter("ahead_m > 0")
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.round("ahead_m", 6), "stop"))
-    stops = ahead.withColumn("k", rank).filter("k <= 3").groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "stop"))), lambda x: x["stop"].cast("string")), ",").alias("next_stops"))
+    # Stops at the same place of a way are one row with the first three of them; the next ones are in the three rows ahead.
+    first = place.withColumn("k", F.row_number().over(Window.partitionBy("way_id", "along_m").orderBy("site_id"))).filter("k <= 3")
+    spots = first.groupBy("way_id", "along_m").agg(F.array_sort(F.collect_list("site_id")).alias("here"))
+    ahead = lambda order: F.slice(F.flatten(F.array_compact(F.array(*(F.lead("here", n).over(Window.partitionBy("way_id").orderBy(order)) for n in (1, 2, 3))))), 1, 3)
+    spots = spots.select("way_id", "along_m", ahead(c("along_m").asc()).alias("forth"), ahead(c("along_m").desc()).alias("back"))
+    next_ = F.when(c("direction") == 1, c("forth")).otherwise(c("back"))
+    stops = place.join(spots, ["way_id", "along_m"]).withColumn("next", next_).filter(F.size("next") > 0).select("site_id", F.array_join(F.transform("next", lambda x: x.cast("string")), ",").alias("next_stops"))
     done = F.when(c("direction") == 1, c("along_m")).otherwise(c("way_m") - c("along_m"))
     left = F.greatest(F.lit(0.0), c("way_m") - done)
     # Every other hiker has walked 500 m in 600 s or more; the others too little to tell.

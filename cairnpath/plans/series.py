@@ -118,12 +118,12 @@ def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("line_id").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-@query("value_at_cuts", sql(FILL + ", cuts AS (SELECT line_id, cut FROM (SELECT DISTINCT line_id FROM profile), (VALUES (0e0), (60e0), (333e0), (1010e0), (99999e0)) v(cut)), ends AS (SELECT line_id, min(along_m) AS lo, max(along_m) AS hi FROM filled GROUP BY line_id), x AS (SELECT line_id, cut, least(greatest(cut, lo), hi) AS q FROM cuts JOIN ends USING (line_id)) SELECT line_id, cut, round(arg_max(z, CASE WHEN along_m <= q THEN along_m END) + (coalesce(arg_min(z, CASE WHEN along_m > q THEN along_m END), arg_max(z, along_m)) - arg_max(z, CASE WHEN along_m <= q THEN along_m END)) * (any_value(q) - max(CASE WHEN along_m <= q THEN along_m END)) / 25, 4) AS z FROM x JOIN filled USING (line_id) GROUP BY line_id, cut", "profile"))
-def value_at_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """Profile values between samples, as an as-of merge: cuts and samples in one order, the sample before and the one after each."""
-    profile = filled(load(spark, d, "profile"))
-    cuts = profile.groupBy("line_id").agg(F.max("along_m").alias("hi")).withColumn("cut", F.explode(F.array(*(F.lit(x) for x in (0.0, 60.0, 333.0, 1010.0, 99999.0)))))
-    both = profile.select("line_id", "along_m", "z", F.lit(None).cast("double").alias("cut")).unionByName(cuts.select("line_id", F.least("cut", "hi").alias("along_m"), F.lit(None).cast("double").alias("z"), "cut"))
+def between_samples(profile: DataFrame, cuts: DataFrame) -> DataFrame:
+    """profile (line_id, along_m, z) and cuts (line_id, cut, at: within the profile) -> line_id, cut, z.
+
+    An as-of merge: cuts and samples in one order, the sample before and the one after each.
+    """
+    both = profile.select("line_id", "along_m", "z", F.lit(None).cast("double").alias("cut")).unionByName(cuts.select("line_id", F.col("at").alias("along_m"), F.lit(None).cast("double").alias("z"), "cut"))
     w = Window.partitionBy("line_id").orderBy("along_m", F.col("cut").asc_nulls_first())
     sample = F.when(F.col("cut").isNull(), F.struct("along_m", "z"))
     near = both.withColumn("a", F.last(sample, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(sample, True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("cut IS NOT NULL")
@@ -131,6 +131,33 @@ def value_at_cuts(spark: SparkSession, d: str) -> DataFrame:
     return near.select("line_id", "cut", F.round(z, 4).alias("z"))
 
 
+@query("value_at_cuts", sql(FILL + ", cuts AS (SELECT line_id, cut FROM (SELECT DISTINCT line_id FROM profile), (VALUES (0e0), (60e0), (333e0), (1010e0), (99999e0)) v(cut)), ends AS (SELECT line_id, min(along_m) AS lo, max(along_m) AS hi FROM filled GROUP BY line_id), x AS (SELECT line_id, cut, least(greatest(cut, lo), hi) AS q FROM cuts JOIN ends USING (line_id)) SELECT line_id, cut, round(arg_max(z, CASE WHEN along_m <= q THEN along_m END) + (coalesce(arg_min(z, CASE WHEN along_m > q THEN along_m END), arg_max(z, along_m)) - arg_max(z, CASE WHEN along_m <= q THEN along_m END)) * (any_value(q) - max(CASE WHEN along_m <= q THEN along_m END)) / 25, 4) AS z FROM x JOIN filled USING (line_id) GROUP BY line_id, cut", "profile"))
+def value_at_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Profile values between samples; beyond its ends those of the ends."""
+    profile = filled(load(spark, d, "profile"))
+    cuts = profile.groupBy("line_id").agg(F.max("along_m").alias("hi")).withColumn("cut", F.explode(F.array(*(F.lit(x) for x in (0.0, 60.0, 333.0, 1010.0, 99999.0)))))
+    return between_samples(profile, cuts.withColumn("at", F.least("cut", "hi")))
+
+
+#: Fixed value: how far beyond a profile's ends, in metres, it still has a value.
+BEYOND_M = 0.5
+
+
+@query("value_in_profile", sql(FILL + """, ends AS (SELECT line_id, min(along_m) AS lo, max(along_m) AS hi FROM filled GROUP BY line_id),
+    cuts AS (SELECT line_id, lo, hi, unnest([-10e0, -0.4e0, 60e0, 333e0, hi - 7, hi + 0.3, hi + 2]) AS cut FROM ends),
+    x AS (SELECT *, least(greatest(cut, lo), hi) AS q, row_number() OVER () AS k FROM cuts WHERE cut >= lo - 0.5 AND cut <= hi + 0.5),
+    v AS (SELECT k, any_value(line_id) AS line_id, any_value(cut) AS cut, round(arg_max(z, CASE WHEN along_m <= q THEN along_m END) + (coalesce(arg_min(z, CASE WHEN along_m > q THEN along_m END), arg_max(z, along_m)) - arg_max(z, CASE WHEN along_m <= q THEN along_m END)) * (any_value(q) - max(CASE WHEN along_m <= q THEN along_m END)) / 25, 4) AS z FROM x JOIN filled USING (line_id) GROUP BY k)
+    SELECT c.line_id, round(c.cut, 3) AS cut, z FROM cuts c LEFT JOIN v ON v.line_id = c.line_id AND v.cut = c.cut""", "profile"))
+def value_in_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile values between samples; null half a metre and more outside it."""
+    profile = filled(load(spark, d, "profile"))
+    ends = profile.groupBy("line_id").agg(F.min("along_m").alias("lo"), F.max("along_m").alias("hi"))
+    cuts = ends.withColumn("cut", F.explode(F.array(F.lit(-10.0), F.lit(-0.4), F.lit(60.0), F.lit(333.0), F.col("hi") - 7, F.col("hi") + 0.3, F.col("hi") + 2)))
+    near = F.col("cut").between(F.col("lo") - BEYOND_M, F.col("hi") + BEYOND_M)
+    found = between_samples(profile, cuts.filter(near).withColumn("at", F.least(F.greatest("cut", "lo"), "hi")))
+    return cuts.select("line_id", "cut").join(found, ["line_id", "cut"], "left").select("line_id", F.round("cut", 3).alias("cut"), "z")
+
+
 @query("cumulative_distance", sql("SELECT way_id, pos, round(coalesce(sum(step) OVER (PARTITION BY way_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0), 3) AS along_m FROM (SELECT *, sqrt((x_m - lag(x_m) OVER w) * (x_m - lag(x_m) OVER w) + (y_m - lag(y_m) OVER w) * (y_m - lag(y_m) OVER w)) AS step FROM vertices WINDOW w AS (PARTITION BY way_id ORDER BY pos))", "vertices"))
 def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("way_id").orderBy("pos")

@@ -62,10 +62,10 @@ def zone_cells(spark: SparkSession, d: str) -> DataFrame:
     return grid.groupBy(F.when(F.col("z") < 20, "low").when(F.col("z") < 60, "medium").otherwise("high").alias("zone_class"), F.floor(F.col("ix") / 10).alias("tile_x"), F.floor(F.col("iy") / 10).alias("tile_y")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.count(F.lit(1)) * 900.0, 1).alias("area_m2"))
 
 
-@query("zone_parts", sql("c AS (SELECT iy * 1000 + ix AS id, ix, iy FROM grid WHERE z >= 60), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) <= 1), r AS (SELECT a AS node, a AS part FROM e UNION SELECT e.b, r.part FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(part) AS part FROM r GROUP BY node) SELECT part, count(*) AS cells FROM l GROUP BY part HAVING count(*) >= 3", "grid").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("zone_parts", sql("c AS (SELECT iy * 1000000000 + ix AS id, ix, iy FROM grid WHERE z >= 60), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) <= 1), r AS (SELECT a AS node, a AS part FROM e UNION SELECT e.b, r.part FROM r JOIN e ON e.a = r.node), l AS (SELECT node, min(part) AS part FROM r GROUP BY node) SELECT part, count(*) AS cells FROM l GROUP BY part HAVING count(*) >= 3", "grid").replace("WITH ", "WITH RECURSIVE ", 1))
 def zone_parts(spark: SparkSession, d: str) -> DataFrame:
     """Connected parts of a zone with three cells or more."""
-    cells = load(spark, d, "grid").filter("z >= 60").select("ix", "iy", (F.col("iy") * 1000 + F.col("ix")).alias("u"))
+    cells = load(spark, d, "grid").filter("z >= 60").select("ix", "iy", (F.col("iy") * 1000000000 + F.col("ix")).alias("u"))
     to = lambda x, y: cells.select((F.col("ix") - x).alias("ix"), (F.col("iy") - y).alias("iy"), F.col("u").alias("v"))
     pairs = cells.join(to(1, 0), ["ix", "iy"]).select("u", "v").union(cells.join(to(0, 1), ["ix", "iy"]).select("u", "v"))
     return graph.pieces(pairs).groupBy("piece").agg(F.count(F.lit(1)).alias("cells")).filter("cells >= 3").withColumnRenamed("piece", "part")
