@@ -100,9 +100,10 @@ def trail_score() -> Column:
     return F.coalesce(curves.peak_curve(F.col("trail_m"), 60.0, 50.0, 800.0), F.lit(0.0))
 
 
-def trail_distance(spark: SparkSession, d: str) -> DataFrame:
+def trail_distance(spark: SparkSession, d: str, sites: DataFrame | None = None) -> DataFrame:
     """site_id and trail_m, up to 5 km; most sites have a trail in the first ring."""
-    near = spatial.segment_distance(load(spark, d, "sites").select("site_id", "x_m", "y_m"), spatial.segments(load(spark, d, "vertices")), "site_id", [500.0, 5000.0])
+    points = load(spark, d, "sites") if sites is None else sites
+    near = spatial.segment_distance(points.select("site_id", "x_m", "y_m"), spatial.segments(load(spark, d, "vertices")), "site_id", [500.0, 5000.0])
     return near.withColumnRenamed("nearest_m", "trail_m")
 
 
@@ -122,14 +123,15 @@ FULL = f"""{RANKED}, {LAND}, {SEGMENTS}, {NEAR_TRAIL}, {TRAIL},
     t AS (SELECT *, ({_SUM(FACTORS, str)}) / ({_SUM(FACTORS, lambda n: '1')}) AS total, ({_SUM(_REST, str)}) / ({_SUM(_REST, lambda n: '1')}) AS rest FROM f)"""
 
 
-def factor_table(spark: SparkSession, d: str) -> DataFrame:
-    """All factor scores of each site; a factor that can't be evaluated is null."""
+def factor_table(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """All factor scores of each site, or of only those with a row in only (site_id); a factor that can't be evaluated is null."""
     sites = load(spark, d, "sites")
-    trails = trail_distance(spark, d)
+    sites = sites if only is None else sites.join(only.select("site_id"), "site_id", "left_semi")
+    trails = trail_distance(spark, d, sites)
     weather = load(spark, d, "weather").select("site_id", F.when(F.col("rain_mm").isNotNull(), curves.weather_score(F.col("rain_mm"), F.col("wind_kmh"), F.col("low_c"))).alias("weather"))
     terrain = load(spark, d, "terrain").select("site_id", curves.piecewise(F.col("slope_deg"), curves.SLOPE).alias("slope"), curves.lookup(pooling(), {"low": 100.0, "medium": 60.0, "high": 10.0}, 0.0).alias("drainage"), curves.lookup(shelter(), {"sheltered": 100.0, "moderate": 75.0, "exposed": 35.0}, 0.0).alias("shelter"), view_score().alias("view"))
     out = sites.select("site_id").join(water_factor(sites, load(spark, d, "water")).select("site_id", F.col("water_score").alias("water")), "site_id")
-    out = out.join(legal_factor(sites, parcels(spark, d)), "site_id").join(trails, "site_id", "left").withColumn("trail", trail_score()).drop("trail_m")
+    out = out.join(legal_factor(sites, parcels(spark, d, sites)), "site_id").join(trails, "site_id", "left").withColumn("trail", trail_score()).drop("trail_m")
     return out.join(weather, "site_id").join(terrain, "site_id")
 
 

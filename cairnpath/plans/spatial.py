@@ -80,8 +80,9 @@ def strictness() -> F.Column:
     return F.when(F.col("access") == "closed", 0).when(F.col("access") == "restricted", 1).when(F.col("access") == "unknown", 2).otherwise(3)
 
 
-def parcels(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.in_boxes(load(spark, d, "sites").select("site_id", "x_m", "y_m"), load(spark, d, "land"), 10000.0)
+def parcels(spark: SparkSession, d: str, sites: DataFrame | None = None) -> DataFrame:
+    points = load(spark, d, "sites") if sites is None else sites
+    return spatial.in_boxes(points.select("site_id", "x_m", "y_m"), load(spark, d, "land"), 10000.0)
 
 
 def land_by_site(inside: DataFrame) -> DataFrame:
