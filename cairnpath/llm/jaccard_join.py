@@ -340,7 +340,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     asked = durable(wanted.select(F.explode(F.array("a", "b")).alias("set_no")).distinct().join(sets, "set_no").select("set_no", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash")), "wanted")
     asked = F.broadcast(asked) if asked.count() <= FEW else asked
     own = docs.join(asked, (F.xxhash64("text") == F.col("low_hash")) & F.col("doc_id").eqNullSafe(F.col("low_id"))).select("set_no", "text")
-    tokens = durable(own.mapInArrow(_tokens, "set_no long, tokens binary").dropDuplicates(["set_no"]), "tokens")
+    # Dealt out by set once, for both joins, which is why it is no table of its own.
+    tokens = own.mapInArrow(_tokens, "set_no long, tokens binary").dropDuplicates(["set_no"])
     left, right = tokens.withColumnsRenamed({"set_no": "a", "tokens": "left"}), tokens.withColumnsRenamed({"set_no": "b", "tokens": "right"})
     met = wanted.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_shared, "a long, b long, both long, n_a long, n_b long")
     return durable(met.filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * ALIKE).select("a", "b"), "links")
