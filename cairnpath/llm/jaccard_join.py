@@ -48,7 +48,7 @@ HELD = 1 << 18
 #: Bits of a set's sketch, each the parity of the shingles that fall on it.
 SKETCH = 1024
 #: Pieces of the index for each partition.
-PIECES = 8
+PIECES = 2
 #: Sets that a task remembers, so as to index copies once.
 REMEMBERED = 1 << 20
 #: Bytes of text hashed at a time.
@@ -216,7 +216,7 @@ def _handed_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], pieces: in
     for crowded, rows in ((False, np.flatnonzero(~most)), (True, np.flatnonzero(most))):
         # The rest of a crowded key may go anywhere: it is dealt out by set.
         piece = ((sid if crowded else key)[rows] % _U(pieces)).astype(np.int32)
-        order = np.argsort(piece, kind="stable")
+        order = np.lexsort((sid[rows], piece))  # a set's keys of a piece stand together, which packs well
         rows, piece = rows[order], piece[order]
         first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(piece) else piece
         ends = [*first[1:], len(piece)]
