@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairnpath.functions.curves import rounded
 from cairnpath.plans.registry import query
 from cairnpath.sources.fixtures import load, sql
 
@@ -193,7 +194,7 @@ def day_stats(spark: SparkSession, d: str) -> DataFrame:
     inside = F.transform(F.filter(c("v"), lambda x: (x["along_m"] > c("start_m")) & (x["along_m"] < c("end_m"))), lambda x: x["s"])
     series = F.concat(F.array(value(c("start_m"))), inside, F.array(value(c("end_m"))))
     climbed = days.select("line_id", "day", "start_m", "end_m", threshold_climb(series, THRESHOLD).alias("climb"))
-    return climbed.select("line_id", "day", F.round("start_m", 1).alias("start_m"), F.round(c("end_m") - c("start_m"), 1).alias("distance_m"), F.round("climb.gain", 1).alias("gain_m"), F.round("climb.loss", 1).alias("loss_m"))
+    return climbed.select("line_id", "day", rounded(c("start_m"), 1).alias("start_m"), rounded(c("end_m") - c("start_m"), 1).alias("distance_m"), rounded(c("climb.gain"), 1).alias("gain_m"), rounded(c("climb.loss"), 1).alias("loss_m"))
 
 
 def thinned(distances: Column, spacing: float) -> Column:

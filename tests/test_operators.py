@@ -210,3 +210,10 @@ def test_rings_are_cut_to_a_box(spark):
     # Between x = 2 and the two sloping sides, whose middle is at x = 5.
     assert math.isclose(areas[7], 2 * 2 + 2 * 0.75, rel_tol=1e-9)
     assert not clip_rings(corners, "key", (6.0, 0.0), (9.0, 3.0)).collect()
+
+
+def test_rounded_is_sqls_round(spark, duck):
+    data = [(x,) for x in (125.64999999999999, 125.65, 0.05, -2.25, 103.94999999999999, 0.0, 7.0)]
+    got = [v for (v,) in values(spark, data, curves.rounded(F.col("x"), 1), schema="x double")]
+    assert got == [duck.sql(f"SELECT round({x!r}::DOUBLE, 1)").fetchall()[0][0] for (x,) in data]
+    assert got[0] == 125.7
