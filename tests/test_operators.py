@@ -217,3 +217,35 @@ def test_rounded_is_sqls_round(spark, duck):
     got = [v for (v,) in values(spark, data, curves.rounded(F.col("x"), 1), schema="x double")]
     assert got == [duck.sql(f"SELECT round({x!r}::DOUBLE, 1)").fetchall()[0][0] for (x,) in data]
     assert got[0] == 125.7
+
+
+def test_nearest_segment_by_rings(spark):
+    """As brute force has it, ties by number and own ways left out, while the first ring of dense ways holds few of them."""
+    rnd = random.Random(5)
+    points = [(k, k % 7, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for k in range(60)] + [(60, 0, 5000.0, 5000.0), (61, 1, 500.0, 5000.0)]
+    lines = [(k, k % 7, *(rnd.uniform(0, 1000) for _ in range(4))) for k in range(300)]
+    lines += [(400 + k, own, *rest) for k, (_, own, *rest) in enumerate(lines[:40])]
+
+    def off(p, s):
+        (x, y), (ax, ay, bx, by) = p, s
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    want = {}
+    for k, own, *p in points:
+        best = min((round(off(p, s), 6), way) for way, theirs, *s in lines if theirs != own)
+        if best[0] <= 4500:
+            want[k] = best[1]
+    a, b = spark.createDataFrame(points, "id long, own long, x_m double, y_m double"), spark.createDataFrame(lines, "way long, theirs long, ax double, ay double, bx double, by double")
+    first = F.min_by("way", F.struct(F.round("distance_m", 6), "way")).alias("way")
+    got = {r.id: r.way for r in spatial.nearest_segment(a, b, ["id"], 4500.0, first, apart=F.col("own") != F.col("theirs")).collect()}
+    assert got == want and 61 in got
+    assert spatial.nearest_segment(a, b.limit(0), ["id"], 4500.0, first).count() == 0
+    length = sum(math.dist(s[2:4], s[4:6]) for s in lines)
+    assert spatial._segment_radius(len(lines), length, 1e6, 1000.0) < 20
+
+
+def test_dots_are_points(spark):
+    features = spark.createDataFrame([(1, 30.0, 40.0), (2, 0.0, 60.0)], "fid long, x_m double, y_m double")
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x_m double, y_m double")
+    assert [tuple(r) for r in spatial.segment_distance(points, spatial.dots(features), "id", 50.0).collect()] == [(1, 50.0)]
