@@ -155,3 +155,9 @@ def test_the_rest_works_without_the_training_text_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; names = e.queries(); assert len(names) > 120 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in names); assert set(e.oracle_sql()) <= set(names)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_growing_tables_are_not_sent_by_way_of_the_driver(spark, data):
+    for name in ("nearest_water", "aspect", "deviation", "piece_sizes"):
+        plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, name
