@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from cairnpath.sources.fixtures import load, sql
 
 #: Metres between places, places along a cell's side, and columns of the grid.
 STEP_M, SIDE, COLUMNS = 30.0, 16, 50
+#: Bits of a cell's column and row.
+BITS = 28
 #: Metres an hour on the flat and uphill.
 PACE_M, CLIMB_M = 5000.0, 600.0
 #: What rough ground, a seventh of all, makes of a distance.
@@ -30,7 +34,9 @@ def costs(kind: str, length: Column, rise: Column, rough: Column) -> Column:
 def ground(spark: SparkSession, d: str) -> DataFrame:
     """Places with a height: node, ix, iy, z and cell."""
     side = lambda c: F.floor(F.col(c) / SIDE).cast("long")
-    return load(spark, d, "grid").filter("z IS NOT NULL").select((F.col("iy") * COLUMNS + F.col("ix")).cast("long").alias("node"), "ix", "iy", "z", (side("iy") * 1_000_000 + side("ix")).alias("cell"))
+    # Cells are numbered along a Z curve: the bits of a column and a row by turns.
+    spread = lambda v, low: reduce(Column.__add__, (F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + low) for k in range(BITS)))
+    return load(spark, d, "grid").filter("z IS NOT NULL").select((F.col("iy") * COLUMNS + F.col("ix")).cast("long").alias("node"), "ix", "iy", "z", (spread(side("ix"), 0) + spread(side("iy"), 1)).alias("cell"))
 
 
 def steps(places: DataFrame, kind: str) -> DataFrame:
@@ -78,11 +84,11 @@ LEAST = f"""places AS (SELECT iy * {COLUMNS} + ix AS node, ix, iy, z FROM grid W
 
 @query("ground_routes", sql(LEAST, "grid").replace("WITH ", "WITH RECURSIVE ", 1))
 def ground_routes(spark: SparkSession, d: str) -> DataFrame:
-    """The least cost of each leg over open ground, by time and by distance: rounds go with the cells on the way, not with its steps."""
+    """The least cost of each leg over open ground, by time and by distance: rounds go with the levels of cells, not with the way's length."""
     out = []
     for kind in KINDS:
         _, asked, found = walked(spark, d, kind)
-        out.append(found.join(asked, "leg").select(F.lit(kind).alias("kind"), "leg", F.col("start").alias("start_node"), F.col("goal").alias("goal_node"), "cost"))
+        out.append(found.select("leg", "cost").join(asked, "leg").select(F.lit(kind).alias("kind"), "leg", F.col("start").alias("start_node"), F.col("goal").alias("goal_node"), "cost"))
     return out[0].union(out[1])
 
 

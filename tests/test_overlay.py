@@ -59,3 +59,13 @@ def test_route_lines_cost_what_routes_do(spark, data):
             assert max(dx, dy) == 1
             total += round((dx + dy) ** 0.5 * 30 / 5000 * 3_600_000 + max(z[b] - z[a], 0) / 600 * 3_600_000)
         assert total == costs[leg]
+
+
+def test_rounds_go_with_levels_not_with_the_length_of_a_strip(spark):
+    draw, rows = random.Random(4), 192
+    edges = [(y * 2 + x, (y + dy) * 2 + x + dx, draw.randrange(1, 30)) for y in range(rows) for x in range(2) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= x + dx < 2 and 0 <= y + dy < rows]
+    made = overlay.build(spark.createDataFrame(edges, "src long, dst long, cost long"), spark.createDataFrame([(k, k // 8) for k in range(2 * rows)], "node long, cell long"))
+    assert len(made.graphs) <= 4
+    found = overlay.routes(made, spark.createDataFrame([(0, 0, 2 * rows - 1)], "leg int, start long, goal long"))
+    assert found.first().cost == least(edges, 0)[2 * rows - 1]
+    assert overlay.nodes_of(made, found).count() >= rows
