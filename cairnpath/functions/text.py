@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,30 +96,31 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(out, " +"), lambda t: t != "")
 
 
-def _ends(words: Column, phrases: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.endswith(words, F.concat(F.lit(" "), p)))
-
-
-def _begins(words: Column, phrases: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.startswith(words, F.concat(p, F.lit(" "))))
+def _any(phrases: Iterable[str]) -> str:
+    return "(?:" + "|".join(phrases) + ")"
 
 
 def figures(words: Column) -> Column:
-    """Figures with a unit behind them, in order: at, value, unit, low (where a range begins) and kind (most, least or null)."""
+    """Figures with a unit behind them, in order: value, unit, low (where a range begins) and kind (most, least or null).
+
+    Places with a figure are found first, so that words around are read for these alone.
+    """
     number = lambda t: F.coalesce(F.when(F.rlike(t, F.lit(r"^\d")), t.try_cast("double")), _mapped(NUMBER_WORDS)[t])
     unit = lambda t: _mapped(UNITS)[t]
+    # Behind a figure, or a filler behind it.
+    skip = lambda i: F.when(unit(F.get(words, i + 1)).isNull() & F.get(words, i + 1).isin(*FILLERS), 1).otherwise(0)
 
     def read(i: Column) -> Column:
         at = lambda k: F.get(words, i + k)
         ranged = (at(-1) == "to") | ((at(-1) == "and") & (at(-3) == "between"))
         before = F.concat(F.lit(" "), F.concat_ws(" ", at(-3), at(-2), at(-1)))
-        skip = F.when(unit(at(1)).isNull() & at(1).isin(*FILLERS), 1).otherwise(0)
-        behind = F.concat(F.concat_ws(" ", F.get(words, i + 2 + skip), F.get(words, i + 3 + skip)), F.lit(" "))
-        kind = F.when(_ends(before, AT_MOST) | _begins(behind, MOST_BEHIND), "most").when(_ends(before, AT_LEAST) | _begins(behind, LEAST_BEHIND), "least")
-        return F.struct(number(at(0)).alias("value"), unit(F.get(words, i + 1 + skip)).alias("unit"), F.when(ranged, number(at(-2))).alias("low"), kind.alias("kind"))
+        behind = F.concat(F.concat_ws(" ", F.get(words, i + 2 + skip(i)), F.get(words, i + 3 + skip(i))), F.lit(" "))
+        says = lambda ends, begins: F.rlike(before, F.lit(f" {_any(ends)}\\z")) | F.rlike(behind, F.lit(f"^{_any(begins)} "))
+        kind = F.when(says(AT_MOST, MOST_BEHIND), "most").when(says(AT_LEAST, LEAST_BEHIND), "least")
+        return F.struct(number(at(0)).alias("value"), unit(F.get(words, i + 1 + skip(i))).alias("unit"), F.when(ranged, number(at(-2))).alias("low"), kind.alias("kind"))
 
-    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), read)
-    return F.filter(every, lambda f: f["value"].isNotNull() & f["unit"].isNotNull())
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.transform(F.filter(places, lambda i: number(F.get(words, i)).isNotNull() & unit(F.get(words, i + 1 + skip(i))).isNotNull()), read)
 
 
 def bounds(found: Column, unit: str) -> tuple[Column, Column]:
@@ -137,7 +140,7 @@ def requests(df: DataFrame, phrase: Column) -> DataFrame:
 
     Words and figures are columns of their own on the way, so that they are worked out once a row.
     """
-    has = lambda phrases: F.exists(F.array(*(F.lit(f" {p} ") for p in phrases.split(", "))), lambda p: F.contains(F.col("_said"), p))
+    has = lambda phrases: F.rlike(F.col("_said"), F.lit(f" {_any(phrases.split(', '))} "))
     lists = {f"_{field}": F.array_compact(F.array(*(F.when(has(p), v) for v, p in VOCABULARY[field].items()))) for field in ("difficulty", "route_type", "region", "unsupported")}
     joined = lambda field: F.nullif(F.array_join(F.col(f"_{field}"), ","), F.lit(""))
     flag = lambda field: F.when(has(VOCABULARY[field]["yes"]), True)
