@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from cairnpath.plans.registry import query
 from cairnpath.sources.fixtures import load, sql
 
 RES = 30.0
+#: The level of cells that no way out is known for yet.
+DRY = 1e18
 
 
 def neighbours(grid: DataFrame, reach: int) -> DataFrame:
@@ -140,26 +146,53 @@ def aspect(spark: SparkSession, d: str) -> DataFrame:
     return s.select("ix", "iy", F.round((F.degrees(F.atan2(-F.col("sx"), -F.col("sy"))) + 360) % 360, 3).alias("aspect_deg"))
 
 
+#: Cells along a side of the tiles that rounds work on.
+TILE = 64
+
+
+def tiled(df: DataFrame) -> DataFrame:
+    return df.withColumns({"tx": F.floor(F.col("ix") / TILE), "ty": F.floor(F.col("iy") / TILE)})
+
+
+def _sunk(cells: pd.DataFrame) -> pd.DataFrame:
+    """A tile with the cells around it: lets every cell of its own drain over its best neighbour until nothing changes."""
+    x, y = ((cells[c] - cells[c].min() + 1).to_numpy() for c in ("ix", "iy"))
+    level = np.full((x.max() + 2, y.max() + 2), DRY)
+    ground = level.copy()
+    level[x, y] = cells["level"]
+    own = cells["own"].to_numpy()
+    ground[x[own], y[own]] = cells["z"].to_numpy()[own]  # cells around stay as they are: their ground is never under their level
+    while True:
+        out = np.minimum.reduce([level[1 + dx : level.shape[0] - 1 + dx, 1 + dy : level.shape[1] - 1 + dy] for dx, dy in EIGHT.values()])
+        new = np.minimum(level[1:-1, 1:-1], np.maximum(ground[1:-1, 1:-1], out))
+        if (new == level[1:-1, 1:-1]).all():
+            break
+        level[1:-1, 1:-1] = new
+    found = cells[["ix", "iy", "z"]].assign(level=level[x, y])
+    found["better"] = found["level"] < cells["level"]
+    return found[own]
+
+
 def filled_grid(grid: DataFrame) -> DataFrame:
     """ix, iy, z and level, to which water stands before it runs off: the least over all ways out of the highest cell on the way.
 
-    Cells at the edge of the data, or beside a gap in it, drain at their own height. Each round lets every cell drain over
-    its best neighbour; rounds end when nothing changes, and their number is that of the cells on the longest way out.
+    Cells at the edge of the data, or beside a gap in it, drain at their own height. Each round settles every tile with the
+    levels of the cells around it; rounds end when nothing changes, and their number is that of the tiles on the way out
+    that crosses most.
     """
     c, cells = F.col, grid.filter("z IS NOT NULL")
     steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in EIGHT.values()))
     beside = cells.select("ix", "iy", F.inline(steps)).select((c("ix") - c("dx")).alias("ix"), (c("iy") - c("dy")).alias("iy"))
     inner = beside.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").withColumn("inner", F.lit(True)).drop("n")
-    level = graph.settled(cells.join(inner, ["ix", "iy"], "left").select("ix", "iy", "z", F.when(c("inner"), F.lit(1e18)).otherwise(c("z")).alias("level")))
-    mark = None
-    while True:
-        near = level.select("ix", "iy", "level", F.inline(steps)).select((c("ix") - c("dx")).alias("ix"), (c("iy") - c("dy")).alias("iy"), "level").groupBy("ix", "iy").agg(F.min("level").alias("out"))
-        old, level = level, graph.settled(level.join(near, ["ix", "iy"], "left").select("ix", "iy", "z", F.least("level", F.greatest("z", F.coalesce("out", F.lit(1e18)))).alias("level")))
+    level = graph.settled(cells.join(inner, ["ix", "iy"], "left").select("ix", "iy", "z", F.when(c("inner"), F.lit(DRY)).otherwise(c("z")).alias("level"), F.lit(True).alias("better")))
+    at = lambda k, d: F.floor((c(k) + c(d)) / TILE)
+    while not level.filter("better").isEmpty():
+        # A cell at the side of a tile is also put in the tiles beside it.
+        beyond = level.select("ix", "iy", "z", "level", F.inline(steps)).select("ix", "iy", "z", "level", at("ix", "dx").alias("tx"), at("iy", "dy").alias("ty")).filter((c("tx") != F.floor(c("ix") / TILE)) | (c("ty") != F.floor(c("iy") / TILE))).distinct()
+        put = tiled(level.select("ix", "iy", "z", "level")).withColumn("own", F.lit(True)).union(beyond.withColumn("own", F.lit(False)))
+        old, level = level, graph.settled(put.groupBy("tx", "ty").applyInPandas(_sunk, "ix long, iy long, z double, level double, better boolean"))
         graph.forget(old)
-        now = tuple(level.agg(F.sum(F.least("level", F.lit(1e9))), F.count_if(c("level") >= 1e18)).first())
-        if now == mark:
-            return level
-        mark = now
+    return level.drop("better")
 
 
 @query("sink_depths", None)
@@ -168,12 +201,24 @@ def sink_depths(spark: SparkSession, d: str) -> DataFrame:
     return filled_grid(load(spark, d, "grid")).select("ix", "iy", (F.col("level") - F.col("z")).alias("depth_m"))
 
 
+def _run_down(came: pd.DataFrame, down: pd.DataFrame) -> pd.DataFrame:
+    """What runs through each cell of a tile, highest first, and (leaves) what goes into cells of other tiles."""
+    down = down.sort_values(["z", "ix", "iy"], ascending=False)
+    moving, left = dict(zip(zip(came["ix"], came["iy"], strict=True), came["came"], strict=True)), {}
+    for x, y, nx, ny, inside in zip(*(down[k].tolist() for k in ("ix", "iy", "nx", "ny", "inside")), strict=True):
+        if n := moving.get((x, y)):
+            to = moving if inside else left
+            to[nx, ny] = to.get((nx, ny), 0) + n
+    rows = [(*cell, n, leaves) for cells, leaves in ((moving, False), (left, True)) for cell, n in cells.items()]
+    return pd.DataFrame(rows, columns=["ix", "iy", "cells", "leaves"])
+
+
 @query("wetness", None)
 def wetness(spark: SparkSession, d: str) -> DataFrame:
     """Wetness index ln(area / tan slope) from the cells that drain through each, on the ground with its hollows filled.
 
-    A cell drains to the neighbour with the steepest fall (ties by place; on level ground none), its area in rounds of one
-    join: what came in the last round goes one cell on. The published tool divides flow between two neighbours; this is
+    A cell drains to the neighbour with the steepest fall (ties by place; on level ground none), its area in rounds: what
+    came into a tile in the last round runs down to where it leaves the tile. The published tool divides flow between two neighbours; this is
     the single-direction form. Slopes count as a hundredth of a degree at least.
     """
     c, cells = F.col, filled_grid(load(spark, d, "grid")).select("ix", "iy", F.col("level").alias("z"))
@@ -182,12 +227,17 @@ def wetness(spark: SparkSession, d: str) -> DataFrame:
     falls = cells.select("ix", "iy", "z", F.inline(steps)).withColumn("nx", c("ix") + c("dx")).withColumn("ny", c("iy") + c("dy")).join(other, ["nx", "ny"])
     fall = (c("z") - c("nz")) / (RES * F.sqrt((c("dx") * c("dx") + c("dy") * c("dy")).cast("double")))
     to = graph.settled(falls.groupBy("ix", "iy").agg(F.max(F.struct(fall.alias("fall"), "nx", "ny")).alias("b")).select("ix", "iy", "b.*"))
-    down = to.filter("fall > 0").select("ix", "iy", "nx", "ny")
-    area = graph.settled(cells.select("ix", "iy", F.lit(1).cast("long").alias("cells"), F.lit(1).cast("long").alias("moving")))
-    while not area.filter("moving > 0").isEmpty():
-        came = area.filter("moving > 0").join(down, ["ix", "iy"]).groupBy(c("nx").alias("ix"), c("ny").alias("iy")).agg(F.sum("moving").alias("came"))
-        old, area = area, graph.settled(area.drop("moving").join(came, ["ix", "iy"], "left").select("ix", "iy", (c("cells") + F.coalesce("came", F.lit(0))).alias("cells"), F.coalesce("came", F.lit(0)).alias("moving")))
+    down = graph.settled(tiled(to.filter("fall > 0").select("ix", "iy", "nx", "ny").join(cells, ["ix", "iy"])).withColumn("inside", (F.floor(c("nx") / TILE) == c("tx")) & (F.floor(c("ny") / TILE) == c("ty"))))
+    # What runs into a cell in a round: at first one from each, then what left other tiles.
+    came, parts = graph.settled(cells.select("ix", "iy", F.lit(1).cast("long").alias("came"))), []
+    while not came.isEmpty():
+        put = tiled(came)
+        met = down.join(put.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+        moved = graph.settled(put.groupBy("tx", "ty").cogroup(met.groupBy("tx", "ty")).applyInPandas(_run_down, "ix long, iy long, cells long, leaves boolean"))
+        parts.append(moved.filter("NOT leaves").drop("leaves"))
+        old, came = came, graph.settled(moved.filter("leaves").groupBy("ix", "iy").agg(F.sum("cells").alias("came")))
         graph.forget(old)
+    area = reduce(DataFrame.union, parts).groupBy("ix", "iy").agg(F.sum("cells").alias("cells"))
     slope = F.greatest(F.coalesce("fall", F.lit(0.0)), F.lit(0.000174532925))
     index = area.join(to, ["ix", "iy"], "left").withColumn("twi", F.round(F.log(c("cells") * RES / slope), 4))
     return index.select("ix", "iy", "cells", "twi", F.when(c("twi") >= 12.5, "high").when(c("twi") >= 10, "medium").otherwise("low").alias("band"))
