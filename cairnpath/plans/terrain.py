@@ -43,12 +43,40 @@ def horn_slope(spark: SparkSession, d: str) -> DataFrame:
     return s.select("ix", "iy", F.round(F.degrees(F.atan(rise)), 4).alias("slope_deg"), F.round(100 * rise, 4).alias("slope_pct"))
 
 
-@query("deviation", sql(f"{NB(3)} SELECT ix, iy, round(CASE WHEN stddev_pop(nz) > 0 THEN (max(z) - avg(nz)) / stddev_pop(nz) END, 4) AS dev, round(100e0 * sum(CASE WHEN nz < z THEN 1 ELSE 0 END) / count(*), 4) AS percentile FROM nb WHERE z IS NOT NULL GROUP BY ix, iy", "grid"))
+#: How far the ground around a cell counts, in cells each way: a window of 33 cells, which is one kilometre.
+WINDOW = 16
+
+
+def _stands(at: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """Each cell of a tile against all those in its window, which the tile came with."""
+    x, y = (cells[c].to_numpy() - cells[c].min() + WINDOW for c in ("ix", "iy"))
+    ground = np.full((x.max() + WINDOW + 1, y.max() + WINDOW + 1), np.nan)
+    ground[x, y] = cells["z"]
+    own = ((cells["ix"] // TILE == at[0]) & (cells["iy"] // TILE == at[1])).to_numpy()
+    x, y = x[own], y[own]
+    steps = [(dx, dy) for dx in range(-WINDOW, WINDOW + 1) for dy in range(-WINDOW, WINDOW + 1)]
+    n, lower, rise, square = (np.zeros(len(x)) for _ in range(4))
+    for dx, dy in steps:
+        up = ground[x + dx, y + dy] - ground[x, y]
+        n += ~np.isnan(up)
+        lower += up < 0
+        rise += np.nan_to_num(up)
+    mean = rise / n
+    for dx, dy in steps:
+        off = np.nan_to_num(ground[x + dx, y + dy] - ground[x, y] - mean)
+        square += off * off
+    spread = np.sqrt(square / n)
+    dev = np.where(spread > 0, (0.0 - mean) / np.where(spread > 0, spread, 1.0), np.nan)
+    return cells.loc[own, ["ix", "iy"]].assign(dev=dev, percentile=100.0 * lower / n)
+
+
+@query("deviation", sql(f"{NB(WINDOW)} SELECT ix, iy, round(CASE WHEN stddev_pop(nz) > 0 THEN (max(z) - avg(nz)) / stddev_pop(nz) END, 4) AS dev, round(100e0 * sum(CASE WHEN nz < z THEN 1 ELSE 0 END) / count(*), 4) AS percentile FROM nb WHERE z IS NOT NULL GROUP BY ix, iy", "grid"))
 def deviation(spark: SparkSession, d: str) -> DataFrame:
-    """How high a cell stands over the mean around it, in standard deviations, and the share of lower cells."""
-    around = neighbours(load(spark, d, "grid"), 3).filter("z IS NOT NULL")
-    dev = F.when(F.stddev_pop("nz") > 0, (F.max("z") - F.avg("nz")) / F.stddev_pop("nz"))
-    return around.groupBy("ix", "iy").agg(F.round(dev, 4).alias("dev"), F.round(100.0 * F.count_if(F.col("nz") < F.col("z")) / F.count(F.lit(1)), 4).alias("percentile"))
+    """How high a cell stands over the mean of the kilometre around it, in standard deviations, and the share of lower cells; by tiles that come with what is around them."""
+    tiles = lambda k: F.explode(F.sequence(F.floor((F.col(k) - WINDOW) / TILE), F.floor((F.col(k) + WINDOW) / TILE)))
+    put = load(spark, d, "grid").filter("z IS NOT NULL").select("ix", "iy", "z").withColumn("tx", tiles("ix")).withColumn("ty", tiles("iy"))
+    stands = put.groupBy("tx", "ty").applyInPandas(_stands, "ix long, iy long, dev double, percentile double")
+    return stands.select("ix", "iy", F.round("dev", 4).alias("dev"), F.round("percentile", 4).alias("percentile"))
 
 
 @query("sampled_cells", sql(f"{NB(1)} SELECT ix, iy, median(nz) AS median_z, max(nz) AS max_z, min(nz) AS min_z, round((degrees(atan2(sum(sin(radians(nz))), sum(cos(radians(nz))))) + 360) % 360, 3) AS mean_deg FROM nb WHERE ix % 3 = 0 AND iy % 3 = 0 GROUP BY ix, iy", "grid"))
