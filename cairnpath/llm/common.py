@@ -68,6 +68,11 @@ def spread(aggregated: DataFrame) -> DataFrame:
     return aggregated.repartition(parts(aggregated.sparkSession))
 
 
+def sorted_in(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting and never by way of the driver: what is left of many rows, as those that an explode makes, is sized by the small file that they come from."""
+    return df.hint("merge")
+
+
 def whole(column: str) -> Column:
     """A text column whose null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

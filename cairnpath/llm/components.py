@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, forget, spread
+from cairnpath.llm.common import durable, forget, sorted_in, spread
 
 
 def components(links: DataFrame, label: str = "stars") -> DataFrame:
@@ -24,9 +24,9 @@ def components(links: DataFrame, label: str = "stars") -> DataFrame:
         mark = tuple(now)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = spread(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(sorted_in(least), "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = spread(large.groupBy("hi").agg(F.min("lo").alias("m")))
-        moved = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        moved = large.join(sorted_in(least), "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         old, edges = edges, durable(moved.union(least.select("hi", F.col("m").alias("lo"))).distinct(), label)
         forget(old)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()

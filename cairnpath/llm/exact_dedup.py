@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import SPACE, durable, parts, unused, whole
+from cairnpath.llm.common import SPACE, durable, parts, sorted_in, unused, whole
 
 BLOCK_BYTES = 4096
 #: Names are task << TASK_SHIFT | rank in the task.
@@ -116,10 +116,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     if done:
         ends = reduce(DataFrame.union, done).withColumnsRenamed({"doc_id": "end_id", "sha": "end_sha"})
         long = rows.filter("n_blocks > 1")
-        named = short.union(long.join(ends, F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("sha") == F.col("end_sha"))).select("doc_id", "sha", "depth", "last_name"))
+        named = short.union(long.join(sorted_in(ends), F.col("doc_id").eqNullSafe(F.col("end_id")) & (F.col("sha") == F.col("end_sha"))).select("doc_id", "sha", "depth", "last_name"))
     # As a table of its own, so that the join deals out both sides and a group with very many rows can be split.
     groups = durable(named.groupBy("depth", "last_name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    out = named.join(groups, ["depth", "last_name"])
+    out = named.join(sorted_in(groups), ["depth", "last_name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -132,5 +132,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     sha, kept_id, kept_sha = unused(docs, "text_sha"), unused(docs, "kept_id"), unused(docs, "kept_sha")
     groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
     keyed = docs.withColumn(sha, F.sha2(F.encode(F.regexp_replace(whole("text"), SPACE, " "), "UTF-8"), 256))
-    kept = keyed.join(groups, F.col(sha).eqNullSafe(F.col(kept_sha)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    kept = keyed.join(sorted_in(groups), F.col(sha).eqNullSafe(F.col(kept_sha)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
     return kept.dropDuplicates([sha, "doc_id"]).drop(sha)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, parts, unused
+from cairnpath.llm.common import durable, parts, sorted_in, unused
 
 #: Slots a span, at least; sources up to which what numbers the rows is broadcast.
 BLOCK_DOCS, EXPONENT, SPAN, FEW = 16, 0.7, 1024, 1000
@@ -207,5 +207,5 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     """
     place, key = unused(docs, "mix_position"), unused(docs, "mix_id")
     order = mix(docs, weights).groupBy("doc_id").agg(F.min("position").alias(place)).withColumnRenamed("doc_id", key)
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    placed = docs.join(sorted_in(order), F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
     return placed.repartitionByRange(parts(docs.sparkSession), place).sortWithinPartitions(place).drop(place)

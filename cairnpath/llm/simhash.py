@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnpath.llm.common import durable, forget, parts, scratch, unused, whole
+from cairnpath.llm.common import durable, forget, parts, scratch, sorted_in, unused, whole
 from cairnpath.llm.components import components
 
 SHINGLE_WORDS, SEED, CROWD = 3, 42, 32
@@ -70,13 +70,13 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     wild = F.expr("shiftleft(1L, slot & 31)")
     keyed = slots.select("fp", F.expr("shiftleft(cast(slot as long), 32)").bitwiseOR(segment.bitwiseAND(F.bitwise_not(wild))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = durable(keyed.join(shared, "key"), "variants")
+    met = durable(keyed.join(sorted_in(shared), "key"), "variants")
     a, b = met.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("a")), met.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("b"))
     low = F.expr("(a ^ b) & 4294967295L")
     # A pair may share many keys; it counts at the first of them alone.
     first = F.when(low == 0, F.lit(0)).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(F.lit(32))
     at = F.shiftrightunsigned("key", 32)
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= 2) & (at == first)).select("a", "b")
+    pairs = a.join(sorted_in(b), "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= 2) & (at == first)).select("a", "b")
     crowded = met.filter(F.col("n") > crowd).select("fp").distinct()
     near = crowded.select("fp", F.explode(F.expr("transform(sequence(0, 64), i -> if(i = 64, fp, fp ^ shiftleft(1L, i)))")).alias("near"))
     hubs = near.groupBy("near").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
@@ -103,10 +103,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = durable(fingerprints(docs), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = _roots(fps.select("fp"))
-    rooted = durable(fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = durable(fps.join(sorted_in(roots), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(sorted_in(lowest), "root").select("fp", "component_id")
+    return rows.join(sorted_in(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = durable(keyed.mapInArrow(_keyed_fingerprints, "doc_id long, row_key binary, fp long"), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("low"))
     roots = _roots(fps.select("fp"))
-    lows = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    lows = fps.join(sorted_in(roots), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
     name = unused(docs, "near_row_key")
     stay = lows.select(F.col("low.row_key").alias(name))
-    return docs.withColumn(name, key).join(stay, name, "left_semi").dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(name, key).join(sorted_in(stay), name, "left_semi").dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
