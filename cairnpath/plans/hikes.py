@@ -88,7 +88,7 @@ def trail_progress(spark: SparkSession, d: str) -> DataFrame:
     """A hiker's place on the nearest way: done and left in the walking direction, off the trail or not, time left by own pace once it can be believed, else by the rule of 5 km/h, and the next three stops."""
     c = F.col
     first = F.min(F.struct(F.round("distance_m", 6).alias("off"), "way_id", "pos", c("distance_m").alias("off_m"), (c("before_m") + c("t") * c("length_m")).alias("along_m"), "way_m")).alias("b")
-    place = spatial.nearest_segment(load(spark, d, "sites").select("site_id", "x_m", "y_m"), spatial.segments(load(spark, d, "vertices")), ["site_id"], 500.0, first).select("site_id", "b.way_id", "b.off_m", "b.along_m", "b.way_m")
+    place = spatial.nearest_segment(load(spark, d, "sites").select("site_id", "x_m", "y_m"), spatial.lines_of(load(spark, d, "vertices", "l_orderkey")), ["site_id"], 500.0, first).select("site_id", "b.way_id", "b.off_m", "b.along_m", "b.way_m")
     place = place.withColumn("direction", F.when(c("along_m") <= c("way_m") / 2, 1).otherwise(-1))
     # Stops at the same place of a way are one row with the first three of them; the next ones are in the three rows ahead.
     first = place.withColumn("k", F.row_number().over(Window.partitionBy("way_id", "along_m").orderBy("site_id"))).filter("k <= 3")

@@ -240,7 +240,7 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
     sites = load(spark, d, "sites")
     points, one = sites.select("site_id", "x_m", "y_m"), F.lit(1.0)
     water = spatial.within(points, load(spark, d, "water"), 1000.0).select("site_id").distinct().withColumn("by_water", one)
-    trail = spatial.segment_distance(points, spatial.segments(load(spark, d, "vertices")), "site_id", 1000.0).select("site_id").withColumn("by_trail", one)
+    trail = spatial.segment_distance(points, spatial.lines_of(load(spark, d, "vertices", "l_orderkey")), "site_id", 1000.0).select("site_id").withColumn("by_trail", one)
     rank = Window.partitionBy("source").orderBy("site_id")
     few = sites.filter("elevation_m IS NULL").withColumn("k", F.row_number().over(rank)).filter("k <= 3").groupBy("source").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("site_id")), ", "), F.lit("]")).alias("examples"))
     share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6)
